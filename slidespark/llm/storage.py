@@ -1,0 +1,36 @@
+"""Intermediate tables in the folder that the cluster shares."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a temporary folder of this machine only where it is unset and the master is local."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found
+    held = getattr(spark.sparkContext, "_slidespark_dir", None)
+    if held is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        held = spark.sparkContext._slidespark_dir = "file://" + tempfile.mkdtemp(prefix="slidespark-")
+    return held
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage at a copy in the shared folder; partitions and their order stay."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Writes a table to the shared folder and reads it back, so that lost executors never cost a recomputation."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/slidespark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
