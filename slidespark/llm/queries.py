@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, order_minhash, suffix_dedup, toxicity
+from . import chat, decontam, hmm_lm, html_extract, mixing, order_minhash, quality, suffix_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,10 +21,15 @@ def _on2(table: str, other: str, f: Callable[[DataFrame, DataFrame], DataFrame])
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_chat_repair": _on("conversations", chat.digest),
         "op2_decontaminate": _on2("documents", "benchmark", decontam.digest),
+        "op3_html_min_cut": _on("pages", html_extract.digest),
+        "op4_url_link_graph": _on("pages", url_filter.digest),
         "op5_suffix_array_dedup": _on("documents", suffix_dedup.digest),
+        "op6_line_crf": _on2("documents", "labels", quality.digest),
         "op7_toxicity": _on2("documents", "labels", toxicity.digest),
         "op8_order_minhash": _on("documents", order_minhash.digest),
+        "op9_hidden_markov_lm": _on("documents", hmm_lm.digest),
         "op10_mix_sources": _on("documents", mixing.digest),
     }
 
