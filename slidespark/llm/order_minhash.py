@@ -123,11 +123,12 @@ def _sketch(level: tuple[int, int, int]):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(i, j - i),
+                        batch.column("digest").slice(i, j - i),
                         pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), j - i, [None, pa.py_buffer(prints.tobytes())]).cast(pa.binary()),
                         pa.array(n.astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * bands, bands, dtype=np.int32)), flat),
                     ],
-                    names=["id", "v", "n", "keys"],
+                    names=["id", "digest", "v", "n", "keys"],
                 )
 
     return f
@@ -161,9 +162,9 @@ def _candidates(members: DataFrame, small: int, threshold: float) -> tuple[DataF
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, small: int = SMALL, levels=LEVELS) -> tuple[DataFrame, DataFrame]:
     """(id, v) of every row with the vertex of its text, and (v, root) of all vertices that have a link."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = materialize(texts.mapInArrow(_sketch(levels[0]), "id long, v binary, n int, keys array<long>"))
-    vertices = materialize(rows.where("n > 0").groupBy("v").agg(F.min("id").alias("lead"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.md5(F.col(text_col)).alias("digest"))
+    rows = materialize(texts.mapInArrow(_sketch(levels[0]), "id long, digest string, v binary, n int, keys array<long>"))
+    vertices = materialize(rows.where("n > 0").groupBy("v").agg(F.min(F.struct("digest", "id")).alias("lead"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     members = vertices.select("v", "n", F.explode("keys").alias("key"))
     edges, roots = None, None
     for level in (*levels[1:], None):
@@ -171,7 +172,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
         pairs = materialize(pairs)
         ends = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
         wanted = ends.join(vertices.select("v", "lead"), "v").select("v", "lead")
-        held = materialize(_texts(texts, rows, wanted))
+        held = materialize(_texts(texts, wanted))
         both = pairs.join(held.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
         new = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold), "a binary, b binary"))
         edges = new if edges is None else edges.union(new)
@@ -183,24 +184,15 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
         again = materialize(classes.join(open_, "key").select("v").distinct())
         if again.isEmpty():
             break
-        held = _texts(texts, rows, again.join(vertices.select("v", "lead"), "v"))
-        members = held.select(F.lit(0).cast("long").alias("id"), "text").mapInArrow(_sketch(level), "id long, v binary, n int, keys array<long>").select("v", "n", F.explode("keys").alias("key"))
+        held = _texts(texts, again.join(vertices.select("v", "lead"), "v"))
+        members = held.select(F.lit(0).cast("long").alias("id"), F.lit("").alias("digest"), "text").mapInArrow(_sketch(level), "id long, digest string, v binary, n int, keys array<long>").select("v", "n", F.explode("keys").alias("key"))
     return rows.select("id", "v", "n"), roots
 
 
-def _texts(texts: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(v, text): one text for each wanted vertex, read again from the table by the least id that has it."""
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = T.buffer(batch.column("text"))
-            for i, j, part, at in T.chunks(data, off):
-                found = labelled(part, at)[2]
-                v = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), j - i, [None, pa.py_buffer(found.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), v, batch.column("text").slice(i, j - i)], names=["id", "v", "text"])
-
-    all_ = texts.mapInArrow(prints, "id long, v binary, text string")
-    return all_.join(wanted.withColumnRenamed("v", "w"), (F.col("v") == F.col("w")) & F.col("id").eqNullSafe(F.col("lead"))).select("v", "text").dropDuplicates(["v"])
+def _texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(v, text): one text for each wanted vertex, by the digest and id that lead it."""
+    wanted = wanted.select(F.col("v"), F.col("lead.digest").alias("d"), F.col("lead.id").alias("i"))
+    return texts.join(wanted, (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("i"))).select("v", "text").dropDuplicates(["v"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, small: int = SMALL, levels=LEVELS) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 MASK = (1 << 64) - 1
 #: Bytes of text handled at once; a longer document is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True

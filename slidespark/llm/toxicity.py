@@ -65,26 +65,33 @@ def _softplus(z: np.ndarray) -> np.ndarray:
 
 def fit(data: np.ndarray, off: np.ndarray, label: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted word fingerprints and their weights; the bias stands under fingerprint 0."""
-    parts = []
-    for i, _, part, at in T.chunks(data, off):
-        w, s, d, _ = sentences(part, at)
-        parts.append((w, s, d + i))
-    shift = np.cumsum([0, *(len(p[2]) for p in parts)])
-    word = np.concatenate([p[0] for p in parts] or [np.zeros(0, U64)])
-    sent = np.concatenate([p[1] + k for p, k in zip(parts, shift, strict=False)] or [np.zeros(0, np.int64)])
-    doc = np.concatenate([p[2] for p in parts] or [np.zeros(0, np.int64)])
     n = len(off) - 1
     rate = float(label.mean()) if n else 0.0
-    if not 0 < rate < 1 or not len(word):
-        return np.zeros(1, U64), np.array([-40.0 if rate <= 0 or not len(word) else 40.0])
-    vocab, index = np.unique(word, return_inverse=True)
-    pairs = np.unique(doc[sent] * len(vocab) + index)
-    has, bad = np.bincount(pairs % len(vocab), minlength=len(vocab)), np.bincount(pairs % len(vocab), weights=label[pairs // len(vocab)], minlength=len(vocab))
+    # documents that have each feature, and toxic ones, chunk by chunk
+    vocab, has, bad = np.zeros(0, U64), np.zeros(0), np.zeros(0)
+    for i, _, part, at in T.chunks(data, off):
+        w, s, d, _ = sentences(part, at)
+        u, index = np.unique(w, return_inverse=True)
+        pairs = np.unique(d[s] * max(1, len(u)) + index)
+        k = pairs % max(1, len(u))
+        both = np.concatenate([vocab, u])
+        vocab, index = np.unique(both, return_inverse=True)
+        has = np.bincount(index, weights=np.concatenate([has, np.bincount(k, minlength=len(u))]), minlength=len(vocab))
+        bad = np.bincount(index, weights=np.concatenate([bad, np.bincount(k, weights=label[i + pairs // max(1, len(u))], minlength=len(u))]), minlength=len(vocab))
+    if not 0 < rate < 1 or not len(vocab):
+        return np.zeros(1, U64), np.array([-40.0 if rate <= 0 or not len(vocab) else 40.0])
     odds = np.log((bad + 10 * rate) / (has - bad + 10 * (1 - rate))) - np.log(rate / (1 - rate))
     use = (bad >= LEAST_DOCS) & (odds >= LEAST_ODDS)
-    rank, kept = np.cumsum(use) - 1, use[index]
     v, weight = vocab[use], odds[use] * 0.5
-    pairs = np.unique(sent[kept] * (len(v) + 1) + rank[index[kept]])
+    parts, docs, shift = [], [], 0
+    for i, _, part, at in T.chunks(data, off):
+        w, s, d, _ = sentences(part, at)
+        place = np.minimum(np.searchsorted(v, w), max(0, len(v) - 1))
+        known = v[place] == w if len(v) else np.zeros(len(w), bool)
+        parts.append(np.unique((s[known] + shift) * (len(v) + 1) + place[known]))
+        docs.append(d + i)
+        shift += len(d)
+    pairs, doc = np.concatenate(parts), np.concatenate(docs)
     s, f = pairs // (len(v) + 1), pairs % (len(v) + 1)
     bias = np.log(rate / (1 - rate)) - np.log(max(1.0, len(doc) / n)) - 2
     penalty, step = 2e-4 * n ** 0.5 / 90, 0.05
