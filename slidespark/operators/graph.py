@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slidespark.sources.storage import materialize
+
 
 def within(points: DataFrame, radius: int) -> DataFrame:
     """Ordered pairs of a slide not farther apart than ``radius``, by an equi-join on grid cells."""
@@ -20,3 +24,70 @@ def radius_counts(points: DataFrame, radius: int) -> DataFrame:
     n = within(points, radius).groupBy("label", "vec_id").agg(F.count("*").alias("n"))
     every = points.join(n, ["label", "vec_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return every.groupBy("label").agg(F.count("*").alias("n_points"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_pop("n"), 6).alias("std"), F.max("n").alias("most"))
+
+
+def _near_cells(points: DataFrame, cell: int, asking: DataFrame) -> DataFrame:
+    """(label, vec_id, other, d2, edge): points in the nine cells around those that ask, and the squared distance that these are sure to cover."""
+    at = lambda c: F.floor(F.col(c) / cell)
+    steps = F.array(*(F.lit(i) for i in (-1, 0, 1)))
+    a = asking.select("label", "vec_id", "cx", "cy", at("cx").alias("gx"), at("cy").alias("gy"))
+    inside = F.least(F.col("cx") - (F.col("gx") - 1) * cell, (F.col("gx") + 2) * cell - F.col("cx"), F.col("cy") - (F.col("gy") - 1) * cell, (F.col("gy") + 2) * cell - F.col("cy"))
+    a = a.withColumn("edge", inside * inside).withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).select("label", "vec_id", "cx", "cy", "edge", (F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy"))
+    b = points.select("label", at("cx").alias("gx"), at("cy").alias("gy"), F.col("vec_id").alias("other"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
+    d2 = (F.col("cx") - F.col("ox")) * (F.col("cx") - F.col("ox")) + (F.col("cy") - F.col("oy")) * (F.col("cy") - F.col("oy"))
+    return a.join(b, ["label", "gx", "gy"], "left").select("label", "vec_id", F.nullif("other", "vec_id").alias("other"), d2.cast("long").alias("d2"), F.col("edge").cast("long").alias("edge"))
+
+
+def nearest(points: DataFrame, k: int, cell: int = 64) -> DataFrame:
+    """(label, vec_id, place, other, d2): the k nearest others of every point, exactly; ties by id.
+
+    Points look into the nine grid cells around them. Who has k others nearer than the rim of
+    those is done; the rest asks again in cells of twice the side, until one cell holds the slide.
+    """
+    extent = points.agg(F.max(F.greatest(F.abs("cx"), F.abs("cy"))).alias("m")).first().m
+    asking, done = points, []
+    w = Window.partitionBy("label", "vec_id").orderBy("d2", "other")
+    while extent is not None:
+        last = cell > 2 * extent
+        found = _near_cells(points, cell, asking).withColumn("place", F.row_number().over(w.orderBy(F.col("other").isNull(), "d2", "other")))
+        found = materialize(found.where(F.col("place") <= k))
+        sure = found.groupBy("label", "vec_id").agg((F.count("other") == k).alias("full"), F.max("d2").alias("far"), F.first("edge").alias("edge")).where(F.lit(last) | (F.col("full") & (F.col("far") < F.col("edge"))))
+        done.append(found.where("other is not null").join(sure.select("vec_id", "label"), ["label", "vec_id"], "left_semi").select("label", "vec_id", "place", "other", "d2"))
+        asking = materialize(asking.join(sure, ["label", "vec_id"], "left_anti"))
+        if last or asking.isEmpty():
+            break
+        cell *= 2
+    if not done:
+        return points.limit(0).select("label", "vec_id", F.lit(0).alias("place"), F.col("vec_id").alias("other"), F.lit(0).cast("long").alias("d2"))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def trimmed_stats(t: DataFrame, by: Sequence[str], value: str = "v", rounds: int = 50) -> DataFrame:
+    """(by, n, mean, std, min_max_ratio, disorder) after values beyond three deviations are left out until none is.
+
+    What stays is an interval around the mean, so only the bounds of each group are carried from round to round.
+    """
+    by = list(by)
+    bounds = t.select(*by).distinct().withColumns({"lo": F.lit(float("-inf")), "hi": F.lit(float("inf")), "n": F.lit(-1).cast("long")})
+    for _ in range(rounds):
+        inside = t.join(bounds.select(*by, "lo", "hi"), by).where((F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi")))
+        stats = inside.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"))
+        merged = stats.join(bounds.select(*by, "lo", "hi", F.col("n").alias("before")), by)
+        slack = 3 * F.col("std") * (1 + 1e-12) + 1e-12
+        merged = materialize(merged.withColumns({"lo": F.greatest("lo", F.col("mean") - slack), "hi": F.least("hi", F.col("mean") + slack)}))
+        if merged.where("n <> before").isEmpty():
+            break
+        bounds = merged.select(*by, "lo", "hi", "n")
+    ratio = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0.0)), F.lit(0.0))
+    return merged.select(*by, "n", "mean", "std", ratio(F.col("least").cast("double"), F.col("most").cast("double")).alias("min_max_ratio"), ratio(F.col("std"), F.col("mean") + F.col("std")).alias("disorder"))
+
+
+def two_hop(edges: DataFrame, by: Sequence[str] = ("slide_id",)) -> DataFrame:
+    """(by, a, b), a <= b: edges, and pairs with a common neighbour; a vertex with a neighbour reaches itself."""
+    by = list(by)
+    both = edges.select(*by, "a", "b").unionByName(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    far = both.join(both.select(*by, F.col("a").alias("b"), F.col("b").alias("c")), [*by, "b"]).select(*by, "a", F.col("c").alias("b"))
+    return both.unionByName(far).where("a <= b").distinct()

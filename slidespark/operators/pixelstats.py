@@ -100,3 +100,19 @@ def otsu(px: DataFrame, by: str, value: str = "i") -> DataFrame:
     t = t.where("w0 < w").withColumn("gap", F.col("s0") / F.col("w0") - (F.col("s") - F.col("s0")) / (F.col("w") - F.col("w0")))
     t = t.withColumn("score", F.round(F.col("w0") * (F.col("w") - F.col("w0")) * F.col("gap") * F.col("gap"), 4))
     return t.groupBy(by).agg(F.min_by("v", F.struct(-F.col("score"), F.col("v"))).alias("threshold"))
+
+
+def poisson_threshold(px: DataFrame, by: str, value: str = "i") -> DataFrame:
+    """(by, threshold, low_mean, high_mean): the split of the grey histogram into two Poisson kinds of least cost; the first one if alike."""
+    eps = 2.0**-52
+    h = px.groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    h = h.withColumn("h", F.col("n") / F.sum("n").over(Window.partitionBy(by)))
+    up = Window.partitionBy(by).orderBy("v")
+    t = h.select(by, "v", F.sum("h").over(up).alias("p"), F.sum(F.col("v") * F.col("h")).over(up).alias("m"), F.sum(F.col("v") * F.col("h")).over(Window.partitionBy(by)).alias("mu"))
+    none = 1 - F.col("p") <= 1e-12
+    t = t.withColumns({"p0": F.greatest("p", F.lit(eps)), "p1": F.when(none, eps).otherwise(1 - F.col("p"))})
+    t = t.withColumns({"m0": F.col("m") / F.col("p0") + eps, "m1": F.when(none, 0.0).otherwise(F.greatest(F.col("mu") - F.col("m"), F.lit(0.0)) / F.col("p1") + eps)})
+    tail = F.when(none, 0.0).otherwise(F.col("m1") * F.ln(F.greatest("m1", F.lit(eps))))
+    cost = F.col("mu") - F.col("p0") * (F.ln("p0") + F.col("m0") * F.ln("m0")) - F.col("p1") * (F.ln("p1") + tail)
+    best = F.min_by(F.struct("v", "m0", "m1"), F.struct(F.round(cost, 9), F.col("v"))).alias("b")
+    return t.groupBy(by).agg(best).select(by, F.col("b.v").alias("threshold"), F.round("b.m0", 6).alias("low_mean"), F.round("b.m1", 6).alias("high_mean"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slidespark.functions import colour
 from slidespark.operators import annotations, graph, labels, pixelstats
+from slidespark.plans import neighbourhood
 from slidespark.sources import fixtures as fx
 
 QUERIES: dict = {}
@@ -159,9 +160,12 @@ _add("doc_chunks", lambda s, d: annotations.chunks(fx.elements(s, d), 100), fx.w
 _add("latest_nonempty_version", lambda s, d: annotations.latest(fx.versions(s, d)), fx.with_("versions") + 'SELECT annotation_id, max("version") AS "version" FROM versions WHERE n_groups > 0 GROUP BY 1')
 
 
+AREAS = (neighbourhood,)
+
+
 def queries() -> dict:
-    return dict(QUERIES)
+    return {**QUERIES, **{k: q for a in AREAS for k, q in a.plans.queries.items()}}
 
 
 def oracle_sql() -> dict:
-    return dict(SQL)
+    return {**SQL, **{k: q for a in AREAS for k, q in a.plans.sql.items()}}
