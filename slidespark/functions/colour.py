@@ -71,3 +71,68 @@ def remix(stains: list[Column], w: np.ndarray, white: float = 255.0) -> list[Col
 
 def to_byte(c: Column) -> Column:
     return F.least(F.greatest(c, F.lit(0.0)), F.lit(255.0)).cast("int")
+
+
+#: Unit vectors of known stains.
+STAINS = {"hematoxylin": (0.65, 0.70, 0.29), "eosin": (0.07, 0.99, 0.11), "dab": (0.27, 0.57, 0.78), "null": (0.0, 0.0, 0.0)}
+
+
+def complement(w: np.ndarray) -> np.ndarray:
+    """Unit columns with the third one perpendicular to the others where it is missing or null."""
+    w = np.asarray(w, float)
+    if w.shape[1] < 3 or np.linalg.norm(w[:, 2]) <= 1e-16:
+        w = np.column_stack([w[:, :2], np.cross(w[:, 0], w[:, 1])])
+    size = np.linalg.norm(w, axis=0)
+    return w / np.where(size > 0, size, 1)
+
+
+def stain_index(reference, w: np.ndarray) -> int:
+    """The column that is nearest to the reference in direction, either way."""
+    w = np.asarray(w, float)
+    return int(np.argmax(np.abs(np.asarray(reference, float) @ w) / np.maximum(np.linalg.norm(w, axis=0), 1e-300)))
+
+
+def reorder(w: np.ndarray, first: str = "hematoxylin", second: str = "eosin") -> np.ndarray:
+    """Columns in the order of the named stains, the other one last."""
+    i = stain_index(STAINS[first], w[:, :2])
+    return w[:, [i, 1 - i, 2]]
+
+
+def stains_of(names, custom=None) -> np.ndarray:
+    """Columns by name; ``custom`` gives a vector for names that are not known."""
+    found = [STAINS[n] if n in STAINS else (custom or {})[n] for n in names]
+    return complement(np.array(found, float).T)
+
+
+def perturbed(stains: list[Column], w: np.ndarray, alpha: list[float], beta: list[float], white: float = 255.0) -> list[Column]:
+    """Stain amounts scaled by ``alpha`` and moved by ``beta`` in optical density, and mixed again."""
+    od = [F.lit(float(a)) * sda(c, white, True) + F.lit(float(b)) for c, a, b in zip(stains, alpha, beta, strict=True)]
+    return [sda_to_rgb(x, white) for x in linear(w, od)]
+
+
+def draw(seed: int, spread: float, shift: float, n: int = 3) -> tuple[list[float], list[float]]:
+    """Factors from 1 +- spread and offsets from +- shift."""
+    r = np.random.default_rng(seed)
+    return r.uniform(1 - spread, 1 + spread, n).tolist(), r.uniform(-shift, shift, n).tolist()
+
+
+def distinct(n: int, start: float = 0.0) -> list[tuple[float, float, float]]:
+    """Fully saturated colours whose hues step by the golden ratio."""
+    import colorsys
+
+    return [colorsys.hsv_to_rgb((start + i * (5**0.5 - 1) / 2) % 1, 1.0, 1.0) for i in range(n)]
+
+
+def hue_to_rgb(h: Column) -> list[Column]:
+    """Red, green and blue of a fully saturated hue in [0, 1)."""
+    at = h * 6
+    r = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.abs(at - 3) - 1))
+    g = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 - F.abs(at - 2)))
+    b = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 - F.abs(at - 4)))
+    return [r, g, b]
+
+
+def gray(r: Column, g: Column, b: Column, swapped: bool = False) -> Column:
+    """Luma; ``swapped`` exchanges the weights of red and blue."""
+    a, c = (b, r) if swapped else (r, b)
+    return 0.299 * a + 0.587 * g + 0.114 * c
