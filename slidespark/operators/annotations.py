@@ -66,3 +66,14 @@ def folder_paths(folders: DataFrame, depth: int = 2) -> DataFrame:
     for _ in range(depth - 1):
         t = t.join(up, F.col("parent_id") == F.col("up"), "left").select("folder_id", F.col("next").alias("parent_id"), F.when(F.col("up_name").isNull(), F.col("path")).otherwise(F.concat_ws("/", "up_name", "path")).alias("path"))
     return t.select("folder_id", "path")
+
+
+def merge_colinear(vertices: DataFrame, by: str) -> DataFrame:
+    """Vertices (by, k, x, y) without those equal to the next one, and then without those on a straight line between their neighbours."""
+    w = Window.partitionBy(by).orderBy("k")
+    same = (F.lead("x").over(w) == F.col("x")) & (F.lead("y").over(w) == F.col("y"))
+    t = vertices.withColumn("__same", F.coalesce(same, F.lit(False))).where("not __same").drop("__same")
+    step = lambda c: (F.col(c) - F.lag(c).over(w)).cast("double")
+    ahead = lambda c: (F.lead(c).over(w) - F.col(c)).cast("double")
+    line = F.coalesce(step("x") * ahead("y") == ahead("x") * step("y"), F.lit(False))
+    return t.withColumn("__line", line).where("not __line").drop("__line")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,8 +180,6 @@ def colour(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         for v in sorted(table["label"].unique()):
             taken = {found[u] for u in a.get(v, ()) if u in found}
             found[v] = next(c for c in range(1, len(taken) + 2) if c not in taken)
-        import pandas as pd
-
         return pd.DataFrame({"slide_id": key[0], "label": list(found), "colour": list(found.values())})
 
     both = edges.select("slide_id", F.col("a").alias("label"), "b").unionByName(edges.select("slide_id", F.col("b").alias("label"), F.col("a").alias("b")))

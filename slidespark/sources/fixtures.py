@@ -45,7 +45,7 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-GT_ROWS = [("1-URGENT", 0, 254, 1, 0, "rgb(200,0,150)"), ("2-HIGH", 1, 1, 0, 0, "rgb(255,0,0)"), ("3-MEDIUM", 2, 2, 0, 1, "rgb(255,125,0)"), ("4-NOT SPECIFIED", 3, 3, 0, 0, "rgb(0,0,255)"), ("5-LOW", 3, 7, 0, 0, "rgb(0,0,0)")]
+GT_ROWS = [("1-URGENT", 0, 254, 1, 0, "rgb(200,0,150)"), ("2-HIGH", 1, 1, 0, 0, "rgb(255,0,0)"), ("3-MEDIUM", 2, 2, 0, 1, "rgb(255,125,0)"), ("4-NOT SPECIFIED", 1, 3, 0, 0, "rgb(0,0,255)"), ("5-LOW", 3, 7, 0, 0, "rgb(0,0,0)")]
 
 
 def gt_codes(spark: SparkSession) -> DataFrame:
@@ -81,3 +81,22 @@ SQL = {
 
 def with_(*names: str) -> str:
     return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in names) + " "
+
+
+def annotation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(json): one annotation document for each customer; an element is a point, a turned rectangle or a polyline by its id."""
+    e = elements(spark, sf_dir)
+    k, f = F.col("element_id"), lambda c: F.col(c).cast("double")
+    none = lambda t: F.lit(None).cast(t)
+    ring = F.array(*(F.array(f(a), f(b), F.lit(0.0)) for a, b in (("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax"), ("xmin", "ymin"))))
+    kind = F.when(k % 10 == 0, "point").when(k % 10 <= 3, "rectangle").otherwise("polyline")
+    box = F.col("__type") == "rectangle"
+    middle = F.array((f("xmin") + f("xmax")) / 2, (f("ymin") + f("ymax")) / 2, F.lit(0.0))
+    element = F.struct(
+        k.cast("string").alias("id"), F.col("__type").alias("type"), F.when(k % 7 != 0, F.col("grp")).alias("group"), F.when(k % 5 != 0, F.struct(F.concat(F.lit("l-"), F.col("grp")).alias("value"))).alias("label"), F.lit("rgb(1,2,3)").alias("lineColor"),
+        F.when(F.col("__type") == "polyline", ring).alias("points"), F.when(F.col("__type") != "polyline", middle).alias("center"),
+        F.when(box, f("xmax") - f("xmin")).otherwise(none("double")).alias("width"), F.when(box, f("ymax") - f("ymin")).otherwise(none("double")).alias("height"), F.when(box, (k % 4) * 0.5).otherwise(none("double")).alias("rotation"),
+    )
+    docs = e.withColumn("__type", kind).groupBy("doc_id").agg(F.first("slide_id").alias("slide_id"), F.sort_array(F.collect_list(F.struct(k.alias("k"), element.alias("e")))).alias("es"))
+    body = F.struct(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("_id"), F.col("slide_id").cast("string").alias("itemId"), F.lit("2020-01-01").alias("created"), F.struct(F.concat(F.lit("name "), F.col("doc_id").cast("string")).alias("name"), F.transform("es", lambda x: x["e"]).alias("elements")).alias("annotation"))
+    return docs.select(F.to_json(body).alias("json"))
