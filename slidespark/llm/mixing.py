@@ -4,7 +4,9 @@ Every source has a target of words. Its documents stand in one order (size, then
 the id), each with the same expected number of copies, target over source size; with the
 running sum of those numbers plus one random offset per source, a document is emitted once
 for each integer boundary that its step crosses. As sizes rise along the order, the words
-taken stay near the target.
+taken stay within one document's size of the target; of ``TRIES`` random offsets the source
+keeps the one whose words come nearest to it, which matters where a few long documents hold
+a large share.
 
 Running sums are dealt out: ranks come from counts by (source, size), by (source, size,
 slot) and a row number within a slot, where 4096 slots are a hash of the id; a source or a
@@ -18,6 +20,7 @@ may swap their copies; the rows of the result are the same.)
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,8 +30,10 @@ from .storage import materialize
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
-SEED = "mix-1"
+SEED, TRIES = "mix-1", 16
 _HEX = 16.0**13
+#: Sources up to which their rows travel with every task (10 MB).
+MANY = 50_000
 
 
 def words(text: Column) -> Column:
@@ -54,8 +59,13 @@ def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[int] = WE
     return [(s, n, t) for (s, n), t in zip(order, target, strict=True)]
 
 
-def _offset(source: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.coalesce(source, F.lit("\x00")))), 1, 13), 16, 10).cast("double") / F.lit(_HEX)
+def offset(source: str | None, k: int) -> float:
+    """The k-th random offset of a source, in [0, 1)."""
+    return int(hashlib.md5(f"{SEED}/{k}/{chr(0) if source is None else source}".encode()).hexdigest()[:13], 16) / _HEX
+
+
+def _copies(rate: Column, rank: Column, start: Column) -> Column:
+    return (F.floor(rate * rank + start) - F.floor(rate * (rank - 1) + start)).cast("long")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -70,18 +80,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     by_slot = sized.groupBy("source", "size", "slot").agg(F.count("*").alias("n"))
     by_size = by_slot.groupBy("source", "size").agg(F.sum("n").alias("n"))
     table = targets([(r.source, r.words) for r in by_size.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words")).collect()], weights, most)
-    rates = spark.createDataFrame([(s, n, t, t / n if n else 0.0) for s, n, t in table], "t_source string, source_size long, target double, rate double")
+    keyed = lambda df: F.broadcast(df) if len(table) <= MANY else df  # noqa: E731  one row for each source
+    rates = keyed(spark.createDataFrame([(s, n, t, t / n if n else 0.0, [offset(s, k) for k in range(TRIES)]) for s, n, t in table], "t_source string, source_size long, target double, rate double, starts array<double>"))
     before = lambda *by: F.sum("n").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1))
     low = by_size.withColumn("below", F.coalesce(before("source", "size"), F.lit(0))).select(F.col("source").alias("a_source"), F.col("size").alias("a_size"), "below")
     mid = by_slot.withColumn("within", F.coalesce(before("source", "size", "slot"), F.lit(0))).select(F.col("source").alias("b_source"), F.col("size").alias("b_size"), F.col("slot").alias("b_slot"), "within")
     out = sized.withColumn("place", F.row_number().over(Window.partitionBy("source", "size", "slot").orderBy("digest", "id")))
     out = out.join(mid, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("size") == F.col("b_size")) & (F.col("slot") == F.col("b_slot")))
     out = out.join(low, F.col("source").eqNullSafe(F.col("a_source")) & (F.col("size") == F.col("a_size")))
-    out = out.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("t_source")))  # one row for each source
-    rank = (F.col("below") + F.col("within") + F.col("place")).cast("long")
-    start = _offset(F.col("source"))
-    copies = (F.floor(F.col("rate") * F.col("rank") + start) - F.floor(F.col("rate") * (F.col("rank") - 1) + start)).cast("long")
-    return out.withColumn("rank", rank).select("id", "source", "size", "source_size", "target", copies.alias("copies"), "rank")
+    out = out.select("id", "source", "size", (F.col("below") + F.col("within") + F.col("place")).cast("long").alias("rank"))
+    out = materialize(out).join(rates, F.col("source").eqNullSafe(F.col("t_source")))
+    tried = out.groupBy("source").agg(*(F.sum(_copies(F.col("rate"), F.col("rank"), F.col("starts")[k]) * F.col("size")).alias(f"w{k}") for k in range(TRIES))).collect()  # one row for each source
+    aims = {s: t for s, _, t in table}
+    best = [(r.source, offset(r.source, min(range(TRIES), key=lambda k: (abs(r[f"w{k}"] - aims[r.source]), k)))) for r in tried]
+    chosen = keyed(spark.createDataFrame(best, "c_source string, start double"))
+    out = out.join(chosen, F.col("source").eqNullSafe(F.col("c_source")))
+    return out.select("id", "source", "size", "source_size", "target", _copies(F.col("rate"), F.col("rank"), F.col("start")).alias("copies"), "rank")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -127,10 +141,17 @@ t AS (
          / nullif(sum(CASE WHEN full_ THEN 0 ELSE w END) OVER (), 0) END AS target
   FROM fill WHERE i = {rounds}),
 r AS (
-  SELECT d.doc_id, d.size, t.n AS source_size, t.target, CASE WHEN t.n > 0 THEN t.target / t.n ELSE 0.0 END AS rate,
-         row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.digest, d.doc_id) AS k,
-         CAST(CAST('0x' || substr(md5('{SEED}' || coalesce(d.source, chr(0))), 1, 13) AS BIGINT) AS DOUBLE) / {_HEX!r} AS u
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  SELECT d.doc_id, d.source, d.size, t.n AS source_size, t.target, CASE WHEN t.n > 0 THEN t.target / t.n ELSE 0.0 END AS rate,
+         row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.digest, d.doc_id) AS k
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+u AS (
+  SELECT source, range AS try, CAST(CAST('0x' || substr(md5('{SEED}/' || range || '/' || coalesce(source, chr(0))), 1, 13) AS BIGINT) AS DOUBLE) / {_HEX!r} AS u
+  FROM s CROSS JOIN range({TRIES})),
+c AS (
+  SELECT u.source, try, any_value(u) AS u
+  FROM r JOIN u ON r.source IS NOT DISTINCT FROM u.source
+  GROUP BY u.source, try
+  QUALIFY row_number() OVER (PARTITION BY u.source ORDER BY abs(sum((floor(rate * k + u) - floor(rate * (k - 1) + u)) * size) - any_value(target)), try) = 1)
 SELECT doc_id, size, source_size, target,
        CAST((floor(rate * k + u) - floor(rate * (k - 1) + u)) * size AS BIGINT) AS taken
-FROM r"""
+FROM r JOIN c ON r.source IS NOT DISTINCT FROM c.source"""
