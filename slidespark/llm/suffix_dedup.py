@@ -33,8 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slidespark.sources.storage import materialize
+
 from . import textops as T
-from .storage import materialize
 
 LENGTH = 200
 ANCHOR = 64
@@ -342,6 +343,32 @@ def digest(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def oracle(length: int = LENGTH, step: int = 500) -> str:
+    """The same in DuckDB, with all windows in one table; texts are cut into overlapping pieces so that substrings stay short."""
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT rid, doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n FROM d),
+p AS (
+  SELECT rid, n, k, substring(h, 2 * k + 1, {2 * (step + length - 1)}) AS piece
+  FROM (SELECT rid, n, h, unnest(range(0, greatest(n - {length - 1}, 0), {step})) AS k FROM n)),
+w AS (
+  SELECT rid, k + j AS s, md5(substring(piece, 2 * j + 1, {2 * length})) AS f
+  FROM (SELECT rid, k, piece, unnest(range(0, least({step}, n - {length - 1} - k))) AS j FROM p)),
+hit AS (SELECT DISTINCT rid, s FROM w WHERE f IN (SELECT f FROM w GROUP BY f HAVING count(*) > 1)),
+mark AS (SELECT rid, s, CASE WHEN s <= lag(s) OVER (PARTITION BY rid ORDER BY s) + {length} THEN 0 ELSE 1 END AS fresh FROM hit),
+span AS (
+  SELECT rid, g, min(s) AS a, max(s) + {length} AS b
+  FROM (SELECT rid, s, sum(fresh) OVER (PARTITION BY rid ORDER BY s) AS g FROM mark) GROUP BY rid, g),
+cut AS (
+  SELECT rid, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(part, '' ORDER BY a) AS parts
+  FROM (SELECT span.*, substring(h, 2 * before + 1, 2 * (a - before)) AS part
+        FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM span) span JOIN n USING (rid)) GROUP BY rid)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN cut.rid IS NULL THEN h ELSE parts || substring(h, 2 * last + 1) END)) AS kept_sha256
+FROM n LEFT JOIN cut ON n.rid = cut.rid"""
+
+
 def brute_force(texts: list[str | None], length: int = LENGTH, keep_first: bool = False) -> list[bytes]:
     """What remains of each text, in order of position, by a table of all windows."""
     raw = [(t or "").encode() for t in texts]

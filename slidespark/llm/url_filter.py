@@ -22,7 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from slidespark.sources.storage import materialize
+
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 0.5
@@ -93,3 +94,34 @@ def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules:
 
 def digest(pages: DataFrame) -> DataFrame:
     return judge(pages.select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def oracle(rules: Sequence[tuple[str, str]] = RULES, threshold: float = THRESHOLD, rounds: int = ROUNDS, damping: float = DAMPING) -> str:
+    """The same in DuckDB, a table for each round of propagation."""
+    order = sorted(rules, key=lambda r: (-len(r[1]), r[0] != "block"))
+    fits = []
+    for _, rule in order:
+        name, slash, rest = rule.partition("/")
+        fits.append(f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash + rest}')")
+    case = lambda k: "CASE " + " ".join(f"WHEN {f} THEN '{r[k]}'" for f, r in zip(fits, order, strict=True)) + " END"
+    link = LINK.replace("'", "''")
+    lower = lambda c: f"translate({c}, '{UPPER}', '{LOWER}')"
+    tables = [
+        "raw AS (SELECT page_id, html, regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's') AS hh, regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path FROM pages)",
+        f"h AS (SELECT page_id, html, {lower('hh')} AS host, path FROM raw)",
+        f"k AS (SELECT *, {case(1)} AS rule, {case(0)} AS verdict FROM h)",
+        f"l AS (SELECT src, {lower('dst')} AS dst FROM (SELECT host AS src, unnest(list_distinct(regexp_extract_all(html, '{link}', 1))) AS dst FROM k WHERE host <> ''))",
+        "e AS (SELECT src, dst, count(*) AS n FROM l WHERE dst <> '' AND src <> dst GROUP BY 1, 2)",
+        "s0 AS (SELECT host, avg(CASE WHEN verdict = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS good, avg(CASE WHEN verdict = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS bad FROM k WHERE host <> '' GROUP BY 1)",
+        "s AS (SELECT coalesce(s0.host, v.host) AS host, coalesce(good, 0.0) AS good, coalesce(bad, 0.0) AS bad FROM s0 FULL JOIN (SELECT src AS host FROM e UNION SELECT dst FROM e) v ON s0.host = v.host)",
+    ]
+    for side, a, b in (("good", "src", "dst"), ("bad", "dst", "src")):
+        tables.append(f"{side}w AS (SELECT {a} AS a, {b} AS b, n / sum(n) OVER (PARTITION BY {a}) AS w FROM e)")
+        tables.append(f"{side}0 AS (SELECT host, {side} AS mass FROM s)")
+        for r in range(rounds):
+            tables.append(f"{side}f{r} AS (SELECT b AS host, sum(w * mass) AS flow FROM {side}w JOIN {side}{r} ON a = host GROUP BY 1)")
+            keep = f"CASE WHEN s.host IN (SELECT a FROM {side}w) THEN 0.0 ELSE m.mass END"
+            tables.append(f"{side}{r + 1} AS (SELECT s.host, {1 - damping!r} * s.{side} + {damping!r} * ({keep} + coalesce(flow, 0.0)) AS mass FROM s JOIN {side}{r} m ON s.host = m.host LEFT JOIN {side}f{r} f ON s.host = f.host)")
+    return "WITH " + ",\n".join(tables) + f"""
+SELECT page_id, k.host, path, rule, coalesce(verdict, CASE WHEN b.mass >= {threshold!r} AND b.mass > g.mass THEN 'block' ELSE 'allow' END) AS verdict
+FROM k LEFT JOIN good{rounds} g ON k.host = g.host LEFT JOIN bad{rounds} b ON k.host = b.host"""
