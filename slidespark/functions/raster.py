@@ -65,7 +65,7 @@ def label(mask: np.ndarray, conn: int = 4, values: np.ndarray | None = None) ->
                 ok &= values[a] == values[b]
             low = np.minimum(new[a], new[b])
             new[a] = np.where(ok, low, new[a])
-            new[b] = np.where(ok, low, new[b])
+            new[b] = np.where(ok, np.minimum(low, new[b]), new[b])
         flat = new.ravel()
         np.minimum.at(flat, root.ravel(), new.ravel().copy())
         while (flat[flat] != flat).any():
@@ -217,10 +217,10 @@ def outline(mask: np.ndarray, conn: int = 8) -> list[tuple[int, int]]:
     inside = lambda y, x: 0 <= y < mask.shape[0] and 0 <= x < mask.shape[1] and bool(mask[y, x])
     turn = range(8) if conn == 8 else range(0, 8, 2)
     here, back = (int(ys[0]), int(xs[0])), 4
-    out, seen = [], set()
+    steps, seen = [], {}
     while (here, back) not in seen:
-        seen.add((here, back))
-        out.append(here)
+        seen[here, back] = len(steps)
+        steps.append(here)
         for k in range(1, 9):
             d = (back + k) % 8
             if d in turn and inside(here[0] + MOORE[d][0], here[1] + MOORE[d][1]):
@@ -229,7 +229,9 @@ def outline(mask: np.ndarray, conn: int = 8) -> list[tuple[int, int]]:
                 break
         else:
             return []
-    return out
+    ring = steps[seen[here, back] :]  # the first pixel was entered from outside
+    first = ring.index(min(ring))
+    return ring[first:] + ring[:first]
 
 
 def hull(points: np.ndarray) -> np.ndarray:
