@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from slidespark.functions import colour
 from slidespark.operators import annotations, graph, labels, pixelstats
-from slidespark.plans import annotation, colours, labelling, neighbourhood, segments
+from slidespark.plans import annotation, colours, labelling, neighbourhood, regions, segments
 from slidespark.sources import fixtures as fx
 
 QUERIES: dict = {}
@@ -160,7 +160,7 @@ _add("doc_chunks", lambda s, d: annotations.chunks(fx.elements(s, d), 100), fx.w
 _add("latest_nonempty_version", lambda s, d: annotations.latest(fx.versions(s, d)), fx.with_("versions") + 'SELECT annotation_id, max("version") AS "version" FROM versions WHERE n_groups > 0 GROUP BY 1')
 
 
-AREAS = (colours, neighbourhood, labelling, annotation, segments)
+AREAS = (colours, neighbourhood, labelling, annotation, regions, segments)
 
 
 def queries() -> dict:
