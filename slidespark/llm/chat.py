@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import checkpointed
+from slidespark.sources.storage import checkpointed
+
 
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = 0, 1, 2, 3
@@ -216,3 +217,41 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 def digest(turns: DataFrame) -> DataFrame:
     return format_chats(turns)
+
+
+def oracle() -> str:
+    """The same in DuckDB: costs forward turn by turn with the choice that made each, then the way back."""
+    ways = {b: [(a, c - (0 if b == SYSTEM else RELABEL), merged) for a, to, c, merged in moves("system") if to == b] for b in (SYSTEM, USER, ASSISTANT)}
+    own = lambda b: f"CASE WHEN role = '{ROLES[b - 1]}' THEN 0 ELSE {RELABEL} END"
+    best = ", ".join(f"least({', '.join(f'(costs[{a + 1}] + {own(b)} + {c}) * 8 + {i}' for i, (a, c, _) in enumerate(ways[b]))})" for b in ways)
+    pick = lambda k: "CASE " + " ".join(f"WHEN b = {b} AND v[{b}] % 8 = {i} THEN {int(w[k])}" for b in ways for i, w in enumerate(ways[b])) + " END"
+    name = lambda c: f"CASE {c} " + " ".join(f"WHEN {k} THEN '{r}'" for k, r in enumerate(ROLES, 1)) + " END"
+    gap = "CASE WHEN merged = 1 THEN NULL " + " ".join(f"WHEN a = {a} AND b = {b} THEN {g[0]}" for (a, b), g in GAP.items() if g) + " END"
+    far = 1_000_000_000
+    opened = lambda c: "'" + OPEN.replace("\n", "' || chr(10) || '").replace("{}", f"' || {name(c)} || '") + "'"
+    return f"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text, count(*) OVER (PARTITION BY conv_id) AS n,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k
+  FROM conversations),
+f AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS k, [0, {far}, {far}, {far}]::BIGINT[] AS costs, [0, 0, 0]::BIGINT[] AS v FROM t
+  UNION ALL
+  SELECT conv_id, k, [{far}, v[1] // 8, v[2] // 8, v[3] // 8], v
+  FROM (SELECT t.conv_id, t.k, [{best}]::BIGINT[] AS v
+        FROM f JOIN t ON t.conv_id IS NOT DISTINCT FROM f.conv_id AND t.k = f.k + 1)),
+w AS (
+  SELECT f.conv_id, f.k, CASE WHEN costs[2] <= costs[3] AND costs[2] <= costs[4] THEN 1 WHEN costs[3] <= costs[4] THEN 2 ELSE 3 END AS b, list_min(costs) AS cost, v
+  FROM f JOIN t ON t.conv_id IS NOT DISTINCT FROM f.conv_id AND t.k = f.k AND t.k = t.n
+  UNION ALL
+  SELECT f.conv_id, f.k, x.a, x.cost, f.v
+  FROM (SELECT conv_id, k, cost, {pick(0)} AS a FROM w) x JOIN f ON f.conv_id IS NOT DISTINCT FROM x.conv_id AND f.k = x.k - 1 AND f.k > 0),
+r AS (SELECT *, {gap} AS g FROM (SELECT conv_id, k, b, cost, {pick(0)} AS a, {pick(2)} AS merged FROM w))
+SELECT conv_id, CAST((k - 1) * 4 AS BIGINT) AS position, CAST(NULL AS BIGINT) AS turn, {name("g")} AS role, '' AS text, 'insert' AS action,
+       CASE WHEN a = 0 THEN '' ELSE '{CLOSE.strip()}' || chr(10) END || {opened("g")} AS rendered, CAST(cost AS BIGINT) AS cost
+FROM r WHERE g IS NOT NULL
+UNION ALL
+SELECT r.conv_id, CAST((r.k - 1) * 4 + CASE WHEN g IS NULL THEN 0 ELSE 1 END AS BIGINT), CAST(t.turn AS BIGINT), {name("b")}, t.text,
+       CASE WHEN t.role = {name("b")} THEN CASE merged WHEN 1 THEN 'merge' ELSE 'keep' END ELSE CASE merged WHEN 1 THEN 'relabel and merge' ELSE 'relabel' END END,
+       CASE WHEN merged = 1 THEN chr(10) WHEN a = 0 AND g IS NULL THEN {opened("b")} ELSE '{CLOSE.strip()}' || chr(10) || {opened("b")} END || t.text, CAST(cost AS BIGINT)
+FROM r JOIN t ON t.conv_id IS NOT DISTINCT FROM r.conv_id AND t.k = r.k"""

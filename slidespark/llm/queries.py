@@ -35,4 +35,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_link_graph": url_filter.oracle(), "op5_suffix_array_dedup": suffix_dedup.oracle(), "op10_mix_sources": mixing.oracle()}
+    return {"op1_chat_repair": chat.oracle(), "op4_url_link_graph": url_filter.oracle(), "op5_suffix_array_dedup": suffix_dedup.oracle(), "op10_mix_sources": mixing.oracle()}
