@@ -20,19 +20,23 @@ alike; ids may be null or shared; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slidespark.sources.storage import materialize
+
 from . import textops as T
-from .storage import materialize
 
 STATES, TOP, RARE, ROUNDS = 8, 16384, 512, 3
+#: Words whose counts travel with the tasks (6 MB); the counts of all others are joined.
+KNOWN = 1 << 18
 SMOOTH = 0.1
 #: Texts of the first guess, and tokens that are recursed over at once.
-GUESS, BATCH = 400, 1 << 19
+GUESS, BATCH = 400, 3 << 19
 BLOCK = 1024
 U64 = np.uint64
 END = np.int64(0x0123456789ABCDEF)
@@ -52,7 +56,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         train = batch.column("train").to_numpy(zero_copy_only=False)
         data, off = T.buffer(batch.column("text"))
-        for i, j, part, at in T.chunks(data, off, 4 * T.CHUNK_BYTES):
+        for i, j, part, at in T.chunks(data, off, 2 * T.CHUNK_BYTES):
             w, c, first = tokens(part, at)
             use = np.repeat(train[i:j], np.diff(first))
             u, index, n = np.unique(w[use], return_index=True, return_counts=True)
@@ -60,9 +64,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["word", "rare", "n"])
 
 
-def _encode(top: np.ndarray, counts: np.ndarray, n_all: int, n_types: int):
+@dataclass
+class Known:
+    """Frequent words in order of fingerprint: class, log10 of the base model, log10 within the class, and whether they occur."""
+
+    words: np.ndarray
+    cls: np.ndarray
+    base: np.ndarray
+    within: np.ndarray
+    seen: np.ndarray
+
+
+_CODED = "row long, pick long, id {}, train boolean, n_tokens long, base double, within double, known long, classes array<int>, odd array<struct<word long, rare int, times int>>"
+
+
+def _encode(known: Known, classes: int):
     """Class sequence and sums over frequent words of each text, and its rare words with their numbers."""
-    base = np.log10((counts + SMOOTH) / (n_all + SMOOTH * (n_types + 1)))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,12 +91,13 @@ def _encode(top: np.ndarray, counts: np.ndarray, n_all: int, n_types: int):
                 w = np.insert(w, ends, END)
                 rare = np.insert(rare, ends, 0)
                 first = first + np.arange(d + 1)
-                place = np.minimum(np.searchsorted(top, w), max(0, len(top) - 1))
-                known = top[place] == w if len(top) else np.zeros(len(w), bool)
-                cls = np.where(known, place, len(top) + rare).astype(np.int32)
+                place = np.minimum(np.searchsorted(known.words, w), len(known.words) - 1)
+                hit = known.words[place] == w
+                cls = np.where(hit, known.cls[place], classes + rare).astype(np.int32)
                 doc = np.repeat(np.arange(d), np.diff(first))
-                sums = [np.bincount(doc[known], weights=base[place[known]], minlength=d), np.bincount(doc[known & (counts[place] > 0) if len(top) else known], minlength=d)]
-                odd = np.flatnonzero(~known)
+                there, at_ = doc[hit], place[hit]
+                sums = [np.bincount(there, weights=x[at_], minlength=d) for x in (known.base, known.within, known.seen)]
+                odd = np.flatnonzero(~hit)
                 order = odd[np.lexsort((w[odd], doc[odd]))]
                 new = np.ones(len(order), bool)
                 new[1:] = (w[order[1:]] != w[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
@@ -88,87 +106,107 @@ def _encode(top: np.ndarray, counts: np.ndarray, n_all: int, n_types: int):
                 cut = pa.array(np.searchsorted(doc[lead], np.arange(d + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(c).slice(i, d) for c in ("row", "id", "train")),
+                        *(batch.column(c).slice(i, d) for c in ("row", "pick", "id", "train")),
                         pa.array(np.diff(first)),
                         pa.array(sums[0]),
-                        pa.array(sums[1].astype(np.int64)),
+                        pa.array(sums[1]),
+                        pa.array(sums[2].astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(cls)),
                         pa.ListArray.from_arrays(cut, pa.StructArray.from_arrays([pa.array(w[lead]), pa.array(rare[lead]), pa.array(times.astype(np.int32))], ["word", "rare", "times"])),
                     ],
-                    names=["row", "id", "train", "n_tokens", "top_base", "top_known", "classes", "odd"],
+                    names=["row", "pick", "id", "train", "n_tokens", "base", "within", "known", "classes", "odd"],
                 )
 
     return f
 
 
 class Model:
+    """A hidden Markov model; sequences are recursed over together, the longest first, in order of time."""
+
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
 
     def forward(self, cls: np.ndarray, first: np.ndarray, expect: bool = False):
-        """Log10 likelihood of each sequence; with ``expect`` also the Baum-Welch counts."""
+        """Log10 likelihood of each sequence; with ``expect`` also the Baum-Welch counts, for which state shares are held in single precision."""
         size = np.diff(first)
         order = np.argsort(-size, kind="stable")
         at, size = first[:-1][order], size[order]
         steps = int(size[0]) if len(size) else 0
         active = np.searchsorted(-size, -np.arange(steps), "left")
-        column = np.ascontiguousarray(self.emit.T)
-        total, alphas, scales = np.zeros(len(order)), [], []
-        a = None
+        base = np.concatenate([[0], np.cumsum(active)]).astype(np.int64)
+        k, n_all = len(self.start), int(base[-1])
+        which = np.arange(n_all) - np.repeat(base[:-1], active)  # the sequence of each place in order of time
+        seen = cls[at[which] + np.repeat(np.arange(steps), active)]
+        column, ones = np.ascontiguousarray(self.emit.T), np.ones(k)
+        scale = np.empty(n_all)
+        shares = np.empty((n_all, k), np.float32) if expect else None
+        a = np.broadcast_to(self.start, (int(active[0]) if steps else 0, k))
         for t in range(steps):
-            n = active[t]
-            b = column[cls[at[:n] + t]]
-            a = (self.start * b) if t == 0 else (a[:n] @ self.move) * b
-            s = a.sum(axis=1)
+            lo, hi = base[t], base[t + 1]
+            a = a if t == 0 else a[: hi - lo] @ self.move
+            a = a * column[seen[lo:hi]]
+            s = a @ ones
             a /= s[:, None]
-            total[:n] += np.log10(s)
+            scale[lo:hi] = s
             if expect:
-                alphas.append(a)
-                scales.append(s)
-        out = np.empty(len(order))
-        out[order] = total
+                shares[lo:hi] = a
+        out = np.zeros(len(order))
+        out[order] = np.bincount(which, weights=np.log10(scale), minlength=len(order))
         if not expect:
             return out
-        k = len(self.start)
-        gammas, where, moves, starts = [], [], np.zeros((k, k)), np.zeros(k)
-        later = np.ones((0, k))
+        moves, back = np.zeros((k, k)), np.ascontiguousarray(self.move.T)
+        later = None
         for t in range(steps - 1, -1, -1):
-            n = active[t]
-            beta = np.ones((n, k))
-            if t < steps - 1:
-                m = active[t + 1]
-                ahead = column[cls[at[:m] + t + 1]] * later / scales[t + 1][:, None]
-                moves += alphas[t][:m].T @ ahead
-                beta[:m] = ahead @ self.move.T
-            later = beta
-            gammas.append(alphas[t] * beta)
-            where.append(cls[at[:n] + t])
-        if steps:
-            starts = gammas[-1].sum(axis=0)
-        g, w = (np.concatenate(x) if x else np.zeros((0, k)) for x in (gammas, where))
-        w = w.astype(np.int64).ravel()
-        emits = np.stack([np.bincount(w, weights=g[:, i], minlength=self.emit.shape[1]) for i in range(k)]) if len(w) else np.zeros_like(self.emit)
+            lo, hi = base[t], base[t + 1]
+            if later is not None:
+                m = len(later)
+                later *= column[seen[hi : hi + m]]
+                later /= scale[hi : hi + m, None]
+                moves += shares[lo : lo + m].T @ later
+                beta = np.ones((hi - lo, k))
+                np.matmul(later, back, out=beta[:m])
+                shares[lo : lo + m] *= beta[:m]
+                later = beta
+            else:
+                later = np.ones((hi - lo, k))
+        starts = shares[: base[1]].sum(axis=0, dtype=float) if steps else np.zeros(k)
+        emits = np.stack([np.bincount(seen, weights=shares[:, i], minlength=self.emit.shape[1]) for i in range(k)])
         return out, starts, moves * self.move, emits
 
 
-def _batches(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    column = batch.column("classes")
-    off = np.asarray(column.offsets).astype(np.int64)
-    flat = column.flatten().to_numpy()
-    yield from T.chunks(flat, off - off[0], BATCH)
+def _batches(batches: Iterator[pa.RecordBatch], most: int = BATCH) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
+    """Record batches together up to about ``most`` tokens, with their sequences end to end."""
+    held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
+
+    def joined():
+        sizes = np.concatenate([np.diff(off) for _, _, off in held])
+        return [b for b, _, _ in held], np.concatenate([c for _, c, _ in held]), np.concatenate([[0], np.cumsum(sizes)])
+
+    tokens_held = 0
+    for batch in batches:
+        column = batch.column("classes")
+        off = np.asarray(column.offsets).astype(np.int64)
+        flat, off = column.flatten().to_numpy(), off - off[0]
+        for i, j, cls, first in T.chunks(flat, off, most):
+            if held and tokens_held + len(cls) > most:
+                yield joined()
+                held, tokens_held = [], 0
+            held.append((batch.slice(i, j - i), cls, first))
+            tokens_held += len(cls)
+    if held:
+        yield joined()
 
 
 def _expected(model: Model):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, v = model.emit.shape
         total, used = np.zeros((k, 1 + k + v)), False
-        for batch in batches:
-            for _, _, cls, first in _batches(batch):
-                _, starts, moves, emits = model.forward(cls, first, True)
-                total[:, 0] += starts
-                total[:, 1 : k + 1] += moves
-                total[:, k + 1 :] += emits
-                used = True
+        for _, cls, first in _batches(batches):
+            _, starts, moves, emits = model.forward(cls, first, True)
+            total[:, 0] += starts
+            total[:, 1 : k + 1] += moves
+            total[:, k + 1 :] += emits
+            used = True
         if used:
             parts = [(i, total[:, i : i + BLOCK].ravel()) for i in range(0, total.shape[1], BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts]), pa.array([p[1].tolist() for p in parts], pa.list_(pa.float64()))], names=["block", "sums"])
@@ -220,27 +258,51 @@ def guess(texts: list[list[int]], prior: np.ndarray, states: int) -> Model:
     return Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, top: int = TOP, rounds: int = ROUNDS) -> DataFrame:
+def _frequent(counts: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The least count above which at most ``most`` words stand, and these words, their rare classes and counts."""
+    sizes = sorted(counts.groupBy("n").agg(F.count("*").alias("v")).collect(), key=lambda r: -r.n)  # distinct counts: at most the root of twice all tokens
+    least, held = 1 << 62, 0
+    for r in sizes:
+        held += r.v
+        if held > most:
+            break
+        least = r.n
+    t = counts.where(F.col("n") >= least).toArrow()  # at most `most` rows
+    word, rare, n = (t[c].to_numpy() for c in ("word", "rare", "n"))
+    if END not in word:
+        word, rare, n = np.append(word, END), np.append(rare, np.int32(-1)), np.append(n, counts.where(F.col("word") == int(END)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n)
+    order = np.argsort(word)
+    return least, word[order].astype(np.int64), rare[order], n[order].astype(float)
+
+
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, top: int = TOP, known: int = KNOWN, rounds: int = ROUNDS) -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base_score, score) of every text, learning from the rows where ``train`` holds."""
     spark = docs.sparkSession
-    texts = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("pick"), F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
     counts = materialize(texts.select("train", "text").mapInArrow(_count, "word long, rare int, n long").groupBy("word").agg(F.max("rare").alias("rare"), F.sum("n").alias("n")).where("n > 0"))
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, n_types = whole.n, whole.v
-    best = {r.word: r.n for r in counts.orderBy(F.desc("n"), "word").limit(top).collect()}  # at most `top` rows
-    best.setdefault(int(END), 0)
-    words = np.array(sorted(best), np.int64)
-    held = np.array([best[int(w)] for w in words], float)
-    frequent = spark.createDataFrame([(int(w),) for w in words], "word long")
-    rare = counts.join(F.broadcast(frequent), "word", "left_anti")  # at most `top` + 1 rows
-    classes = {r.rare: (r.n, r.v) for r in rare.groupBy("rare").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
+    least, words, rare_of, held = _frequent(counts, known)
+    # the most frequent words are classes of their own; all others share the rare ones
+    own = np.zeros(len(words), bool)
+    own[np.lexsort((words, -held))[:top]] = True
+    own[words == END] = True
+    few = counts.where((F.col("n") < least) & (F.col("word") != int(END)))
+    class_n, class_v = (np.bincount(rare_of[~own], weights=w, minlength=RARE)[:RARE] if (~own).any() else np.zeros(RARE) for w in (held[~own], None))
+    for r in few.groupBy("rare").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # one row for each rare class
+        class_n[r.rare], class_v[r.rare] = class_n[r.rare] + r.n, class_v[r.rare] + r.v
+    n_own = int(own.sum())
+    cls = np.where(own, np.cumsum(own) - 1, n_own + np.maximum(rare_of, 0)).astype(np.int32)
+    safe = np.maximum(rare_of, 0)
+    within = np.where(own, 0.0, np.log10((held + SMOOTH) / (class_n[safe] + SMOOTH * (class_v[safe] + 1))))
+    base = np.log10((held + SMOOTH) / (n_all + SMOOTH * (n_types + 1)))
     kind = dict(docs.select(F.col(id_col)).dtypes)[id_col]
-    coded = materialize(texts.mapInArrow(_encode(words, held, n_all, n_types), f"row long, id {kind}, train boolean, n_tokens long, top_base double, top_known long, classes array<int>, odd array<struct<word long, rare int, times int>>"))
+    coded = materialize(texts.mapInArrow(_encode(Known(words, cls, base, within, (held > 0).astype(float)), n_own), _CODED.format(kind)))
 
-    mass = np.concatenate([held, [classes.get(i, (0, 0))[0] for i in range(RARE)]]) + 0.5
+    mass = np.concatenate([held[own], class_n]) + 0.5
     prior = mass / mass.sum()
-    few = coded.where("train and n_tokens > 20").orderBy("row").limit(GUESS).select(F.slice("classes", 1, 2000).alias("c")).collect()
-    model = guess([r.c for r in few], prior, states)
+    sample = coded.where("train and n_tokens > 20").orderBy("pick", "row").limit(GUESS).select(F.slice("classes", 1, 2000).alias("c")).collect()
+    model = guess([r.c for r in sample], prior, states)
     for _ in range(rounds):
         blocks = coded.where("train").select("classes").mapInArrow(_expected(model), "block long, sums array<double>").repartition("block").mapInArrow(_added, "block long, sums array<double>").collect()  # one row for each block of classes
         total = np.zeros((states, 1 + states + len(prior)))
@@ -248,18 +310,20 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             total[:, r.block : r.block + BLOCK] = np.array(r.sums).reshape(states, -1)
         model = _model(total, prior)
 
+    plain = ("row", "id", "train", "n_tokens", "base", "within", "known")
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = np.zeros(len(batch))
-            for i, j, cls, first in _batches(batch):
-                out[i:j] = model.forward(cls, first)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "id", "train", "n_tokens", "top_base", "top_known")), pa.array(out)], names=["row", "id", "train", "n_tokens", "top_base", "top_known", "sequence"])
-
-    scored = coded.mapInArrow(apply, f"row long, id {kind}, train boolean, n_tokens long, top_base double, top_known long, sequence double")
-    # rare words: their counts come by a join, once for each text and word
-    sizes = spark.createDataFrame([(i, *map(int, classes.get(i, (0, 0)))) for i in range(RARE)], "rare int, class_n long, class_v long")
-    odd = coded.select("row", F.explode("odd").alias("o")).select("row", "o.word", "o.rare", "o.times").distinct()
-    odd = odd.join(rare.select("word", "n"), "word", "left").join(F.broadcast(sizes), "rare")
+        for parts, cls, first in _batches(batches):
+            out, done = model.forward(cls, first), 0
+            for part in parts:
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in plain), pa.array(out[done : done + len(part)])], names=[*plain, "sequence"])
+                done += len(part)
+
+    scored = coded.select(*plain, "classes").mapInArrow(apply, f"row long, id {kind}, train boolean, n_tokens long, base double, within double, known long, sequence double")
+    # words below the known ones: their counts come by a join, once for each text and word
+    sizes = spark.createDataFrame([(i, float(class_n[i]), float(class_v[i])) for i in range(RARE)], "rare int, class_n double, class_v double")
+    odd = coded.where(F.size("odd") > 0).select("row", F.explode("odd").alias("o")).select("row", "o.word", "o.rare", "o.times")
+    odd = odd.join(few.select("word", "n"), "word", "left").join(F.broadcast(sizes), "rare")
     n, times = F.coalesce("n", F.lit(0)), F.col("times")
     odd = odd.groupBy(F.col("row").alias("odd_row")).agg(
         F.sum(F.when(n > 0, times).otherwise(0)).alias("odd_known"),
@@ -268,7 +332,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     )
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     out = scored.join(odd, F.col("row") == F.col("odd_row"), "left")
-    return out.select("id", "train", "n_tokens", (F.col("top_known") + F.coalesce("odd_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("top_base") + z("odd_base")).alias("base_score"), (F.col("sequence") + z("odd_within")).alias("score"))
+    return out.select("id", "train", "n_tokens", (F.col("known") + F.coalesce("odd_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + z("odd_base")).alias("base_score"), (F.col("sequence") + F.col("within") + z("odd_within")).alias("score"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
