@@ -301,7 +301,9 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     mass = np.concatenate([held[own], class_n]) + 0.5
     prior = mass / mass.sum()
-    sample = coded.where("train and n_tokens > 20").orderBy("pick", "row").limit(GUESS).select(F.slice("classes", 1, 2000).alias("c")).collect()
+    chosen = [r.row for r in coded.where("train and n_tokens > 20").select("pick", "row").orderBy("pick", "row").limit(GUESS).collect()]  # numbers only: every partition offers as many
+    sample = coded.where(F.col("row").isin(chosen)).select("pick", "row", F.slice("classes", 1, 2000).alias("c")).collect() if chosen else []
+    sample.sort(key=lambda r: (r.pick, r.row))
     model = guess([r.c for r in sample], prior, states)
     for _ in range(rounds):
         blocks = coded.where("train").select("classes").mapInArrow(_expected(model), "block long, sums array<double>").repartition("block").mapInArrow(_added, "block long, sums array<double>").collect()  # one row for each block of classes
