@@ -12,9 +12,10 @@ Texts are linked at 0.8 or more; a class is a connected component of links.
    vertices with an equal sketch share a bucket. At similarity 0.8 a sketch agrees with
    chance 0.8 ** 3 = 0.51 or more, so all 20 bands miss a link with chance below 1e-6.
 3. In buckets of up to ``small`` vertices all pairs are candidates; in larger ones the
-   pairs with two hubs (least and greatest vertex). Larger buckets whose members the links
-   leave in several classes go on to sketches of twice as many minima in four times as many
-   bands, where texts that only share a passage fall apart, until none is left.
+   pairs with two hubs (least and greatest by class). Larger buckets whose other members the
+   links leave in several classes go on to sketches of twice as many minima in four times as many
+   bands, where texts that only share a passage fall apart, until none is left. Pairs whose
+   ends earlier links have put into one class are not compared again.
 4. Candidates of lengths within the threshold are aligned: as labels are unique, the longest
    common subsequence is a longest increasing run of positions, within the band of
    ``(n + m) / 9`` shifts that similarity 0.8 allows.
@@ -34,9 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slidespark.operators.components import components
+from slidespark.sources.storage import materialize
+
 from . import textops as T
-from .components import components
-from .storage import materialize
 
 THRESHOLD = 0.8
 SHINGLE = 5
@@ -149,15 +151,21 @@ def _verify(threshold: float):
 
 
 def _candidates(members: DataFrame, small: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs to align, and the members of large buckets, from (v, n, key)."""
-    sized = members.groupBy("key").agg(F.count("*").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("m > 1")
+    """Distinct pairs to align, and the members of large buckets besides their hubs, from (v, n, root, key).
+
+    Pairs within a class that earlier links made, and buckets of one class, are left out. The hubs of
+    a large bucket are of different classes, and are compared with all of it that is in another one.
+    """
+    at = F.struct("root", "v")
+    sized = members.groupBy("key").agg(F.count("*").alias("m"), F.min(at).alias("lo"), F.max(at).alias("hi")).where("m > 1 and lo.root <> hi.root")
     crowd = materialize(members.join(sized, "key"))
     few, many = crowd.where(F.col("m") <= small), crowd.where(F.col("m") > small)
-    left = few.select("key", F.col("v").alias("a"), F.col("n").alias("na"))
-    pairs = left.join(few.select("key", F.col("v").alias("b"), F.col("n").alias("nb")), "key").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b")
-    to_lo = many.where("v > lo").select(F.col("lo").alias("a"), F.col("v").alias("b"))
-    to_hi = many.where("v < hi").select(F.col("v").alias("a"), F.col("hi").alias("b"))
-    return pairs.union(to_lo).union(to_hi).distinct(), many.select("key", "v")
+    left = few.select("key", F.col("v").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    right = few.select("key", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b")
+    spokes = [many.where(F.col("root") != F.col(f"{h}.root")).select(F.least("v", f"{h}.v").alias("a"), F.greatest("v", f"{h}.v").alias("b")) for h in ("lo", "hi")]
+    rest = many.where((F.col("v") != F.col("lo.v")) & (F.col("v") != F.col("hi.v")))
+    return pairs.union(spokes[0]).union(spokes[1]).distinct(), rest.select("key", "v")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, small: int = SMALL, levels=LEVELS) -> tuple[DataFrame, DataFrame]:
@@ -165,7 +173,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.md5(F.col(text_col)).alias("digest"))
     rows = materialize(texts.mapInArrow(_sketch(levels[0]), "id long, digest string, v binary, n int, keys array<long>"))
     vertices = materialize(rows.where("n > 0").groupBy("v").agg(F.min(F.struct("digest", "id")).alias("lead"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    members = vertices.select("v", "n", F.explode("keys").alias("key"))
+    members = vertices.select("v", "n", F.col("v").alias("root"), F.explode("keys").alias("key"))
     edges, roots = None, None
     for level in (*levels[1:], None):
         pairs, large = _candidates(members, small, threshold)
@@ -181,11 +189,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
             break
         classes = large.join(roots, "v", "left").select("key", "v", F.coalesce("root", "v").alias("root"))
         open_ = classes.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("key")
-        again = materialize(classes.join(open_, "key").select("v").distinct())
+        again = materialize(classes.join(open_, "key").select("v", "root").distinct())
         if again.isEmpty():
             break
         held = _texts(texts, again.join(vertices.select("v", "lead"), "v"))
-        members = held.select(F.lit(0).cast("long").alias("id"), F.lit("").alias("digest"), "text").mapInArrow(_sketch(level), "id long, digest string, v binary, n int, keys array<long>").select("v", "n", F.explode("keys").alias("key"))
+        members = held.select(F.lit(0).cast("long").alias("id"), F.lit("").alias("digest"), "text").mapInArrow(_sketch(level), "id long, digest string, v binary, n int, keys array<long>").join(again, "v").select("v", "n", "root", F.explode("keys").alias("key"))
     return rows.select("id", "v", "n"), roots
 
 
