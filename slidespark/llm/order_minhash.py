@@ -9,14 +9,20 @@ Texts are linked at 0.8 or more; a class is a connected component of links.
 
 1. Texts with equal word sequences are one vertex (128-bit fingerprint).
 2. ``bands`` sketches each keep the ``mins`` labelled shingles of least hash in text order;
-   vertices with an equal sketch share a bucket. At similarity 0.8 a sketch agrees with
-   chance 0.8 ** 3 = 0.51 or more, so all 20 bands miss a link with chance below 1e-6.
+   vertices with an equal sketch share a bucket. At similarity 0.8 a sketch of a long text agrees
+   with chance 0.8 ** 3 = 0.51, so all 20 bands miss a link with chance below 1e-6 (2e-6 at 15
+   shingles). Texts so short that a link leaves out at most two shingles of either are linked
+   exactly: their sequences with up to two left out are keys, and of all that share a key the one
+   that leaves out least is compared with the rest, which holds every link to the others.
 3. In buckets of up to ``small`` vertices all pairs are candidates; in larger ones the
    pairs with two hubs (least and greatest by class). Larger buckets whose other members the
    links leave in several classes go on to sketches of twice as many minima in four times as many
-   bands, where texts that only share a passage fall apart, until none is left. Pairs whose
-   ends earlier links have put into one class are not compared again.
-4. Candidates of lengths within the threshold are aligned: as labels are unique, the longest
+   bands, where texts that only share a passage fall apart. Pairs whose ends earlier links have
+   put into one class are not compared again.
+4. Vertices of first-level buckets that the links of all levels still leave in several classes
+   are joined exactly: linked texts share one of the rarest shingles that make up the first fifth
+   of each and one more. All pairs with such a shingle whose lengths and places allow a link are candidates.
+5. Candidates of lengths within the threshold are aligned: as labels are unique, the longest
    common subsequence is a longest increasing run of positions, within the band of
    ``(n + m) / 9`` shifts that similarity 0.8 allows.
 
@@ -29,10 +35,12 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slidespark.operators.components import components
@@ -45,6 +53,9 @@ SHINGLE = 5
 #: (minima, bands, seed) of each level of sketches.
 LEVELS = ((3, 20, 0), (6, 80, 100), (12, 320, 1000))
 SMALL = 8
+#: Members of a block; two blocks of a shingle's texts meet in one group.
+BLOCK = 64
+_SKETCHED = "id long, digest string, v binary, n int, keys array<long>, cuts array<long>"
 U64 = np.uint64
 
 
@@ -77,6 +88,29 @@ def sketches(x: np.ndarray, mins: int, bands: int, seed: int) -> np.ndarray:
     return out
 
 
+def most_cut(n: int, threshold: float = THRESHOLD) -> int:
+    """How many of ``n`` shingles a link can leave out."""
+    return int(n * (1 - threshold) + 1e-9)
+
+
+def cut_keys(x: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """A hash of the sequence and of each with one and with two left out, as far as a link allows; none if it allows more."""
+    n, most = len(x), most_cut(len(x), threshold)
+    if most > 2:
+        return np.zeros(0, U64)
+    parts = []
+    for d in range(most + 1):
+        out = np.array(list(combinations(range(n), d)), np.int64).reshape(comb(n, d), d)
+        keep = np.ones((len(out), n), bool)
+        keep[np.arange(len(out))[:, None], out] = False
+        kept = np.broadcast_to(x, keep.shape)[keep].reshape(len(out), n - d)
+        key = np.full(len(out), U64(n - d) * T.ODD[62])
+        for i in range(n - d):
+            key = T.mix(key + kept[:, i] * T.ODD[61])
+        parts.append(key)
+    return np.concatenate(parts)
+
+
 def similarity(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> float:
     """Longest common subsequence over union of unique labels; -1 where it can't reach the threshold."""
     n, m = len(x), len(y)
@@ -109,7 +143,8 @@ def similarity(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> fl
     return score if score >= threshold - 1e-12 else -1.0
 
 
-def _sketch(level: tuple[int, int, int]):
+def _sketch(level: tuple[int, int, int], cut: float | None = None):
+    """Sketches of a level, and the cut keys of short texts for a threshold if it is given."""
     mins, bands, seed = level
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,8 +154,12 @@ def _sketch(level: tuple[int, int, int]):
                 x, first, prints = labelled(part, at)
                 n = np.diff(first)
                 keys = np.zeros((j - i, bands), U64)
+                cuts = [np.zeros(0, U64)] * (j - i)
                 for k in np.flatnonzero(n):
-                    keys[k] = sketches(x[first[k] : first[k + 1]], mins, bands, seed)
+                    one = x[first[k] : first[k + 1]]
+                    keys[k] = sketches(one, mins, bands, seed)
+                    if cut is not None:
+                        cuts[k] = cut_keys(one, cut)
                 flat = pa.array(T.signed(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -129,13 +168,29 @@ def _sketch(level: tuple[int, int, int]):
                         pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), j - i, [None, pa.py_buffer(prints.tobytes())]).cast(pa.binary()),
                         pa.array(n.astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * bands, bands, dtype=np.int32)), flat),
+                        _lists(cuts),
                     ],
-                    names=["id", "digest", "v", "n", "keys"],
+                    names=["id", "digest", "v", "n", "keys", "cuts"],
                 )
 
     return f
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(T.signed(np.concatenate(parts))))
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, root, xs): the labelled shingles of each text."""
+    for batch in batches:
+        data, off = T.buffer(batch.column("text"))
+        for i, j, part, at in T.chunks(data, off):
+            x, first, _ = labelled(part, at)
+            xs = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(T.signed(x)))
+            yield pa.RecordBatch.from_arrays([batch.column("v").slice(i, j - i), batch.column("root").slice(i, j - i), xs], names=["v", "root", "xs"])
+
+
 def _verify(threshold: float):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,35 +223,84 @@ def _candidates(members: DataFrame, small: int, threshold: float) -> tuple[DataF
     return pairs.union(spokes[0]).union(spokes[1]).distinct(), rest.select("key", "v")
 
 
+def _short_pairs(vertices: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that hold all links of short texts: of the vertices of each key, the one that leaves out least with all others.
+
+    With ``d`` and ``e`` of the two left out beside ``c`` common ones, a link is ``c / (c + d + e)`` at the
+    threshold or more; where that holds for two vertices, it holds for each of them and the one that leaves out least.
+    """
+    cut = vertices.select("v", "n", F.posexplode("cuts").alias("k", "key")).select("v", "n", "key", F.when(F.col("k") == 0, 0).when(F.col("k") <= F.col("n"), 1).otherwise(2).alias("d"))
+    lead = cut.groupBy("key").agg(F.min(F.struct("d", "v")).alias("lo"), F.count("*").alias("m")).where("m > 1").select("key", "lo")
+    common = F.col("n") - F.col("d")
+    near = cut.join(lead, "key").where((F.col("v") != F.col("lo.v")) & (common >= threshold * (common + F.col("d") + F.col("lo.d")) - 1e-9))
+    return near.select(F.least("v", "lo.v").alias("a"), F.greatest("v", "lo.v").alias("b")).distinct()
+
+
+def _rest_pairs(held: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of (v, root, text) of different roots that can be linked, by the rarest shingles of each.
+
+    A link has ``threshold * n`` shingles in common or more, so with all shingles in one order two linked
+    texts share one among the first ``n - threshold * n + 1`` of each; after the first that they share, enough must follow.
+    """
+    x = materialize(held.select("v", "root", "text").mapInArrow(_shingles, "v binary, root binary, xs array<long>").select("v", "root", F.size("xs").alias("n"), F.explode("xs").alias("x")))
+    often = x.groupBy("x").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("v").orderBy("often", "x")
+    first = x.join(often, "x").withColumn("at", F.row_number().over(order)).where((F.col("often") > 1) & (F.col("at") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1))
+    first = materialize(first.select("v", "root", "n", "x", "at"))
+    shared = first.groupBy("x").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("x", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    dealt = first.join(shared, "x").withColumn("block", F.pmod(F.xxhash64("v"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = lambda c, i, j: dealt.select("x", F.col("block").alias(i), F.col("other").alias(j), F.col("v").alias(c), F.col("root").alias(f"r{c}"), F.col("n").alias(f"n{c}"), (F.col("n") - F.col("at")).alias(f"t{c}"))
+    both = side("a", "i", "j").join(side("b", "j", "i"), ["x", "i", "j"])
+    need = threshold * (F.col("na") + F.col("nb")) / (1 + threshold) - 1e-9
+    fit = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & (1 + F.least("ta", "tb") >= need)
+    return both.where(fit).select("a", "b").distinct()
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, small: int = SMALL, levels=LEVELS) -> tuple[DataFrame, DataFrame]:
     """(id, v) of every row with the vertex of its text, and (v, root) of all vertices that have a link."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.md5(F.col(text_col)).alias("digest"))
-    rows = materialize(texts.mapInArrow(_sketch(levels[0]), "id long, digest string, v binary, n int, keys array<long>"))
-    vertices = materialize(rows.where("n > 0").groupBy("v").agg(F.min(F.struct("digest", "id")).alias("lead"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    rows = materialize(texts.mapInArrow(_sketch(levels[0], threshold), _SKETCHED))
+    vertices = materialize(rows.where("n > 0").groupBy("v").agg(F.min(F.struct("digest", "id")).alias("lead"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("cuts").alias("cuts")))
     members = vertices.select("v", "n", F.col("v").alias("root"), F.explode("keys").alias("key"))
-    edges, roots = None, None
+    edges, roots, crowded = None, None, None
     for level in (*levels[1:], None):
         pairs, large = _candidates(members, small, threshold)
-        pairs = materialize(pairs)
-        ends = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
-        wanted = ends.join(vertices.select("v", "lead"), "v").select("v", "lead")
-        held = materialize(_texts(texts, wanted))
-        both = pairs.join(held.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
-        new = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold), "a binary, b binary"))
-        edges = new if edges is None else edges.union(new)
-        roots = components(edges)
+        if edges is None:
+            pairs, crowded = pairs.union(_short_pairs(vertices, threshold)).distinct(), large
+        edges, roots = _linked(texts, vertices, pairs, edges, threshold)
         if level is None:
             break
-        classes = large.join(roots, "v", "left").select("key", "v", F.coalesce("root", "v").alias("root"))
-        open_ = classes.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("key")
-        again = materialize(classes.join(open_, "key").select("v", "root").distinct())
+        again = _open(large, roots)
         if again.isEmpty():
             break
         held = _texts(texts, again.join(vertices.select("v", "lead"), "v"))
-        members = held.select(F.lit(0).cast("long").alias("id"), F.lit("").alias("digest"), "text").mapInArrow(_sketch(level), "id long, digest string, v binary, n int, keys array<long>").join(again, "v").select("v", "n", "root", F.explode("keys").alias("key"))
+        members = held.select(F.lit(0).cast("long").alias("id"), F.lit("").alias("digest"), "text").mapInArrow(_sketch(level), _SKETCHED).join(again, "v").select("v", "n", "root", F.explode("keys").alias("key"))
+    again = _open(crowded, roots)
+    if not again.isEmpty():
+        held = _texts(texts, again.join(vertices.select("v", "lead"), "v")).join(again, "v")
+        edges, roots = _linked(texts, vertices, _rest_pairs(held, threshold), edges, threshold)
     return rows.select("id", "v", "n"), roots
 
 
+def _linked(texts: DataFrame, vertices: DataFrame, pairs: DataFrame, edges: DataFrame | None, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The edges with those of the pairs that are links, and their components."""
+    pairs = materialize(pairs)
+    ends = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
+    wanted = ends.join(vertices.select("v", "lead"), "v").select("v", "lead")
+    held = materialize(_texts(texts, wanted))
+    both = pairs.join(held.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
+    new = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold), "a binary, b binary"))
+    edges = new if edges is None else edges.union(new)
+    return edges, components(edges)
+
+
+def _open(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """(v, root) of the members of buckets that are in several classes."""
+    classes = large.join(roots, "v", "left").select("key", "v", F.coalesce("root", "v").alias("root"))
+    open_ = classes.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("key")
+    return materialize(classes.join(open_, "key").select("v", "root").distinct())
+
+
 def _texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(v, text): one text for each wanted vertex, by the digest and id that lead it."""
     wanted = wanted.select(F.col("v"), F.col("lead.digest").alias("d"), F.col("lead.id").alias("i"))

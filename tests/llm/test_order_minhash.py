@@ -37,3 +37,30 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(5, t), (5, t), (None, t), (9, None), (None, None)], "doc_id long, text string")
     assert sorted((str(r.doc_id), str(r.class_id)) for r in O.digest(df).collect()) == [("5", "5"), ("5", "5"), ("9", "9"), ("None", "5"), ("None", "None")]
     assert O.digest(df.limit(0)).count() == 0
+
+
+def test_short_texts_in_crowded_buckets(spark):
+    texts = []
+    for n in (8, 9, 12, 13):
+        base = [f"w{n}x{i}" for i in range(n)]
+        texts += [" ".join(base), *(" ".join([*base, f"e{n}x{i}"] if i % 2 else [f"e{n}x{i}", *base]) for i in range(40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = O.brute_force(texts)
+    assert len(set(want)) == 4
+    assert [r.class_id for r in sorted(O.near_duplicates(df).collect(), key=lambda r: r.id)] == want
+
+
+def test_buckets_left_open_are_compared_in_full(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(50)]
+    texts = []
+    for _ in range(15):
+        own = [word() for _ in range(22)]
+        texts += [" ".join([*passage, *own]), " ".join([*passage, *own[:-3], word()])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = O.brute_force(texts)
+    assert len(set(want)) == 15
+    for levels in (O.LEVELS[:1], ((1, 4, 0),)):
+        rows = O.near_duplicates(df, small=2, levels=levels).collect()
+        assert [r.class_id for r in sorted(rows, key=lambda r: r.id)] == want
