@@ -123,15 +123,16 @@ add("painter_mask", lambda s, d: spatial.paint(fx.elements(s, d), fx.gt_codes(s)
 add("painter_areas", lambda s, d: spatial.paint(fx.elements(s, d), fx.gt_codes(s), 16).groupBy("gt_code").agg(F.count("*").alias("n")), _PAINT + "SELECT gt_code, count(*) n FROM (SELECT gt_code FROM c QUALIFY row_number() OVER (PARTITION BY slide_id, y, x ORDER BY overlay_order DESC, a, element_id DESC) = 1) GROUP BY 1")
 
 
-def _triangles(s, d):
-    e = fx.elements(s, d).where("element_id % 40 = 0")
+def _triangles(e):
+    """Pixels inside the triangle of each element."""
     ends = F.array(*(F.struct(F.col(a).cast("double").alias("x1"), F.col(b).cast("double").alias("y1"), F.col(c).cast("double").alias("x2"), F.col(g).cast("double").alias("y2")) for a, b, c, g in (("xmin", "ymin", "xmax", "ymin"), ("xmax", "ymin", "xmin", "ymax"), ("xmin", "ymax", "xmin", "ymin"))))
     edges = e.select("element_id", F.explode(ends).alias("s")).select("element_id", "s.*")
     points = e.select("element_id", F.explode(F.sequence("ymin", "ymax")).alias("y"), "xmin", "xmax").select("element_id", "y", F.explode(F.sequence("xmin", "xmax")).alias("x"))
     return spatial.crossings(edges, points, "element_id").groupBy("element_id").agg(F.count("*").alias("n"))
 
 
-add("polygon_mask", _triangles, fx.with_("elements") + ", g AS (SELECT CAST(range AS INT) k FROM range(0, 6000)) SELECT element_id, count(*) n FROM elements JOIN g y ON y.k >= ymin AND y.k < ymax JOIN g x ON x.k >= xmin AND x.k < xmax + (y.k - ymin) * (xmin - xmax)::DOUBLE / (ymax - ymin) WHERE element_id % 40 = 0 GROUP BY 1")
+add("polygon_mask", lambda s, d: _triangles(fx.elements(s, d).where("element_id % 40 = 0")), fx.with_("elements") + ", g AS (SELECT CAST(range AS INT) k FROM range(0, 6000)) SELECT element_id, count(*) n FROM elements JOIN g y ON y.k >= ymin AND y.k < ymax JOIN g x ON x.k >= xmin AND x.k < xmax + (y.k - ymin) * (xmin - xmax)::DOUBLE / (ymax - ymin) WHERE element_id % 40 = 0 GROUP BY 1")
+add("polygon_mask_all", lambda s, d: _triangles(fx.elements(s, d)))
 add("roi_subtiles", lambda s, d: spatial.sub_tiles(fx.elements(s, d), 40), fx.with_("elements") + ", g AS (SELECT CAST(range AS INT) k FROM range(0, 10)) SELECT slide_id, element_id, xmin + b.k * 40 xmin, ymin + a.k * 40 ymin, least(xmin + b.k * 40 + 40, xmax) xmax, least(ymin + a.k * 40 + 40, ymax) ymax FROM elements JOIN g a ON ymin + a.k * 40 <= greatest(ymax - 1, ymin) JOIN g b ON xmin + b.k * 40 <= greatest(xmax - 1, xmin)")
 _cards = lambda s, d: fx.elements(s, d).where("element_id % 8 = 1").select("slide_id", F.col("element_id").alias("tile_id"), (F.col("xmax") - F.col("xmin")).alias("width"), (F.col("ymax") - F.col("ymin")).alias("height"))
 add(
