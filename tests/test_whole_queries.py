@@ -18,3 +18,23 @@ def test_every_polygon_has_a_mask(spark):
         want[e.element_id] = sum(sum(x * h < w * h - y * w for x in range(w)) for y in range(h))
     got = {r.element_id: r.n for r in registry.queries()["polygon_mask_all"](spark, SF).collect()}
     assert got == want
+
+
+def test_every_tile_has_a_place(spark):
+    slides = {}
+    for e in fx.elements(spark, SF).collect():
+        slides.setdefault(e.slide_id, []).append((e.element_id, e.xmax - e.xmin, e.ymax - e.ymin))
+    want = set()
+    for slide, tiles in slides.items():
+        tiles.sort()
+        for g in range(0, len(tiles), 10):
+            y = 1
+            for r in range(g, min(g + 10, len(tiles)), 2):
+                strip, x, y = tiles[r : min(r + 2, g + 10)], 1, y + 25
+                for c, (tile, w, h) in enumerate(strip):
+                    x += 25
+                    want.add((slide, tile, g // 10, (r - g) // 2, c, x, y, x + w, y + h))
+                    x += w
+                y += max(h for _, _, h in strip)
+    got = registry.queries()["gallery_layout_all"](spark, SF).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
