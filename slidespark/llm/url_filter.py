@@ -7,6 +7,10 @@ rules allow, distrust flows against them from the shares that they block (person
 PageRank from both kinds of seeds; a host without a link to follow keeps its own). A host is
 blocked if its distrust exceeds its trust and reaches ``threshold``.
 
+That splits the distrust of a host among all that link to it, so it falls with their number. With
+``averaged`` nothing is split: the distrust of a host is the mean of that of the hosts that it links to, its
+trust the mean of that of the hosts that link to it, both between 0 and 1 on a graph of any size.
+
 Links are absolute or scheme-relative targets of href and src in the pages' html; counts are
 summed by pair of hosts before they are shuffled by one. Null urls, and urls without ``://``,
 have empty host and path, which no rule fits, and take part in no link; a null html has no
@@ -58,11 +62,11 @@ def links(pages: DataFrame, host: str = "host", html_col: str = "html") -> DataF
     return found.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def _spread(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> DataFrame:
-    """(host, mass) by personalised PageRank over (a, b, n) from the seeds (host, seed)."""
-    total = edges.groupBy("a").agg(F.sum("n").alias("all"))
-    steps = materialize(edges.join(total, "a").select("a", "b", (F.col("n") / F.col("all")).alias("w")))
-    hosts = materialize(seeds.join(total.select(F.col("a").alias("host"), F.lit(1).alias("out")), "host", "left"))
+def _spread(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float, by: str = "a") -> DataFrame:
+    """(host, mass) by personalised PageRank over (a, b, n) from the seeds (host, seed); by ``b``, means of what comes in."""
+    total = edges.groupBy(by).agg(F.sum("n").alias("all"))
+    steps = materialize(edges.join(total, by).select("a", "b", (F.col("n") / F.col("all")).alias("w")))
+    hosts = materialize(seeds.join(total.select(F.col(by).alias("host"), F.lit(1).alias("out")), "host", "left"))
     mass = hosts.select("host", F.col("seed").alias("mass"))
     for _ in range(rounds):
         flow = steps.join(mass, F.col("a") == F.col("host")).groupBy(F.col("b").alias("to")).agg(F.sum(F.col("w") * F.col("mass")).alias("flow"))
@@ -72,7 +76,7 @@ def _spread(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) ->
     return mass
 
 
-def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules: Sequence[tuple[str, str]] = RULES, threshold: float = THRESHOLD, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules: Sequence[tuple[str, str]] = RULES, threshold: float = THRESHOLD, rounds: int = ROUNDS, damping: float = DAMPING, averaged: bool = False) -> DataFrame:
     """Adds host, path, rule, verdict, trust and distrust to every page."""
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "rule_verdict", "verdict", "trust", "distrust")]
     known = ruled(pages.select(*names), url_col, rules)
@@ -84,8 +88,9 @@ def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules:
     else:
         ends = reduce(DataFrame.union, [edges.select(F.col(c).alias("host")) for c in ("src", "dst")]).distinct()
         seeds = materialize(seeds.join(ends, "host", "full").fillna(0.0, ["good", "bad"]))
-        good = _spread(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "n"), seeds.select("host", F.col("good").alias("seed")), rounds, damping)
-        bad = _spread(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "n"), seeds.select("host", F.col("bad").alias("seed")), rounds, damping)
+        by = "b" if averaged else "a"
+        good = _spread(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "n"), seeds.select("host", F.col("good").alias("seed")), rounds, damping, by)
+        bad = _spread(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "n"), seeds.select("host", F.col("bad").alias("seed")), rounds, damping, by)
         mass = good.withColumnRenamed("mass", "trust").join(bad.withColumnRenamed("mass", "distrust"), "host")
     out = known.join(mass.withColumnRenamed("host", "__host"), F.col("host") == F.col("__host"), "left").drop("__host").fillna(0.0, ["trust", "distrust"])
     blocked = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
@@ -96,6 +101,10 @@ def digest(pages: DataFrame) -> DataFrame:
     return judge(pages.select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def digest_averaged(pages: DataFrame) -> DataFrame:
+    return judge(pages.select("page_id", "url", "html"), averaged=True).select("page_id", "host", "path", "rule", "verdict")
+
+
 def oracle(rules: Sequence[tuple[str, str]] = RULES, threshold: float = THRESHOLD, rounds: int = ROUNDS, damping: float = DAMPING) -> str:
     """The same in DuckDB, a table for each round of propagation."""
     order = sorted(rules, key=lambda r: (-len(r[1]), r[0] != "block"))

@@ -52,3 +52,18 @@ def test_propagation_matches_power_iteration(spark):
         assert got[h].trust == pytest.approx(trust[h]) and got[h].distrust == pytest.approx(distrust[h])
     assert got["spam.org"].verdict == ("block" if distrust["spam.org"] >= 0.2 and distrust["spam.org"] > trust["spam.org"] else "allow")
     assert np.isclose(sum(distrust.values()), sum(r.distrust for r in got.values()))
+
+
+def test_means_do_not_fall_with_the_number_of_linkers(spark):
+    links = {"bad.net": [], "good.com": ["fine.org"], "fine.org": ["bad.net", *(f"n{i}.org" for i in range(9))], "far.org": ["farm0.org"]}
+    links |= {f"farm{i}.org": ["bad.net"] for i in range(30)}
+    rows = [(i, f"http://{h}{'/es/' if h == 'bad.net' else '/'}", " ".join(f'<a href="http://{x}">' for x in out)) for i, (h, out) in enumerate(links.items())]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.host: r for r in U.judge(df, averaged=True).collect()}
+    assert all(got[f"farm{i}.org"].verdict == "block" and got[f"farm{i}.org"].distrust == pytest.approx(U.DAMPING) for i in range(30))
+    assert got["far.org"].verdict == "block" and got["far.org"].distrust == pytest.approx(U.DAMPING**2)
+    assert got["fine.org"].verdict == "allow" and got["fine.org"].distrust == pytest.approx(U.DAMPING / 10)
+    assert got["fine.org"].trust == pytest.approx(U.DAMPING)
+    split = {r.host: r.verdict for r in U.digest(df).collect()}
+    assert split["farm1.org"] == "allow"
+    assert {r.host: r.verdict for r in U.digest_averaged(df).collect()}["farm1.org"] == "block"
