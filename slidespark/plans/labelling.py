@@ -27,6 +27,7 @@ add(
 c AS (SELECT o.slide_id, g.y, g.x, (o.y - g.y) * (o.y - g.y) + (o.x - g.x) * (o.x - g.x) d2, label FROM o JOIN g ON abs(o.y - g.y) <= 4 AND abs(o.x - g.x) <= 4)
 SELECT slide_id, y, x, label FROM c WHERE d2 <= 16 AND (slide_id, y, x) NOT IN (SELECT slide_id, y, x FROM o) QUALIFY row_number() OVER (PARTITION BY slide_id, y, x ORDER BY d2, label) = 1""",
 )
+add("ring_labels_all", lambda s, d: labels.ring(fx.blocks(s, d), SIDE, SIDE, 4))
 _REACH = """, b AS (SELECT slide_id, y, x, CAST(dense_rank() OVER (PARTITION BY slide_id ORDER BY label) AS INT) label FROM blocks), e AS (SELECT a.slide_id, a.label, a.y * 1048576 + a.x p, c.y * 1048576 + c.x q FROM b a JOIN b c ON a.slide_id = c.slide_id AND a.label = c.label AND abs(a.y - c.y) <= 1 AND abs(a.x - c.x) <= 1),
 r(slide_id, label, p, root) AS (SELECT DISTINCT slide_id, label, p, p FROM e UNION SELECT e.slide_id, e.label, e.q, r.root FROM r JOIN e ON e.slide_id = r.slide_id AND e.label = r.label AND e.p = r.p WHERE r.root < e.q),
 m AS (SELECT slide_id, label, p, min(root) root FROM r GROUP BY 1, 2, 3) """

@@ -38,3 +38,18 @@ def test_every_tile_has_a_place(spark):
                 y += max(h for _, _, h in strip)
     got = registry.queries()["gallery_layout_all"](spark, SF).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_every_object_has_a_ring(spark):
+    slides = {}
+    for b in fx.blocks(spark, SF).collect():
+        slides.setdefault(b.slide_id, {})[b.y, b.x] = b.label
+    want = set()
+    for slide, at in slides.items():
+        for y in range(48):
+            for x in range(48):
+                near = [(dy * dy + dx * dx, at[y + dy, x + dx]) for dy in range(-4, 5) for dx in range(-4, 5) if dy * dy + dx * dx <= 16 and (y + dy, x + dx) in at]
+                if near and (y, x) not in at:
+                    want.add((slide, y, x, min(near)[1]))
+    got = registry.queries()["ring_labels_all"](spark, SF).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
