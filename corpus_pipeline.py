@@ -16,17 +16,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, that of the least id; of rows alike in id, one. Rows without an id stay unless their text has one."""
+    """One document of each class, that of the least id, one without an id only where none has one; of rows alike without a word, one."""
     key = F.xxhash64("doc_id", "text", "lang", "source", "n_chars")
-    marked = docs.withColumn("__row", F.struct(key.alias("k"), F.col("doc_id").alias("d")))
-    classes = order_minhash.near_duplicates(docs)
-    best = classes.where(F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("__id")).distinct()
-    return marked.join(best, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["__row"]).drop("__row")
+    held = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    classes = order_minhash.near_duplicates(held, id_col="__row").select(F.col("id").alias("__id"), "class_id")
+    lead = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col("__row").alias("row"))
+    best = held.select("doc_id", "__row").join(classes, F.col("__row") == F.col("__id")).groupBy("class_id").agg(F.min(lead).alias("lead")).select(F.col("lead.row").alias("__id"))
+    kept = held.join(best, F.col("__row") == F.col("__id"), "left_semi")
+    return kept.withColumn("__row", F.struct(key.alias("k"), F.col("doc_id").alias("d"))).dropDuplicates(["__row"]).drop("__row")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the later copies of repeated passages; documents of which nothing remains go."""
-    cut = suffix_dedup.remove_repeats(docs, keep_first=True)
+    # rows without an id come first, in an order of their own, so that one of them is the earliest
+    own = F.pmod(F.xxhash64("text"), F.lit(2**62)) + F.lit(-(2**63))
+    cut = suffix_dedup.remove_repeats(docs.withColumn("__rank", F.coalesce("doc_id", own)), id_col="__rank", keep_first=True)
     text = F.when(F.col("n_removed") > 0, _decoded(F.col("kept"))).otherwise(F.col("text"))
     return cut.where("n_removed = 0 or n_removed < n_bytes").withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text).select(*docs.columns)
 

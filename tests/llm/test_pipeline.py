@@ -49,3 +49,21 @@ def test_stages_match_brute_force(spark, tmp_path):
     empty = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_rows_without_an_id(spark):
+    r = random.Random(5)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    a, b, passage = prose(80), prose(80), prose(60)
+    near = lambda t: t.rsplit(" ", 1)[0]
+    texts = [(None, a), (None, near(a)), (4, b), (None, near(b)), (4, near(near(b))), (None, None), (7, "")]
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], shape)
+    got = [(x.doc_id, x.text) for x in P.drop_near_copies(spark, df, "").collect()]
+    of = lambda *ts: [x for x in got if x[1] in ts]
+    assert len(got) == 4 and len(of(a, near(a))) == 1 and (None, None) in got and (7, "") in got
+    assert [i for i, _ in of(b, near(b), near(near(b)))] == [4]
+
+    df = spark.createDataFrame([(None, f"{prose(60)} {passage} {prose(60)}", "en", "s", 1) for _ in range(3)], shape)
+    cut = [x.text for x in P.cut_repeats(spark, df, "").collect()]
+    assert sum(passage in t for t in cut) == 1
