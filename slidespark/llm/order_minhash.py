@@ -14,17 +14,17 @@ Texts are linked at 0.8 or more; a class is a connected component of links.
    shingles). Texts so short that a link leaves out at most two shingles of either are linked
    exactly: their sequences with up to two left out are keys, and of all that share a key the one
    that leaves out least is compared with the rest, which holds every link to the others.
-3. In buckets of up to ``small`` vertices all pairs are candidates; in larger ones the
-   pairs with two hubs (least and greatest by class). Larger buckets whose other members the
-   links leave in several classes go on to sketches of twice as many minima in four times as many
-   bands, where texts that only share a passage fall apart. Pairs whose ends earlier links have
-   put into one class are not compared again.
-4. Vertices of first-level buckets that the links of all levels still leave in several classes
-   are joined exactly: linked texts share one of the rarest shingles that make up the first fifth
-   of each and one more. All pairs with such a shingle whose lengths and places allow a link are candidates.
-5. Candidates of lengths within the threshold are aligned: as labels are unique, the longest
-   common subsequence is a longest increasing run of positions, within the band of
-   ``(n + m) / 9`` shifts that similarity 0.8 allows.
+3. In buckets of up to ``small`` vertices all pairs are candidates; in larger ones the pairs with
+   two hubs (least and greatest), which put the copies of one text into one class.
+4. Vertices of larger buckets that those links leave in several classes are joined exactly, over
+   all of them at once: linked texts share one of the rarest shingles that make up the first fifth
+   of each and one more. Pairs are made only between classes (of the members of a shingle, those
+   outside its largest class with all others), in blocks of ``BLOCK`` texts, and only where
+   lengths, places and the bitmaps below allow a link.
+5. Before any text is moved, a bitmap of 512 bits, in which each label flips one, bounds what two
+   texts can have in common: ``n + m`` less the bits in which they differ, halved.
+6. What is left is aligned: as labels are unique, the longest common subsequence is a longest
+   increasing run of positions, within the band of ``(n + m) / 9`` shifts that similarity 0.8 allows.
 
 Null texts and texts without a word are classes of their own; repeated rows and ids are
 rows of one class if their texts are alike; a null id is in the class of its text (whose
@@ -50,12 +50,16 @@ from . import textops as T
 
 THRESHOLD = 0.8
 SHINGLE = 5
-#: (minima, bands, seed) of each level of sketches.
-LEVELS = ((3, 20, 0), (6, 80, 100), (12, 320, 1000))
+#: Minima of a sketch and sketches of a text.
+MINS, BANDS = 3, 20
 SMALL = 8
 #: Members of a block; two blocks of a shingle's texts meet in one group.
-BLOCK = 64
-_SKETCHED = "id long, digest string, v binary, n int, keys array<long>, cuts array<long>"
+BLOCK = 1024
+#: Words of 64 bits in a bitmap.
+WORDS = 8
+#: Shingles times bands that are hashed at once.
+AT_ONCE = 1 << 19
+_SKETCHED = "id {}, digest string, v binary, n int, keys array<long>, cuts array<long>, bits array<long>"
 U64 = np.uint64
 
 
@@ -72,22 +76,35 @@ def labelled(data: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.nd
     return T.occurrence_labels(x, at), at, np.ascontiguousarray(prints)
 
 
-def sketches(x: np.ndarray, mins: int, bands: int, seed: int) -> np.ndarray:
+def sketches(x: np.ndarray, mins: int, bands: int, seed: int = 0) -> np.ndarray:
     """Order MinHash of one document: for each band, a hash of its least labels in text order."""
-    if len(x) <= mins:
-        kept = np.broadcast_to(x, (bands, len(x)))
-    else:
-        hashed = x[None, :] * T.ODD[100 + seed : 100 + seed + bands, None]
-        hashed ^= hashed >> U64(32)
-        least = np.argpartition(hashed, mins, axis=1)[:, :mins]
-        least.sort(axis=1)
-        kept = x[least]
     out = np.arange(1, bands + 1).astype(U64) * T.ODD[60] + U64(seed)
-    for i in range(kept.shape[1]):
-        out = T.mix(out + kept[:, i] * T.ODD[61])
+    step = max(1, AT_ONCE // max(1, len(x)))
+    for b in range(0, bands, step):
+        part = out[b : b + step]
+        if len(x) <= mins:
+            kept = np.broadcast_to(x, (len(part), len(x)))
+        else:
+            hashed = x[None, :] * T.ODD[100 + seed + b : 100 + seed + b + len(part), None]
+            hashed ^= hashed >> U64(32)
+            least = np.argpartition(hashed, mins, axis=1)[:, :mins]
+            least.sort(axis=1)
+            kept = x[least]
+        for i in range(kept.shape[1]):
+            part = T.mix(part + kept[:, i] * T.ODD[61])
+        out[b : b + step] = part
     return out
 
 
+def bitmaps(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each document, ``WORDS`` words in which every label has flipped one bit."""
+    docs, size = len(first) - 1, 64 * WORDS
+    doc = np.repeat(np.arange(docs), np.diff(first))
+    bit = ((x * T.ODD[63]) >> U64(40)).astype(np.int64) % size
+    odd = np.bincount(doc * size + bit, minlength=docs * size) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(docs, size), axis=1).view(np.int64)
+
+
 def most_cut(n: int, threshold: float = THRESHOLD) -> int:
     """How many of ``n`` shingles a link can leave out."""
     return int(n * (1 - threshold) + 1e-9)
@@ -143,9 +160,8 @@ def similarity(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> fl
     return score if score >= threshold - 1e-12 else -1.0
 
 
-def _sketch(level: tuple[int, int, int], cut: float | None = None):
-    """Sketches of a level, and the cut keys of short texts for a threshold if it is given."""
-    mins, bands, seed = level
+def _sketch(mins: int, bands: int, threshold: float):
+    """Sketches, bitmaps, and the cut keys of short texts."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,70 +173,66 @@ def _sketch(level: tuple[int, int, int], cut: float | None = None):
                 cuts = [np.zeros(0, U64)] * (j - i)
                 for k in np.flatnonzero(n):
                     one = x[first[k] : first[k + 1]]
-                    keys[k] = sketches(one, mins, bands, seed)
-                    if cut is not None:
-                        cuts[k] = cut_keys(one, cut)
-                flat = pa.array(T.signed(keys.ravel()))
+                    keys[k] = sketches(one, mins, bands)
+                    cuts[k] = cut_keys(one, threshold)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(i, j - i),
                         batch.column("digest").slice(i, j - i),
                         pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), j - i, [None, pa.py_buffer(prints.tobytes())]).cast(pa.binary()),
                         pa.array(n.astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * bands, bands, dtype=np.int32)), flat),
+                        _table(T.signed(keys)),
                         _lists(cuts),
+                        _table(bitmaps(x, first)),
                     ],
-                    names=["id", "digest", "v", "n", "keys", "cuts"],
+                    names=["id", "digest", "v", "n", "keys", "cuts", "bits"],
                 )
 
     return f
 
 
+def _table(x: np.ndarray) -> pa.ListArray:
+    rows, width = x.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, (rows + 1) * width, width, dtype=np.int32)[: rows + 1]), pa.array(x.ravel()))
+
+
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(T.signed(np.concatenate(parts))))
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(v, root, xs): the labelled shingles of each text."""
+    """(v, xs): the labelled shingles of each text."""
     for batch in batches:
         data, off = T.buffer(batch.column("text"))
         for i, j, part, at in T.chunks(data, off):
             x, first, _ = labelled(part, at)
             xs = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(T.signed(x)))
-            yield pa.RecordBatch.from_arrays([batch.column("v").slice(i, j - i), batch.column("root").slice(i, j - i), xs], names=["v", "root", "xs"])
+            yield pa.RecordBatch.from_arrays([batch.column("v").slice(i, j - i), xs], names=["v", "xs"])
 
 
 def _verify(threshold: float):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for c in ("text_a", "text_b"):
-                data, off = T.buffer(batch.column(c))
-                pieces = [x[i:j] for _, _, p, o in T.chunks(data, off) for x, at, _ in [labelled(p, o)] for i, j in zip(at[:-1], at[1:], strict=True)]
-                sides.append(pieces)
-            keep = pa.array([similarity(x, y, threshold) >= 0 for x, y in zip(*sides, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+            sides = [T.buffer(batch.column(c)) for c in ("text_a", "text_b")]
+            for i, j in T.slices(sides[0][1] + sides[1][1]):
+                (x, p), (y, q) = (labelled(data[off[i] : off[j]], off[i : j + 1] - off[i])[:2] for data, off in sides)
+                keep = pa.array([similarity(x[p[k] : p[k + 1]], y[q[k] : q[k + 1]], threshold) >= 0 for k in range(j - i)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
     return f
 
 
 def _candidates(members: DataFrame, small: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs to align, and the members of large buckets besides their hubs, from (v, n, root, key).
-
-    Pairs within a class that earlier links made, and buckets of one class, are left out. The hubs of
-    a large bucket are of different classes, and are compared with all of it that is in another one.
-    """
-    at = F.struct("root", "v")
-    sized = members.groupBy("key").agg(F.count("*").alias("m"), F.min(at).alias("lo"), F.max(at).alias("hi")).where("m > 1 and lo.root <> hi.root")
+    """Pairs to align, and the members (key, v) of large buckets, from (v, n, key)."""
+    sized = members.groupBy("key").agg(F.count("*").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("m > 1")
     crowd = materialize(members.join(sized, "key"))
     few, many = crowd.where(F.col("m") <= small), crowd.where(F.col("m") > small)
-    left = few.select("key", F.col("v").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = few.select("key", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b")
-    spokes = [many.where(F.col("root") != F.col(f"{h}.root")).select(F.least("v", f"{h}.v").alias("a"), F.greatest("v", f"{h}.v").alias("b")) for h in ("lo", "hi")]
-    rest = many.where((F.col("v") != F.col("lo.v")) & (F.col("v") != F.col("hi.v")))
-    return pairs.union(spokes[0]).union(spokes[1]).distinct(), rest.select("key", "v")
+    left = few.select("key", F.col("v").alias("a"), F.col("n").alias("na"))
+    right = few.select("key", F.col("v").alias("b"), F.col("n").alias("nb"))
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b")
+    spokes = [many.where(F.col("v") != F.col(h)).select(F.least("v", h).alias("a"), F.greatest("v", h).alias("b")) for h in ("lo", "hi")]
+    return pairs.union(spokes[0]).union(spokes[1]), many.select("key", "v")
 
 
 def _short_pairs(vertices: DataFrame, threshold: float) -> DataFrame:
@@ -236,69 +248,72 @@ def _short_pairs(vertices: DataFrame, threshold: float) -> DataFrame:
     return near.select(F.least("v", "lo.v").alias("a"), F.greatest("v", "lo.v").alias("b")).distinct()
 
 
+def _fit(threshold: float):
+    """Whether sizes and bitmaps of (na, ba) and (nb, bb) allow a link."""
+    apart = sum((F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(WORDS)), F.lit(0))
+    need = threshold * (F.col("na") + F.col("nb")) / (1 + threshold) - 1e-9
+    return (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & ((F.col("na") + F.col("nb") - apart) / 2 >= need)
+
+
 def _rest_pairs(held: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of (v, root, text) of different roots that can be linked, by the rarest shingles of each.
+    """Candidates (a, b) of all links of (v, root, n, bits, text) between different roots, by the rarest shingles of each.
 
     A link has ``threshold * n`` shingles in common or more, so with all shingles in one order two linked
     texts share one among the first ``n - threshold * n + 1`` of each; after the first that they share, enough must follow.
     """
-    x = materialize(held.select("v", "root", "text").mapInArrow(_shingles, "v binary, root binary, xs array<long>").select("v", "root", F.size("xs").alias("n"), F.explode("xs").alias("x")))
+    x = materialize(held.select("v", "text").mapInArrow(_shingles, "v binary, xs array<long>").select("v", F.size("xs").alias("n"), F.explode("xs").alias("x")))
     often = x.groupBy("x").agg(F.count("*").alias("often"))
     order = Window.partitionBy("v").orderBy("often", "x")
     first = x.join(often, "x").withColumn("at", F.row_number().over(order)).where((F.col("often") > 1) & (F.col("at") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1))
-    first = materialize(first.select("v", "root", "n", "x", "at"))
-    shared = first.groupBy("x").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("x", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    dealt = first.join(shared, "x").withColumn("block", F.pmod(F.xxhash64("v"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = lambda c, i, j: dealt.select("x", F.col("block").alias(i), F.col("other").alias(j), F.col("v").alias(c), F.col("root").alias(f"r{c}"), F.col("n").alias(f"n{c}"), (F.col("n") - F.col("at")).alias(f"t{c}"))
-    both = side("a", "i", "j").join(side("b", "j", "i"), ["x", "i", "j"])
-    need = threshold * (F.col("na") + F.col("nb")) / (1 + threshold) - 1e-9
-    fit = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & (1 + F.least("ta", "tb") >= need)
-    return both.where(fit).select("a", "b").distinct()
-
-
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, small: int = SMALL, levels=LEVELS) -> tuple[DataFrame, DataFrame]:
-    """(id, v) of every row with the vertex of its text, and (v, root) of all vertices that have a link."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.md5(F.col(text_col)).alias("digest"))
-    rows = materialize(texts.mapInArrow(_sketch(levels[0], threshold), _SKETCHED))
-    vertices = materialize(rows.where("n > 0").groupBy("v").agg(F.min(F.struct("digest", "id")).alias("lead"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("cuts").alias("cuts")))
-    members = vertices.select("v", "n", F.col("v").alias("root"), F.explode("keys").alias("key"))
-    edges, roots, crowded = None, None, None
-    for level in (*levels[1:], None):
-        pairs, large = _candidates(members, small, threshold)
-        if edges is None:
-            pairs, crowded = pairs.union(_short_pairs(vertices, threshold)).distinct(), large
-        edges, roots = _linked(texts, vertices, pairs, edges, threshold)
-        if level is None:
-            break
-        again = _open(large, roots)
-        if again.isEmpty():
-            break
-        held = _texts(texts, again.join(vertices.select("v", "lead"), "v"))
-        members = held.select(F.lit(0).cast("long").alias("id"), F.lit("").alias("digest"), "text").mapInArrow(_sketch(level), _SKETCHED).join(again, "v").select("v", "n", "root", F.explode("keys").alias("key"))
-    again = _open(crowded, roots)
+    first = materialize(first.select("v", "x", "at").join(held.select("v", "root", "n", "bits"), "v"))
+    kinds = first.groupBy("x", "root").agg(F.count("*").alias("m"))
+    shared = kinds.groupBy("x").agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("most")).where("m > most.m")
+    blocks = lambda m: F.ceil(m / BLOCK).cast("int")
+    shared = shared.select("x", F.col("most.root").alias("major"), blocks(F.col("m") - F.col("most.m")).alias("rows"), blocks(F.col("m")).alias("cols"))
+    dealt = first.join(shared, "x")
+    own = lambda n: F.pmod(F.xxhash64("v"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    side = lambda df, c: df.select("x", "i", "j", F.col("v").alias(c), F.col("root").alias(f"r{c}"), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}"), (F.col("n") - F.col("at")).alias(f"t{c}"), (F.col("root") == F.col("major")).alias(f"m{c}"))
+    minor = side(dealt.where(F.col("root") != F.col("major")).withColumn("i", own("rows")).withColumn("j", every("cols")), "a")
+    both = minor.join(side(dealt.withColumn("j", own("cols")).withColumn("i", every("rows")), "b"), ["x", "i", "j"])
+    enough = 1 + F.least("ta", "tb") >= threshold * (F.col("na") + F.col("nb")) / (1 + threshold) - 1e-9
+    found = both.where((F.col("ra") != F.col("rb")) & (F.col("mb") | (F.col("a") < F.col("b"))) & enough & _fit(threshold))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, small: int = SMALL, bands: int = BANDS, mins: int = MINS) -> tuple[DataFrame, DataFrame]:
+    """(id, v, n) of every row with the vertex of its text, and (v, root) of all vertices that have a link."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.md5(F.col(text_col)).alias("digest"))
+    rows = materialize(texts.mapInArrow(_sketch(mins, bands, threshold), _SKETCHED.format(dict(texts.dtypes)["id"])))
+    vertices = materialize(rows.where("n > 0").groupBy("v").agg(F.min(F.struct("digest", "id")).alias("lead"), *(F.first(c).alias(c) for c in ("n", "keys", "cuts", "bits"))))
+    pairs, large = _candidates(vertices.select("v", "n", F.explode("keys").alias("key")), small, threshold)
+    pairs = materialize(pairs.union(_short_pairs(vertices, threshold)).distinct())
+    end = lambda c: vertices.select(F.col("v").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}"))
+    pairs = materialize(pairs.join(end("a"), "a").join(end("b"), "b").where(_fit(threshold)).select("a", "b"))
+    wanted = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
+    roots = components(_links(pairs, _texts(texts, vertices.join(wanted, "v")), threshold))
+
+    classes = large.join(roots, "v", "left").select("key", "v", F.coalesce("root", "v").alias("root"))
+    open_ = classes.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("key")
+    again = materialize(classes.join(open_, "key").select("v", "root").distinct())
     if not again.isEmpty():
-        held = _texts(texts, again.join(vertices.select("v", "lead"), "v")).join(again, "v")
-        edges, roots = _linked(texts, vertices, _rest_pairs(held, threshold), edges, threshold)
+        rest = vertices.join(again, "v")
+        held = materialize(_texts(texts, rest).join(rest.select("v", "root", "n", "bits"), "v"))
+        new = _links(materialize(_rest_pairs(held, threshold).distinct()), held, threshold)
+        ends = [again.select(F.col("v").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
+        up = components(new.join(ends[0], "a").join(ends[1], "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        to = up.select(F.col("v").alias("root"), F.col("root").alias("top"))
+        alone = up.join(roots, "v", "left_anti").select("v", "root")
+        roots = materialize(roots.join(to, "root", "left").select("v", F.coalesce("top", "root").alias("root")).union(alone))
     return rows.select("id", "v", "n"), roots
 
 
-def _linked(texts: DataFrame, vertices: DataFrame, pairs: DataFrame, edges: DataFrame | None, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The edges with those of the pairs that are links, and their components."""
-    pairs = materialize(pairs)
-    ends = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
-    wanted = ends.join(vertices.select("v", "lead"), "v").select("v", "lead")
-    held = materialize(_texts(texts, wanted))
-    both = pairs.join(held.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
-    new = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold), "a binary, b binary"))
-    edges = new if edges is None else edges.union(new)
-    return edges, components(edges)
-
-
-def _open(large: DataFrame, roots: DataFrame) -> DataFrame:
-    """(v, root) of the members of buckets that are in several classes."""
-    classes = large.join(roots, "v", "left").select("key", "v", F.coalesce("root", "v").alias("root"))
-    open_ = classes.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("key")
-    return materialize(classes.join(open_, "key").select("v", "root").distinct())
+def _links(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that are links, from the texts (v, text) of their ends."""
+    both = pairs
+    for c in "ab":
+        both = both.join(held.select(F.col("v").alias(c), F.col("text").alias(f"text_{c}")), c)
+    return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold), "a binary, b binary"))
 
 
 def _texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -307,9 +322,9 @@ def _texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(wanted, (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("i"))).select("v", "text").dropDuplicates(["v"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, small: int = SMALL, levels=LEVELS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, small: int = SMALL, bands: int = BANDS, mins: int = MINS) -> DataFrame:
     """(id, class_id, n) of every row; the class id is the least id of its class, or its own id where the text has no word."""
-    rows, roots = link(docs, id_col, text_col, threshold, small, levels)
+    rows, roots = link(docs, id_col, text_col, threshold, small, bands, mins)
     vertex = rows.where("n > 0").groupBy("v").agg(F.min("id").alias("lead")).join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     names = vertex.groupBy("root").agg(F.min("lead").alias("class_id"))
     classes = vertex.join(names, "root").select(F.col("v").alias("w"), "class_id")

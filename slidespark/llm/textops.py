@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 MASK = (1 << 64) - 1
 #: Bytes of text handled at once; a longer document is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -74,15 +74,21 @@ def buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def chunks(data: np.ndarray, off: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Splits documents into runs of at most ``most`` bytes, a longer document alone: (first, last, bytes, offsets)."""
+def slices(off: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Splits items into runs of at most ``most`` bytes by their offsets, a longer item alone: (first, end)."""
     i, n = 0, len(off) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
-        yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
+        yield i, j
         i = j
 
 
+def chunks(data: np.ndarray, off: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Splits documents into such runs: (first, end, bytes, offsets)."""
+    for i, j in slices(off, most):
+        yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
+
+
 def word_spans(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and the index of each document's first word (with a closing one)."""
     n = len(data)

@@ -28,7 +28,7 @@ def test_classes_match_all_pairs(spark):
     want = O.brute_force(texts)
     got = {r.doc_id: r.class_id for r in O.digest(df).collect()}
     assert [got[i] for i in range(len(texts))] == want
-    rows = O.near_duplicates(df, small=2, levels=((1, 20, 0), (3, 40, 300))).collect()
+    rows = O.near_duplicates(df, small=2, mins=1).collect()
     assert [r.class_id for r in sorted(rows, key=lambda r: r.id)] == want
 
 
@@ -61,6 +61,6 @@ def test_buckets_left_open_are_compared_in_full(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     want = O.brute_force(texts)
     assert len(set(want)) == 15
-    for levels in (O.LEVELS[:1], ((1, 4, 0),)):
-        rows = O.near_duplicates(df, small=2, levels=levels).collect()
+    for mins, bands in ((3, 20), (1, 4)):
+        rows = O.near_duplicates(df, small=2, mins=mins, bands=bands).collect()
         assert [r.class_id for r in sorted(rows, key=lambda r: r.id)] == want
