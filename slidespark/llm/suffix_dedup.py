@@ -7,17 +7,22 @@ at equal distances, so a partition holds all the neighbours that a suffix can ha
 global suffix order up to ``length``. Consecutive windows with one anchor travel as one
 run (start, end, fingerprint of the covered bytes), about one row for 69 bytes of text.
 
-Within a partition of the suffix order all suffixes with a common prefix of ``length``
-bytes stand together, and the previous and next smaller positions of a suffix lie in that
-block exactly if it is not the block's first: ``LPF >= length`` means that an earlier copy
-exists. A run whose covered bytes recur as a whole settles all its windows at once; only
-runs that share an anchor but differ in the bytes around it are opened into windows.
+A run whose covered bytes recur as a whole (128 bits of fingerprints) settles all its windows
+at once. Runs that share an anchor but differ around it are opened: their suffixes are sorted
+by their bytes, ties by position. Where neighbours in that order have ``length`` bytes in
+common they form a plateau; the previous or next smaller position of a suffix lies in its
+plateau exactly if the suffix is not the earliest there, and only then its longest previous
+factor reaches ``length``. (Values below ``length`` decide nothing and are not computed.)
+Around an anchor with more than ``open_at_once`` kinds of runs the plateaus are groups of rows
+by two fingerprints of the window, 128 bits, which deal out over all tasks.
 
 Results (also for odd inputs):
 
 * null and empty texts, and texts shorter than ``length``, lose nothing;
-* matches never cross documents; each row is a document of its own. Rows alike in id
-  *and* text rank as one position when the first copy is kept, so that both are kept;
+* very long texts are read in pieces that overlap by ``length - 1`` bytes;
+* matches never cross documents; each row is a document of its own. Copies stand in order of id,
+  of a digest of id and text, and of place; rows alike in id *and* text share one position when
+  the first copy is kept, so that both are kept;
 * null ids rank before all others; extra columns are kept, unless they clash with the
   names of the result, which win;
 * an empty table gives an empty result.
@@ -39,7 +44,11 @@ from . import textops as T
 
 LENGTH = 200
 ANCHOR = 64
+#: Windows of a very long text that are read at once.
+PIECE = 1 << 19
 U64 = np.uint64
+#: Codes of a second fingerprint.
+OTHER = T.ODD[1024:1280]
 _POS = U64((1 << 30) - 1)
 
 
@@ -80,17 +89,16 @@ def runs(data: np.ndarray, off: np.ndarray, length: int = LENGTH, anchor: int =
     return {"doc": doc, "first": first - off[doc], "last": last - off[doc], "anchor": T.signed(grams[owner]), "content": T.signed(content)}
 
 
-def windows(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows that start in the given ranges of ``data``: index of the range, start, fingerprint."""
+def windows(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All windows that start in the given ranges of ``data``: index of the range, start."""
     size = last - first + 1
     which = np.repeat(np.arange(len(size)), size)
-    start = first[which] + np.arange(len(which)) - (np.cumsum(size) - size)[which]
-    return which, start, T.signed(T.hash_spans(T.hash_prefix(data), start, start + length))
+    return which, first[which] + np.arange(len(which)) - (np.cumsum(size) - size)[which]
 
 
-_RUNS = "anchor long, content long, key long, rank long, first int, last int"
+_RUNS = "anchor long, content long, key binary, rank long, first int, last int"
 #: Runs around one anchor that are opened within one task; an anchor with more goes through window rows, which deal out evenly.
-OPEN_AT_ONCE = 2000
+OPEN_AT_ONCE = 500
 
 
 def _merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,14 +111,25 @@ def _merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first[new], reach[np.concatenate([new[1:], [len(first)]]) - 1]
 
 
+def _pieces(data: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Chunks of documents as (first document, its bytes before, bytes, offsets); a long document comes in several."""
+    for i, j in T.slices(off):
+        lo, hi = int(off[i]), int(off[j])
+        if hi - lo <= PIECE + length:
+            yield i, 0, data[lo:hi], off[i : j + 1] - lo
+            continue
+        for at in range(lo, hi - length + 1, PIECE):
+            part = data[at : min(hi, at + PIECE + length - 1)]
+            yield i, at - lo, part, np.array([0, len(part)])
+
+
 def _emit_runs(length: int, anchor: int, keep_first: bool):
-    """Runs of every document, each kind once; what repeats within a document comes as ranges without an anchor."""
+    """Runs of every document, each kind once in a piece; what repeats within one comes as ranges without an anchor."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = T.buffer(batch.column("text"))
-            key, rank = (batch.column(c).to_numpy() for c in ("key", "rank"))
-            for i, _, part, at in T.chunks(data, off):
+            for i, before, part, at in _pieces(data, off, length):
                 r = runs(part, at, length, anchor)
                 order = np.lexsort((r["first"], r["content"], r["anchor"], r["doc"]))
                 doc, a, c, s, e = (r[k][order] for k in ("doc", "anchor", "content", "first", "last"))
@@ -123,17 +142,17 @@ def _emit_runs(length: int, anchor: int, keep_first: bool):
                     gone[:-1] |= again[1:]
                 wide = doc.astype(np.int64) << 32
                 ms, me = _merged((wide + s)[gone], (wide + e)[gone])
-                d = np.concatenate([doc[~again], ms >> 32]) + i
+                rows = pa.array(np.concatenate([doc[~again], ms >> 32]) + i)
                 none = np.zeros(len(ms), np.int64)
                 here = ~again
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([a[here], none]), mask=np.concatenate([np.zeros(here.sum(), bool), np.ones(len(ms), bool)])),
                         pa.array(np.concatenate([c[here], none])),
-                        pa.array(key[d]),
-                        pa.array(rank[d]),
-                        pa.array(np.concatenate([s[here], ms & 0xFFFFFFFF]).astype(np.int32)),
-                        pa.array(np.concatenate([e[here], me & 0xFFFFFFFF]).astype(np.int32)),
+                        batch.column("key").take(rows),
+                        batch.column("rank").take(rows),
+                        pa.array((np.concatenate([s[here], ms & 0xFFFFFFFF]) + before).astype(np.int32)),
+                        pa.array((np.concatenate([e[here], me & 0xFFFFFFFF]) + before).astype(np.int32)),
                     ],
                     names=["anchor", "content", "key", "rank", "first", "last"],
                 )
@@ -146,74 +165,74 @@ def _cut_runs(length: int):
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, runs_ = batch.column("text"), batch.column("runs")
-            counts = np.diff(np.asarray(runs_.offsets))
-            flat = runs_.flatten()
-            at = np.repeat(np.arange(len(batch)), counts)
-            first, last = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("first", "last"))
-            data, off = T.buffer(texts)
-            raw = data.tobytes()
-            lo = off[at] + first
-            hi = off[at] + last + length
-            bytes_ = [raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    flat.field("anchor"),
-                    flat.field("many"),
-                    flat.field("settled"),
-                    batch.column("key").take(pa.array(at)),
-                    batch.column("rank").take(pa.array(at)),
-                    flat.field("first"),
-                    flat.field("last"),
-                    pa.array(bytes_, pa.binary()),
-                ],
-                names=["anchor", "many", "settled", "key", "rank", "first", "last", "bytes"],
-            )
+            data, off = T.buffer(batch.column("text"))
+            counts = np.diff(np.asarray(batch.column("runs").offsets))
+            flat = batch.column("runs").flatten()
+            of = np.repeat(np.arange(len(batch)), counts)
+            lo, hi = (off[of] + flat.field(k).to_numpy(zero_copy_only=False) for k in ("first", "last"))
+            ends = np.concatenate([[0], np.cumsum(hi + length - lo)])
+            for i, j in T.slices(ends):
+                which, start = windows(data, lo[i:j], hi[i:j] + length - 1)
+                at = pa.array((ends[i : j + 1] - ends[i]).astype(np.int32))
+                bytes_ = pa.Array.from_buffers(pa.binary(), j - i, [None, at.buffers()[1], pa.py_buffer(data[start].tobytes())])
+                own = pa.array(of[i:j])
+                part = flat.slice(i, j - i)
+                cols = [part.field("anchor"), part.field("many"), part.field("settled"), batch.column("key").take(own), batch.column("rank").take(own), part.field("first"), bytes_]
+                yield pa.RecordBatch.from_arrays(cols, names=["anchor", "many", "settled", "key", "rank", "first", "bytes"])
 
     return f
 
 
-def _opened(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of the runs in a batch: index of the run, start in the document, fingerprint."""
-    _, off, data = batch.column("bytes").buffers()
+def _opened(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of the runs in a batch and all their windows: index of the run, start in the bytes and in the document."""
     column = batch.column("bytes")
+    _, off, data = column.buffers()
     off = np.frombuffer(off, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8)[off[0] : off[-1]]
     off = off - off[0]
-    which, start, print_ = windows(data, off[:-1], off[1:] - length, length)
-    return which, start - off[which] + batch.column("first").to_numpy()[which], print_
+    which, at = windows(data, off[:-1], off[1:] - length)
+    return data, which, at, at - off[which] + batch.column("first").to_numpy()[which]
 
 
-def _repeat_ranges(key, which, start, hit):
+def _repeat_ranges(key: pa.Array, which: np.ndarray, start: np.ndarray, hit: np.ndarray) -> pa.RecordBatch:
     """Ranges of hit windows, one row for each maximal range of a run."""
     w, s = which[hit], start[hit]
     new = np.ones(len(w), bool)
     new[1:] = (w[1:] != w[:-1]) | (s[1:] != s[:-1] + 1)
     at = np.flatnonzero(new)
-    end = np.concatenate([at[1:], [len(w)]]) - 1
-    return pa.RecordBatch.from_arrays([pa.array(key[w[at]]), pa.array(s[at].astype(np.int32)), pa.array(s[end].astype(np.int32))] if len(w) else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32())], names=["key", "first", "last"])
+    end = np.concatenate([at[1:], [len(w)]])[: len(at)] - 1
+    return pa.RecordBatch.from_arrays([key.take(pa.array(w[at])), pa.array(s[at].astype(np.int32)), pa.array(s[end].astype(np.int32))], names=["key", "first", "last"])
+
+
+def suffix_order(data: np.ndarray, at: np.ndarray, length: int, *position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes cut at ``length`` in order of their bytes, ties by position (most significant part last), and which continue a plateau."""
+    view = np.lib.stride_tricks.sliding_window_view(data, length)
+    order = np.lexsort(position)
+    texts = np.ascontiguousarray(view[at[order]]).view(f"S{length}").ravel()
+    by = np.argsort(texts, kind="stable")
+    same = np.zeros(len(at), bool)
+    same[1:] = texts[by[1:]] == texts[by[:-1]]
+    return order[by], same
 
 
 def _settle_groups(length: int, keep_first: bool):
-    """Opens the runs of whole anchors, sorted by anchor, and finds the windows that repeat (or have an earlier copy)."""
+    """Opens the runs of whole anchors, sorted by anchor, and finds the windows whose longest previous factor (or, to drop all copies, longest factor elsewhere) is whole."""
 
     def solve(part: pa.RecordBatch) -> pa.RecordBatch:
-        which, start, print_ = _opened(part, length)
-        key, rank = part.column("key").to_numpy(), part.column("rank").to_numpy()
-        settled = part.column("settled").to_numpy(zero_copy_only=False)
-        order = np.lexsort((start, rank[which], print_))
-        p = print_[order]
-        same = np.zeros(len(p), bool)
-        same[1:] = p[1:] == p[:-1]
-        if keep_first:  # in suffix order with ties by position the previous smaller position is the neighbour before
-            lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(p))))
-            first = order[lead]
-            same &= ~((rank[which[order]] == rank[which[first]]) & (start[order] == start[first]))
+        data, which, at, start = _opened(part, length)
+        if not len(which):
+            return _repeat_ranges(part.column("key"), which, start, np.zeros(0, bool))
+        digest = np.frombuffer(b"".join(part.column("key").to_pylist()), ">u8").reshape(-1, 2).astype(U64)
+        one, two, rank = digest[which, 0], digest[which, 1], part.column("rank").to_numpy()[which]
+        order, same = suffix_order(data, at, length, start, two, one, rank)
+        if keep_first:  # the earliest of a plateau, and rows that share its position, have no smaller position before or after them
+            lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+            same &= (start[order] != start[lead]) | (one[order] != one[lead]) | (two[order] != two[lead])
         else:
             same[:-1] |= same[1:]
-        hit = np.zeros(len(p), bool)
+        hit = np.zeros(len(order), bool)
         hit[order] = same
-        return _repeat_ranges(key, which, start, hit & ~settled[which])
+        return _repeat_ranges(part.column("key"), which, start, hit & ~part.column("settled").to_numpy(zero_copy_only=False)[which])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -243,10 +262,10 @@ def _open_rows(length: int):
         for batch in batches:
             for i in range(0, len(batch), OPEN_AT_ONCE):
                 part = batch.slice(i, OPEN_AT_ONCE)
-                which, start, print_ = _opened(part, length)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(print_), *(part.column(c).take(pa.array(which)) for c in ("key", "rank", "settled")), pa.array(start.astype(np.int32))], names=["window", "key", "rank", "settled", "first"]
-                )
+                data, which, at, start = _opened(part, length)
+                prints = [pa.array(T.signed(T.hash_spans(T.hash_prefix(data, code), at, at + length))) for code in (T.BYTE_CODE, OTHER)]
+                rows = pa.array(which)
+                yield pa.RecordBatch.from_arrays([*prints, *(part.column(c).take(rows) for c in ("key", "rank", "settled")), pa.array(start.astype(np.int32))], names=["one", "two", "key", "rank", "settled", "first"])
 
     return f
 
@@ -256,30 +275,23 @@ def _apply(length: int, names: list[str]):
         for batch in batches:
             data, off = T.buffer(batch.column("__text"))
             spans = batch.column("__spans")
-            at = np.asarray(spans.offsets)
+            at = np.asarray(spans.offsets) - np.asarray(spans.offsets)[0]
             flat = spans.flatten()
             first, last = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("first", "last"))
-            raw, kept, removed, count = data.tobytes(), [], [], []
-            base = int(at[0]) if len(at) else 0
-            for k in range(len(batch)):
-                i, j = int(at[k]) - base, int(at[k + 1]) - base
-                text = raw[off[k] : off[k + 1]]
-                if i == j or not spans[k].is_valid:
-                    kept.append(text)
-                    removed.append(0)
-                    count.append(0)
-                    continue
-                s, e = _merged(first[i:j], last[i:j] + length - 1)
-                pieces, pos = [], 0
-                for x, y in zip(s.tolist(), e.tolist(), strict=True):
-                    pieces.append(text[pos:x])
-                    pos = y + 1
-                pieces.append(text[pos:])
-                kept.append(b"".join(pieces))
-                removed.append(int((e - s + 1).sum()))
-                count.append(len(s))
-            new = [pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *new], names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
+            for i, j in T.slices(off):
+                kept, removed, count = [], [], []
+                for k in range(i, j):
+                    text = data[off[k] : off[k + 1]]
+                    s, e = _merged(first[at[k] : at[k + 1]], last[at[k] : at[k + 1]] + length - 1)
+                    if len(s):
+                        edge = np.zeros(len(text) + 1, np.int8)
+                        edge[s], edge[e + 1] = 1, -1
+                        text = text[np.cumsum(edge[:-1]) == 0]
+                    kept.append(text.tobytes())
+                    removed.append(int((e - s + 1).sum()))
+                    count.append(len(s))
+                new = [pa.array(np.diff(off[i : j + 1])), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in names), *new], names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
     return f
 
@@ -290,42 +302,39 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``keep_first`` (longest previous factors): the earliest copy in order of id and
     position stays; otherwise all copies go. Adds ``n_bytes``, ``n_removed``, ``n_spans``
     (maximal removed runs) and ``kept`` (the remaining bytes, which may split a character).
+    Ids are numbers or can be cast to them.
     """
     anchor = max(1, min(ANCHOR, length // 2))
     names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit("/"), F.coalesce(F.col(text_col), F.lit("")))))
     texts = docs.select(F.col(text_col).alias("text"), key.alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("rank"))
     found = materialize(texts.mapInArrow(_emit_runs(length, anchor, keep_first), _RUNS))
+    place = F.struct("rank", "key", "first")
 
     common = found.where("anchor is not null").groupBy("anchor").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("mixed")).where("n > 1").drop("n")
     again = materialize(found.join(common, "anchor"))
-    kinds = materialize(again.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min("rank").alias("lead")))
+    kinds = materialize(again.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(place).alias("lead")))
     whole = again.join(kinds.where("copies > 1"), ["anchor", "content"])
     if keep_first:
-        whole = whole.where("rank > lead")
+        whole = whole.where(place > F.col("lead"))
 
     # one run of each kind around anchors that have several kinds: their windows are compared one by one
     mixed = kinds.join(kinds.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"), "anchor")
     leads = (
         again.where("mixed")
         .join(mixed, ["anchor", "content"])
-        .where("rank = lead")
+        .where(place == F.col("lead"))
         .groupBy("anchor", "content")
         .agg(*(F.first(c).alias(c) for c in ("key", "first", "last", "copies", "m")))
         .groupBy("key")
         .agg(F.collect_list(F.struct("anchor", (F.col("m") > open_at_once).alias("many"), (F.lit(not keep_first) & (F.col("copies") > 1)).alias("settled"), "first", "last")).alias("runs"))
     )
     one_text = texts.join(leads, "key").dropDuplicates(["key"])
-    opened = materialize(one_text.mapInArrow(_cut_runs(length), "anchor long, many boolean, settled boolean, key long, rank long, first int, last int, bytes binary"))
-    few = opened.where("not many").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_settle_groups(length, keep_first), "key long, first int, last int")
-    rows = opened.where("many").mapInArrow(_open_rows(length), "window long, key long, rank long, settled boolean, first int")
-    if keep_first:
-        firsts = rows.groupBy("window").agg(F.count("*").alias("n"), F.min("rank").alias("rank0")).where("n > 1")
-        inside = rows.join(firsts, "window").where("rank = rank0").groupBy("window").agg(F.min("first").alias("first0"))
-        many = rows.join(firsts, "window").join(inside, "window").where("rank > rank0 or first > first0")
-    else:
-        many = rows.join(rows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "window").where("not settled")
-    many = many.select("key", "first", F.col("first").alias("last"))
+    opened = materialize(one_text.mapInArrow(_cut_runs(length), "anchor long, many boolean, settled boolean, key binary, rank long, first int, bytes binary"))
+    few = opened.where("not many").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_settle_groups(length, keep_first), "key binary, first int, last int")
+    rows = opened.where("many").mapInArrow(_open_rows(length), "one long, two long, key binary, rank long, settled boolean, first int")
+    plateaus = rows.groupBy("one", "two").agg(F.count("*").alias("n"), F.min(place).alias("lead")).where("n > 1")
+    many = rows.join(plateaus, ["one", "two"]).where((place > F.col("lead")) if keep_first else ~F.col("settled")).select("key", "first", F.col("first").alias("last"))
 
     parts = [found.where("anchor is null"), whole, few, many]
     spans = parts[0].select("key", "first", "last")

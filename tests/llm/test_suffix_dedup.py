@@ -44,3 +44,25 @@ def test_repeated_rows(spark):
     df = spark.createDataFrame([row, row, (8, "tail")], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_removed) for r in S.digest(df).collect()) == [(7, 400), (7, 400), (8, 0)]
     assert sum(r.n_removed for r in S.remove_repeats(df).collect()) == 0
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_very_long_text_comes_in_pieces(spark, keep_first):
+    r = random.Random(6)
+    make = lambda n: "".join(r.choices("abcdefgh", k=n))
+    passage = make(90)
+    long = make(S.PIECE - 50) + passage + make(100_000) + passage + make(S.PIECE)
+    texts = [long, make(50) + passage, "é" + long[S.PIECE - 30 : S.PIECE + 30]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: bytes(x.kept) for x in S.remove_repeats(df, length=40, keep_first=keep_first).collect()}
+    assert [got[i] for i in range(3)] == S.brute_force(texts, 40, keep_first)
+
+
+def test_shared_and_null_ids(spark):
+    r = random.Random(7)
+    make = lambda n: "".join(r.choices("abcdefgh", k=n))
+    passage = make(300)
+    df = spark.createDataFrame([(i, make(60) + passage + make(60)) for i in (None, None, 5, 5)], "doc_id long, text string")
+    out = S.remove_repeats(df).collect()
+    assert sorted(x.n_removed > 0 for x in out) == [False, True, True, True]
+    assert [x.doc_id for x in out if not x.n_removed] == [None]
