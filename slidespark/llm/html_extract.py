@@ -1,12 +1,20 @@
 """Main text of HTML pages by minimum-cut labelling of blocks.
 
-A tolerant scan splits a page into blocks at block-level tags, with the containers around
-each. Structural cues add up to a block's log odds of being content: its size is the
-capacity to the source (content) or the sink (boilerplate). Neighbours in page order and
-neighbours under one container are joined by smoothness edges; the minimum cut, by maximum
-flow, is the labelling of least cost. Blocks whose terminal outweighs all their edges keep
-their side in every minimum cut and are folded into their neighbours first, so flows run on
-what is left undecided.
+A tolerant scan splits a page into blocks at block-level tags, with the containers around each.
+A block's log odds of being content are its capacity to the source (content) or the sink
+(boilerplate); neighbours in page order and neighbours under one container are joined by
+smoothness edges; the minimum cut, by maximum flow, is the labelling of least cost.
+
+The log odds add up what the containers say and what a classifier says. Containers whose tag or class
+names their role (an article; a menu, a form, comments) are hard evidence, more than all edges of a
+block. Blocks in no such container have only ``PLAIN``, the classifier and their neighbours, so the cut decides them.
+The classifier is a logistic regression on binary cues of a block's own text and tag (length, links, marks,
+paragraph, list, heading). It is fitted to all pages: blocks in an article are its content, blocks in boilerplate
+its boilerplate, and the counts of each pattern of cues, at most 2 ** 13, are all that it needs.
+Without blocks of both kinds it says nothing.
+
+Blocks whose terminal outweighs all their edges keep their side in every minimum cut and are folded
+into their neighbours first; flows (in phases of shortest paths) run on what is left undecided.
 
 Null and empty pages give an empty text; a tag that the page ends in is dropped, an entity
 that it ends in stays as written unless it decodes; unclosed and stray tags are tolerated;
@@ -18,16 +26,17 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*(?:>|\Z))|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select", "button", "xmp", "noembed", "noframes", "canvas", "audio", "video"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "button", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 OUTSIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "fieldset", "search"}
@@ -35,10 +44,12 @@ WORDS = set(
     "nav navbar navigation menu menus submenu header masthead topbar footer bottombar sidebar sidebars aside rail notice notices notification alert consent cookie cookies gdpr banner banners ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted form login signup subscribe subscription newsletter comment comments commentlist respond replies reply disqus share sharing social breadcrumb breadcrumbs pagination pager related recommended popup modal overlay widget widgets complementary contentinfo search skip toolbar".split()
 )
 SAFE = {"html", "body", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6"}
-#: Log odds of the cues.
-INSIDE, OUT, PLAIN, LINKS, LEGAL, LONG, HEADING = 4.0, -12.0, 0.6, -3.0, -3.0, 2.0, 0.4
+PARAGRAPH, LIST = {"p", "blockquote", "pre"}, {"li", "td", "th", "dt", "dd"}
+#: Log odds that containers give, and the most that the classifier adds either way.
+INSIDE, OUT, PLAIN, LEARNED = 5.0, -12.0, 0.3, 1.5
 #: Smoothness of neighbours in page order, and of neighbours in one container besides.
-NEXT, SIBLING = 0.4, 0.8
+NEXT, SIBLING = 0.4, 1.2
+CUES = ("under 4 words", "under 10 words", "under 25 words", "80 words", "a link", "half links", "stop", "capital", "paragraph", "list", "heading", "digits", "legal")
 
 
 def scan(page: str) -> list[dict]:
@@ -56,8 +67,9 @@ def scan(page: str) -> list[dict]:
             if got:
                 inside = any(t in ("article", "main") for t, _, _ in stack)
                 heading = any(t[0] == "h" and t[1:].isdigit() for t, _, _ in stack)
+                tag = next((t for t, _, _ in reversed(stack) if t in BLOCK), "")
                 holder = next((n for t, _, n in reversed(stack) if t in BLOCK and t not in ("p", "li") and not t[1:].isdigit()), 0)
-                out.append({"text": got, "out": any(b for _, b, _ in stack), "inside": inside, "heading": heading, "holder": holder, "links": linked / max(1, chars)})
+                out.append({"text": got, "out": any(b for _, b, _ in stack), "inside": inside, "heading": heading, "holder": holder, "tag": tag, "links": linked / max(1, chars)})
             text.clear()
         chars = linked = 0
 
@@ -119,13 +131,38 @@ def scan(page: str) -> list[dict]:
     return out
 
 
-def odds(block: dict) -> float:
+def cues(block: dict) -> int:
+    """The cues of a block's own text and tag, one bit each."""
+    text, links, tag = block["text"], block["links"], block["tag"]
+    n = text.count(" ") + 1
+    digits = sum(c.isdigit() for c in text[:200])
+    found = (n < 4, n < 10, n < 25, n >= 80, links > 0, links > 0.5, text[-1] in ".!?:;…", text[0].isupper(), tag in PARAGRAPH, tag in LIST, block["heading"], 5 * digits > min(200, len(text)), text[0] == "©")
+    return sum(1 << i for i, on in enumerate(found) if on)
+
+
+def fit(patterns: np.ndarray, content: np.ndarray, n: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Bias and a weight for each cue from counts of blocks, both kinds of the same weight, by Newton steps on the penalised likelihood."""
+    k = len(CUES)
+    if not len(n) or content.all() or not content.any():
+        return np.zeros(k + 1)
+    x = np.concatenate([np.ones((len(n), 1)), (patterns[:, None] >> np.arange(k)) & 1], axis=1).astype(float)
+    weight = n * np.where(content, 0.5 / n[content].sum(), 0.5 / n[~content].sum())
+    w, ridge = np.zeros(k + 1), 1e-3 * np.eye(k + 1)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + ridge, x.T @ (weight * (content - p)) - ridge @ w)
+        w = w + step * min(1.0, 2 / max(1e-12, np.abs(step).max()))
+    return w
+
+
+def odds(block: dict, weights: np.ndarray | None = None) -> float:
     if block["out"]:
         return OUT
-    score = (INSIDE if block["inside"] else PLAIN) + min(LONG, len(block["text"]) / 200) + (HEADING if block["heading"] else 0)
-    if not block["inside"]:
-        score += LINKS * block["links"] + (LEGAL if block["text"].startswith("©") else 0)
-    return score
+    score = 0.0
+    if weights is not None:
+        bits = cues(block)
+        score = weights[0] + sum(w for i, w in enumerate(weights[1:]) if bits >> i & 1)
+    return (INSIDE if block["inside"] else PLAIN) + min(LEARNED, max(-LEARNED, float(score)))
 
 
 def min_cut(score: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -149,58 +186,105 @@ def min_cut(score: list[float], edges: list[tuple[int, int, float]]) -> list[boo
             near[i] = {}
     open_ = [i for i in range(n) if side[i] is None]
     if open_:
-        source, sink = n, n + 1
-        rest: dict[int, dict[int, float]] = {i: dict(near[i]) for i in open_} | {source: {}, sink: {}}
+        side_of = max_flow(open_, [(i, j, w) for i in open_ for j, w in near[i].items() if i < j], score)
         for i in open_:
-            if score[i] > 0:
-                rest[source][i] = score[i]
-                rest[i].setdefault(source, 0.0)
-            elif score[i] < 0:
-                rest[i][sink] = -score[i]
-                rest[sink].setdefault(i, 0.0)
-        while True:
-            came = {source: source}
-            queue = deque([source])
-            while queue and sink not in came:
-                u = queue.popleft()
-                for v, c in rest[u].items():
-                    if c > 1e-12 and v not in came:
-                        came[v] = u
-                        queue.append(v)
-            if sink not in came:
-                break
-            path, v = [], sink
-            while v != source:
-                path.append((came[v], v))
-                v = came[v]
-            flow = min(rest[u][v] for u, v in path)
-            for u, v in path:
-                rest[u][v] -= flow
-                rest[v][u] = rest[v].get(u, 0.0) + flow
-        for i in open_:
-            side[i] = i in came
+            side[i] = side_of[i]
     return [bool(s) for s in side]
 
 
-def main_text(page: str | None) -> str:
-    blocks = scan(page or "")
+def max_flow(nodes: list[int], edges: list[tuple[int, int, float]], score: list[float]) -> dict[int, bool]:
+    """Whether each node is on the source's side of a minimum cut, by blocking flows along shortest paths."""
+    place = {v: k for k, v in enumerate(nodes)}
+    source, sink = len(nodes), len(nodes) + 1
+    arcs: list[list[list]] = [[] for _ in range(len(nodes) + 2)]  # [head, rest, place of the arc back]
+
+    def join(u: int, v: int, there: float, back: float) -> None:
+        arcs[u].append([v, there, len(arcs[v])])
+        arcs[v].append([u, back, len(arcs[u]) - 1])
+
+    for i, j, w in edges:
+        join(place[i], place[j], w, w)
+    for i in nodes:
+        if score[i] > 0:
+            join(source, place[i], score[i], 0.0)
+        elif score[i] < 0:
+            join(place[i], sink, -score[i], 0.0)
+    while True:
+        level = [-1] * len(arcs)
+        level[source], queue = 0, deque([source])
+        while queue:
+            u = queue.popleft()
+            for v, rest, _ in arcs[u]:
+                if rest > 1e-12 and level[v] < 0:
+                    level[v] = level[u] + 1
+                    queue.append(v)
+        if level[sink] < 0:
+            return {i: level[place[i]] >= 0 for i in nodes}
+        at, path = [0] * len(arcs), [source]
+        trail: list[list] = []
+        while path:
+            u = path[-1]
+            if u == sink:
+                flow = min(arc[1] for arc in trail)
+                for arc in trail:
+                    arc[1] -= flow
+                    arcs[arc[0]][arc[2]][1] += flow
+                cut = next(k for k, arc in enumerate(trail) if arc[1] <= 1e-12)
+                del path[cut + 1 :], trail[cut:]
+                continue
+            while at[u] < len(arcs[u]) and not (arcs[u][at[u]][1] > 1e-12 and level[arcs[u][at[u]][0]] == level[u] + 1):
+                at[u] += 1
+            if at[u] == len(arcs[u]):
+                path.pop()
+                if trail:
+                    trail.pop()
+                    at[path[-1]] += 1
+                continue
+            trail.append(arcs[u][at[u]])
+            path.append(arcs[u][at[u]][0])
+
+
+def label(blocks: list[dict], weights: np.ndarray | None = None) -> list[bool]:
+    """Which blocks of a page are content."""
     edges = [(i, i + 1, NEXT) for i in range(len(blocks) - 1)]
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
         if b["holder"] in last:
             edges.append((last[b["holder"]], i, SIBLING))
         last[b["holder"]] = i
-    keep = min_cut([odds(b) for b in blocks], edges)
-    return " ".join(b["text"] for b, k in zip(blocks, keep, strict=True) if k)
+    return min_cut([odds(b, weights) for b in blocks], edges)
+
+
+def main_text(page: str | None, weights: np.ndarray | None = None) -> str:
+    blocks = scan(page or "")
+    return " ".join(b["text"] for b, k in zip(blocks, label(blocks, weights), strict=True) if k)
+
+
+def train(pages: DataFrame, html_col: str = "html") -> np.ndarray:
+    """The classifier's weights, from the blocks of all pages whose containers name their role."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for page in batch.column("html"):
+                for b in scan(page.as_py() or ""):
+                    if b["out"] or b["inside"]:
+                        seen[cues(b), not b["out"]] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.bool_()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "content", "n"])
+
+    counts = pages.select(F.col(html_col).alias("html")).mapInArrow(f, "pattern int, content boolean, n long")
+    rows = sorted(counts.groupBy("pattern", "content").agg(F.sum("n").alias("n")).collect())  # a row for each pattern and kind
+    return fit(np.array([r.pattern for r in rows], np.int64), np.array([r.content for r in rows], bool), np.array([r.n for r in rows], float))
 
 
-def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """Adds ``text`` and ``n_chars`` to every page."""
+def extract(pages: DataFrame, html_col: str = "html", weights: np.ndarray | None = None) -> DataFrame:
+    """Adds ``text`` and ``n_chars`` to every page, by the given weights or those fitted to the pages."""
     names = [c for c in pages.columns if c not in ("text", "n_chars")]
+    weights = train(pages, html_col) if weights is None else weights
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x) for x in batch.column("__html").to_pylist()]
+            texts = [main_text(x.as_py(), weights) for x in batch.column("__html")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, "text", "n_chars"])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in pages.select(*names).dtypes)
