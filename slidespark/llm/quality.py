@@ -3,9 +3,14 @@
 Lines of a text (split at ``\\n``, those with a word) are labelled content or boilerplate by
 Viterbi decoding over binary line features; a text is kept if content lines hold at least
 ``share`` of its words and the base rules pass (50 words or more, at most half of them in
-repeated three-word windows). The field is trained by maximum likelihood on at most
-``sample`` labelled documents, those of least id hash, in one task: the lines of documents of
-good quality are content, those of the others boilerplate.
+repeated three-word windows).
+
+Labels are of documents, so lines are labelled in ``RELABEL`` rounds of hard expectation and
+maximisation: at first every line has its document's label and lines stand alone; the field is fitted by maximum
+likelihood; then the lines of documents of bad quality are labelled by its Viterbi decoding (the
+least likely line stays boilerplate where none would), those of good ones stay content, and the
+field is fitted again. Bad documents with clean lines around junk give the transitions. The fit takes
+at most ``sample`` labelled rows, those of least id hash (of more rows under these ids, those of least text hash), in one task.
 
 Null, empty and wordless texts have zero counts and fail; without labels of both kinds every
 line is content; rows with a null label are not used; repeated rows are judged alike; extra
@@ -23,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import textops as T
 
-SAMPLE, SHARE, ROUNDS = 6000, 0.35, 80
+SAMPLE, SHARE, ROUNDS, RELABEL = 6000, 0.35, 80, 3
 U64 = np.uint64
 
 
@@ -40,7 +45,7 @@ MARK = _table("!?")
 LEAD = np.ones(256, np.int64)
 LEAD[0x80:0xC0] = 0
 STOP = _table(".!?;:") > 0
-NAMES = ("bias", "some_symbols", "many_symbols", "upper", "digits", "marks", "short", "few", "long_line", "short_words", "long_words", "no_stop", "copy", "repeats", "half_repeats")
+NAMES = ("bias", "some_symbols", "more_symbols", "many_symbols", "upper", "digits", "marks", "short", "few", "long_line", "short_words", "long_words", "no_stop", "copy", "repeats", "half_repeats")
 
 
 def base(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
@@ -92,7 +97,7 @@ def base(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     rep = (rep[w1] - rep[w0]) / np.maximum(1, count)
     last = data[ends[w1 - 1] - 1] if len(lo) else np.zeros(0, np.uint8)
     mean = letters / np.maximum(1, count)
-    f = [np.ones(len(lo)), span(symbol) > 0.1 * count, span(symbol) > 0.5 * count, span(upper) > 0.4 * letters, span(digit) > 0.2 * letters, span(mark) > 0.5 * count, count < 3, count < 8, count > 40, mean < 3, mean > 12, ~STOP[last], copy, rep > 0, rep > 0.5]
+    f = [np.ones(len(lo)), span(symbol) > 0.1 * count, span(symbol) > 0.3 * count, span(symbol) > 0.5 * count, span(upper) > 0.4 * letters, span(digit) > 0.2 * letters, span(mark) > 0.5 * count, count < 3, count < 8, count > 40, mean < 3, mean > 12, ~STOP[last], copy, rep > 0, rep > 0.5]
     out["features"] = np.stack(f, axis=1).astype(float) if len(lo) else np.zeros((0, len(NAMES)))
     out["line_words"], out["line_first"] = count, np.searchsorted(of, np.arange(d + 1))
     out["line_at"] = lo
@@ -130,48 +135,64 @@ def viterbi(weights: np.ndarray, move: np.ndarray, features: np.ndarray, first:
     return out
 
 
-def fit(features: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of content against boilerplate, and the transition scores, by gradient steps on the likelihood."""
+def fit(features: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, relabel: int = RELABEL) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of content against boilerplate, and the transition scores, from labels of documents."""
     k = features.shape[1]
     size = np.diff(first)
     y = np.repeat(label, size).astype(int)
+    theta, move = np.zeros(k), np.zeros((2, 2))
+    share = y.mean() if len(y) else 0.0
+    weight = np.where(label, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))  # lines of both kinds of documents weigh alike
     if not len(y) or y.min() == y.max():
-        return np.concatenate([[40.0], np.zeros(k - 1)]), np.zeros((2, 2))
+        return np.concatenate([[40.0], np.zeros(k - 1)]), move
+    bad = np.flatnonzero(~label & (size > 0))
+    of_bad = np.repeat(~label, size)
+    for r in range(relabel + 1):
+        theta, move = fit_lines(features, first, y, weight, theta, move, rounds, chain=r > 0)
+        if r < relabel:
+            y = np.where(of_bad, viterbi(theta, move, features, first), True).astype(int)
+            score = features @ theta
+            for d in (d for d in bad if y[first[d] : first[d + 1]].all()):
+                y[first[d] + int(np.argmin(score[first[d] : first[d + 1]]))] = 0
+    return theta, move
+
+
+def fit_lines(features: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray, theta: np.ndarray, move: np.ndarray, rounds: int = ROUNDS, chain: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Both from labels of lines (1: content) and weights of documents, by gradient steps on the penalised likelihood of the label sequences; without ``chain`` transitions stay."""
+    k = features.shape[1]
+    size = np.diff(first)
     order, at, active = _steps(first)
-    share = y.mean()
-    each = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))  # both kinds weigh alike
-    doc_weight = np.where(label == 1, 0.5 / share, 0.5 / (1 - share))[order]
-    theta, move = np.zeros(k), np.zeros((2, 2))
+    each, sorted_weight = np.repeat(weight, size), weight[order]
+    inside = np.ones(len(y), bool)
+    inside[first[:-1][size > 0]] = False
+    pairs = np.bincount(y[:-1][inside[1:]] * 2 + y[1:][inside[1:]], weights=each[1:][inside[1:]], minlength=4)
+    truth, n = features.T @ (each * y), max(1e-9, each.sum())
     m, v = np.zeros(k + 4), np.zeros(k + 4)
-    pairs = np.zeros((2, 2))
-    for s in (0, 1):
-        pairs[s, s] = (np.maximum(size - 1, 0) * np.where(label == 1, 0.5 / share, 0.5 / (1 - share)))[label == s].sum()
     for r in range(1, rounds + 1):
         e = np.exp(np.clip(np.stack([np.zeros(len(y)), features @ theta], axis=1), -30, 30))
         tr = np.exp(move)
         alphas, scales, a = [], [], None
-        for t, n in enumerate(active):
-            b = e[at[:n] + t]
-            a = b if t == 0 else (a[:n] @ tr) * b
+        for t, n_t in enumerate(active):
+            b = e[at[:n_t] + t]
+            a = b if t == 0 else (a[:n_t] @ tr) * b
             s = a.sum(axis=1)
             a = a / s[:, None]
             alphas.append(a)
             scales.append(s)
         post, expected, later = np.zeros(len(y)), np.zeros((2, 2)), np.ones((0, 2))
         for t in range(len(active) - 1, -1, -1):
-            n = active[t]
-            beta = np.ones((n, 2))
+            beta = np.ones((active[t], 2))
             if t + 1 < len(active):
                 q = active[t + 1]
                 ahead = e[at[:q] + t + 1] * later / scales[t + 1][:, None]
-                expected += (alphas[t][:q] * doc_weight[:q, None]).T @ ahead * tr
+                expected += (alphas[t][:q] * sorted_weight[:q, None]).T @ ahead * tr
                 beta[:q] = ahead @ tr.T
             later = beta
-            post[at[:n] + t] = (alphas[t] * beta)[:, 1]
-        grad = np.concatenate([features.T @ (each * (y - post)), (pairs - expected).ravel()]) / each.sum() - 1e-3 * np.concatenate([theta, move.ravel()])
+            post[at[: active[t]] + t] = (alphas[t] * beta)[:, 1]
+        grad = np.concatenate([truth - features.T @ (each * post), pairs - expected.ravel()]) / n - 1e-3 * np.concatenate([theta, move.ravel()])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         step = 0.1 * m / (1 - 0.9**r) / (np.sqrt(v / (1 - 0.99**r)) + 1e-6)
-        theta, move = theta + step[:k], np.clip(move + step[k:].reshape(2, 2), -2, 2)
+        theta, move = theta + step[:k], move + chain * step[k:].reshape(2, 2)
     return theta, move
 
 
@@ -193,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
         theta, move = fit(f, first, np.concatenate([p[2] for p in parts] or [np.zeros(0, bool)]))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(theta) + 4)), pa.array(np.concatenate([theta, move.ravel()]))], names=["i", "w"])
 
-    model = np.array([r.w for r in rows.orderBy(F.xxhash64("text")).limit(2 * sample).mapInArrow(fitted, "i long, w double").orderBy("i").collect()])
+    model = np.array([r.w for r in rows.orderBy(F.xxhash64("text"), "label").limit(sample).mapInArrow(fitted, "i long, w double").orderBy("i").collect()])
     if not len(model):
         model = np.concatenate([[40.0], np.zeros(len(NAMES) + 3)])
     return model[:-4], model[-4:].reshape(2, 2)

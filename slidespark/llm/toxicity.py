@@ -7,7 +7,7 @@ folded) and of their first bytes, which join the forms of a stem. A document is
 ``softplus(z)``, which gives the exact gradient of the document's likelihood; an L1 penalty
 keeps only words that carry evidence. ``locate`` returns the offending sentences.
 
-The classifier is fitted on at most ``sample`` labelled rows, those of least id hash, in one
+The classifier is fitted on at most ``sample`` labelled rows, those of least id hash (of more rows under these ids, those of least text hash), in one
 task; everything else reads all rows. Results: null, empty and wordless texts have score 0;
 without labelled rows of both kinds all scores are the share of toxic labels (0 if there are
 none); rows with a null label are not used; a labelled id that several documents share labels
@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         words, weights = fit(data, off, (table["label"].to_numpy() > 0).astype(float))
         yield pa.RecordBatch.from_arrays([pa.array(T.signed(words)), pa.array(weights)], names=["word", "weight"])
 
-    model = rows.orderBy(F.xxhash64("text")).limit(2 * sample).mapInArrow(fitted, "word long, weight double").collect()
+    model = rows.orderBy(F.xxhash64("text"), "label").limit(sample).mapInArrow(fitted, "word long, weight double").collect()
     words, weights = np.array([r.word for r in model], np.int64).view(U64), np.array([r.weight for r in model])
     if not len(words):
         words, weights = np.zeros(1, U64), np.array([-40.0])

@@ -70,3 +70,26 @@ def test_learns_junk(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(0, 100)], "doc_id long, quality int")
     got = {x.doc_id: x.kept for x in Q.digest(df, labels).collect()}
     assert np.mean([got[i] == bool(i % 2) for i in range(100, 200)]) > 0.95
+
+
+def test_lines_are_told_apart_inside_bad_texts(spark):
+    r = random.Random(9)
+    clean = lambda: " ".join(r.choice("alpha beta gamma delta rather other words".split()) for _ in range(14)) + "."
+    junk = lambda: " | ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(14))
+    odd = lambda: "\n".join(["a few words"] * 1)
+    rows = [(i, "\n".join(clean() for _ in range(7)), 1) if i % 2 else (i, "\n".join([clean(), *(junk() for _ in range(3)), odd(), *(junk() for _ in range(3)), clean()]), 0) for i in range(200)]
+    model = Q.train(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int"))
+    text = rows[0][1].encode()
+    b = Q.base(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    got = Q.viterbi(*model, b["features"], b["line_first"])
+    assert got.tolist() == [True, *[False] * 7, True]
+    weights, move = model
+    assert move[0, 0] + move[1, 1] > move[0, 1] + move[1, 0]
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    t = "word " * 30 + "\n" + "other thing " * 30
+    df = spark.createDataFrame([(1, t, "k"), (1, t, "k"), (None, t, None)], "doc_id long, text string, content_words string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1)], "doc_id long, quality int")
+    out = Q.digest(df, labels).collect()
+    assert len(out) == 3 and len({tuple(x)[1:] for x in out}) == 1
