@@ -14,8 +14,8 @@ min-plus matrix between roles, and only those, two for each partition, meet in t
 One row for each turn of the result, in order of ``position`` (the rank of the source turn and
 the place among what it gave); the segments ``rendered`` of a conversation, in that order, are
 its rendering. A null or unknown role is relabelled; null text is empty; a null conversation id
-is one conversation; null turns come first; ties follow the text; repeated turns are merged
-or relabelled like others; an empty table gives an empty result; extra columns are ignored.
+is one conversation; null turns come first; turns of one number follow role, then text (nulls
+first); repeated turns are merged or relabelled like others; conversation ids are text or can be cast to numbers; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -106,18 +106,22 @@ def _runs(batches: Iterator[pa.RecordBatch]):
         yield held, rows
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _edges(kind: pa.DataType):
     """The first and the last conversation of a partition as matrices."""
-    pid, first, last, count = TaskContext.get().partitionId(), None, None, 0
-    for conv, rows in _runs(batches):
-        if first is None:
-            first = (conv, rows)
-        last, count = (conv, rows), count + 1
-    if first is not None:
-        ends = [(first, True)] + [(last, False)] * (count > 1)
-        names = ["pid", "first", "conv", "n", "costs"]
-        cols = [[pid] * len(ends), [e for _, e in ends], [x[0] for x, _ in ends], [len(x[1]) for x, _ in ends], [sum(matrix([r[1] for r in x[1]]), []) for x, _ in ends]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=names)
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, first, last, count = TaskContext.get().partitionId(), None, None, 0
+        for conv, rows in _runs(batches):
+            if first is None:
+                first = (conv, rows)
+            last, count = (conv, rows), count + 1
+        if first is not None:
+            ends = [(first, True)] + [(last, False)] * (count > 1)
+            names = ["pid", "first", "conv", "n", "costs"]
+            cols = [[pid] * len(ends), [e for _, e in ends], [x[0] for x, _ in ends], [len(x[1]) for x, _ in ends], [sum(matrix([r[1] for r in x[1]]), []) for x, _ in ends]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), kind, pa.int64(), pa.list_(pa.int64())), strict=True)], names=names)
+
+    return f
 
 
 def _plan(edges: list) -> dict[tuple[int, bool], tuple[int, int, int, int]]:
@@ -152,7 +156,7 @@ def _plan(edges: list) -> dict[tuple[int, bool], tuple[int, int, int, int]]:
     return out
 
 
-def _render(plan):
+def _render(plan, kind: pa.DataType):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
         names = ["conv_id", "position", "turn", "role", "text", "action", "rendered", "cost"]
@@ -160,7 +164,7 @@ def _render(plan):
 
         def flush():
             cols = list(zip(*out, strict=True)) or [[]] * 8
-            types = (pa.int64(), pa.int64(), pa.int64(), *[pa.string()] * 4, pa.int64())
+            types = (kind, pa.int64(), pa.int64(), *[pa.string()] * 4, pa.int64())
             done = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
             out.clear()
             return done
@@ -207,12 +211,12 @@ def _then(items):
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Repaired and rendered turns of all conversations."""
-    rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    order = ["conv_id", "turn", "role", "text"]
+    name, kind = ("string", pa.string()) if dict(turns.dtypes)[conv_col] == "string" else ("long", pa.int64())
+    rows = turns.select(F.col(conv_col).cast(name).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = checkpointed(rows.repartitionByRange(n, "conv_id", "turn", F.xxhash64("role", "text")).sortWithinPartitions("conv_id", "turn", F.xxhash64("role", "text"), *order[2:]))
-    edges = dealt.mapInArrow(_edges, "pid long, first boolean, conv long, n long, costs array<long>").collect()  # two rows for each partition at most
-    return dealt.mapInArrow(_render(_plan(edges)), "conv_id long, position long, turn long, role string, text string, action string, rendered string, cost long")
+    dealt = checkpointed(rows.repartitionByRange(n, "conv_id", "turn", "role", F.substring("text", 1, 256)).sortWithinPartitions("conv_id", "turn", "role", "text"))
+    edges = dealt.mapInArrow(_edges(kind), f"pid long, first boolean, conv {name}, n long, costs array<long>").collect()  # two rows for each partition at most
+    return dealt.mapInArrow(_render(_plan(edges), kind), f"conv_id {name}, position long, turn long, role string, text string, action string, rendered string, cost long")
 
 
 def digest(turns: DataFrame) -> DataFrame:

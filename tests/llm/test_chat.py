@@ -1,8 +1,12 @@
 import itertools
 import random
 
+import duckdb
+
 from slidespark.llm import chat as C
 
+from ..differential import compare
+
 
 def least_cost(roles):
     """By all assignments of roles and all ways to part turns."""
@@ -59,3 +63,19 @@ def test_odd_rows(spark):
     out = sorted(C.digest(df).collect(), key=lambda x: x.position)
     assert [x.action for x in out] == ["keep", "merge", "merge"]
     assert C.digest(df.limit(0)).count() == 0
+
+
+def test_ties_agree_with_sql(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(c, r.choice([0, 0, 1, None]), r.choice(["system", "user", "assistant", "tool", None]), r.choice(["hi", "a", "", "x" * 300 + "1", "x" * 300 + "0"])) for c in range(30) for _ in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/c.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/c.parquet/*.parquet')")
+    assert compare(C.digest(spark.read.parquet(f"{tmp_path}/c.parquet")), con, C.oracle()) == ""
+
+
+def test_text_ids_and_long_texts(spark):
+    long = "word " * 200_000
+    df = spark.createDataFrame([("a", 0, "user", long), ("a", 1, "user", "x"), ("b", 0, "assistant", "y")], "conv_id string, turn long, role string, text string")
+    out = sorted(C.digest(df).collect(), key=lambda x: (x.conv_id, x.position))
+    assert [(x.conv_id, x.action) for x in out] == [("a", "keep"), ("a", "merge"), ("b", "relabel")] and out[0].rendered.endswith(long)
