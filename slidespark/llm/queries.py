@@ -25,7 +25,6 @@ def queries() -> dict[str, Query]:
         "op2_decontaminate": _on2("documents", "benchmark", decontam.digest),
         "op3_html_min_cut": _on("pages", html_extract.digest),
         "op4_url_link_graph": _on("pages", url_filter.digest),
-        "op4_url_link_means": _on("pages", url_filter.digest_averaged),
         "op5_suffix_array_dedup": _on("documents", suffix_dedup.digest),
         "op6_line_crf": _on2("documents", "labels", quality.digest),
         "op7_toxicity": _on2("documents", "labels", toxicity.digest),

@@ -7,9 +7,11 @@ rules allow, distrust flows against them from the shares that they block (person
 PageRank from both kinds of seeds; a host without a link to follow keeps its own). A host is
 blocked if its distrust exceeds its trust and reaches ``threshold``.
 
-That splits the distrust of a host among all that link to it, so it falls with their number. With
-``averaged`` nothing is split: the distrust of a host is the mean of that of the hosts that it links to, its
-trust the mean of that of the hosts that link to it, both between 0 and 1 on a graph of any size.
+Mass that is split among the linkers of a host falls with their number, so steps are weighted at the
+receiver: the distrust of a host is the chance that a walk along its links, which stops at each host
+with chance 0.15, stops where the rules block, and its trust the same for a walk against links and what the rules
+allow (PageRank personalised to the host, read at the seeds). Both are between 0 and 1 on a graph of any
+size. ``averaged=False`` splits mass among linkers instead.
 
 Links are absolute or scheme-relative targets of href and src in the pages' html; counts are
 summed by pair of hosts before they are shuffled by one. Null urls, and urls without ``://``,
@@ -76,7 +78,7 @@ def _spread(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float, by:
     return mass
 
 
-def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules: Sequence[tuple[str, str]] = RULES, threshold: float = THRESHOLD, rounds: int = ROUNDS, damping: float = DAMPING, averaged: bool = False) -> DataFrame:
+def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules: Sequence[tuple[str, str]] = RULES, threshold: float = THRESHOLD, rounds: int = ROUNDS, damping: float = DAMPING, averaged: bool = True) -> DataFrame:
     """Adds host, path, rule, verdict, trust and distrust to every page."""
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "rule_verdict", "verdict", "trust", "distrust")]
     known = ruled(pages.select(*names), url_col, rules)
@@ -101,12 +103,9 @@ def digest(pages: DataFrame) -> DataFrame:
     return judge(pages.select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
 
 
-def digest_averaged(pages: DataFrame) -> DataFrame:
-    return judge(pages.select("page_id", "url", "html"), averaged=True).select("page_id", "host", "path", "rule", "verdict")
-
-
-def oracle(rules: Sequence[tuple[str, str]] = RULES, threshold: float = THRESHOLD, rounds: int = ROUNDS, damping: float = DAMPING) -> str:
+def oracle(rules: Sequence[tuple[str, str]] = RULES, threshold: float = THRESHOLD, rounds: int = ROUNDS, damping: float = DAMPING, averaged: bool = True) -> str:
     """The same in DuckDB, a table for each round of propagation."""
+    by = "b" if averaged else "a"
     order = sorted(rules, key=lambda r: (-len(r[1]), r[0] != "block"))
     fits = []
     for _, rule in order:
@@ -125,11 +124,11 @@ def oracle(rules: Sequence[tuple[str, str]] = RULES, threshold: float = THRESHOL
         "s AS (SELECT coalesce(s0.host, v.host) AS host, coalesce(good, 0.0) AS good, coalesce(bad, 0.0) AS bad FROM s0 FULL JOIN (SELECT src AS host FROM e UNION SELECT dst FROM e) v ON s0.host = v.host)",
     ]
     for side, a, b in (("good", "src", "dst"), ("bad", "dst", "src")):
-        tables.append(f"{side}w AS (SELECT {a} AS a, {b} AS b, n / sum(n) OVER (PARTITION BY {a}) AS w FROM e)")
+        tables.append(f"{side}w AS (SELECT {a} AS a, {b} AS b, n / sum(n) OVER (PARTITION BY {b if averaged else a}) AS w FROM e)")
         tables.append(f"{side}0 AS (SELECT host, {side} AS mass FROM s)")
         for r in range(rounds):
             tables.append(f"{side}f{r} AS (SELECT b AS host, sum(w * mass) AS flow FROM {side}w JOIN {side}{r} ON a = host GROUP BY 1)")
-            keep = f"CASE WHEN s.host IN (SELECT a FROM {side}w) THEN 0.0 ELSE m.mass END"
+            keep = f"CASE WHEN s.host IN (SELECT {by} FROM {side}w) THEN 0.0 ELSE m.mass END"
             tables.append(f"{side}{r + 1} AS (SELECT s.host, {1 - damping!r} * s.{side} + {damping!r} * ({keep} + coalesce(flow, 0.0)) AS mass FROM s JOIN {side}{r} m ON s.host = m.host LEFT JOIN {side}f{r} f ON s.host = f.host)")
     return "WITH " + ",\n".join(tables) + f"""
 SELECT page_id, k.host, path, rule, coalesce(verdict, CASE WHEN b.mass >= {threshold!r} AND b.mass > g.mass THEN 'block' ELSE 'allow' END) AS verdict
