@@ -63,6 +63,17 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
+def loss(bias: float, weight: np.ndarray, s: np.ndarray, f: np.ndarray, doc: np.ndarray, label: np.ndarray) -> tuple[float, np.ndarray, float]:
+    """Mean negative log likelihood of the documents' labels, and its slope in the weights and the bias; ``s`` and ``f`` pair sentences with features."""
+    n = len(label)
+    z = bias + np.bincount(s, weights=weight[f], minlength=len(doc))
+    total = np.maximum(np.bincount(doc, weights=_softplus(z), minlength=n), 1e-9)
+    value = np.where(label > 0, -np.log(-np.expm1(-total)), total).mean()
+    pull = np.where(label > 0, -1 / np.expm1(total), 1.0) / n
+    g = pull[doc] / (1 + np.exp(-z))
+    return float(value), np.bincount(f, weights=g[s], minlength=len(weight)), float(g.sum())
+
+
 def fit(data: np.ndarray, off: np.ndarray, label: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted word fingerprints and their weights; the bias stands under fingerprint 0."""
     n = len(off) - 1
@@ -97,11 +108,7 @@ def fit(data: np.ndarray, off: np.ndarray, label: np.ndarray, rounds: int = ROUN
     penalty, step = 2e-4 * n ** 0.5 / 90, 0.05
     m1, m2, b1, b2 = np.zeros(len(v)), np.zeros(len(v)), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = bias + np.bincount(s, weights=weight[f], minlength=len(doc))
-        total = np.bincount(doc, weights=_softplus(z), minlength=n)
-        pull = np.where(label > 0, -1 / np.expm1(np.maximum(total, 1e-9)), 1.0) / n
-        g = pull[doc] / (1 + np.exp(-z))
-        gw, gb = np.bincount(f, weights=g[s], minlength=len(v)), g.sum()
+        _, gw, gb = loss(bias, weight, s, f, doc, label)
         m1, m2 = 0.9 * m1 + 0.1 * gw, 0.99 * m2 + 0.01 * gw * gw
         b1, b2 = 0.9 * b1 + 0.1 * gb, 0.99 * b2 + 0.01 * gb * gb
         scale = step / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-5)
@@ -181,11 +188,16 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", to: str = "sc
 def locate(docs: DataFrame, scorer: Scorer, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """Adds ``sentences``, the offending ones with their scores."""
 
-    @F.udf("array<struct<sentence string, score double>>")
-    def found(text):
-        return scorer.sentences(text, least)
+    names = [c for c in docs.columns if c != "sentences"]
+    kind = pa.list_(pa.struct([("sentence", pa.string()), ("score", pa.float64())]))
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [scorer.sentences(x.as_py(), least) for x in batch.column("__text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, kind)], names=[*names, "sentences"])
 
-    return docs.withColumn("sentences", found(F.col(text_col)))
+    fields = "".join(f"`{n}` {t}, " for n, t in docs.select(*names).dtypes)
+    return docs.select(*names, F.col(text_col).alias("__text")).mapInArrow(f, f"{fields}sentences array<struct<sentence string, score double>>")
 
 
 def fold(id_: Column, n: int) -> Column:
