@@ -10,7 +10,8 @@ The first factor is the exact likelihood of the hidden Markov model by the scale
 recursion; the second uses the smoothed counts of all training words, an unseen word getting
 the mass of one unseen type of its class. Counts, vocabulary and every Baum-Welch round cover
 all training texts: each partition adds up its expected counts, blocks of which are summed
-across partitions. Only the first guess comes from a bounded sample.
+across partitions. Only the first guess comes from a bounded sample, of ``GUESS`` texts and of at most ``SPREAD``
+tokens at even distances of each.
 
 The base score is the add-0.1 unigram model with the same counts. Null, empty and wordless
 texts are the end alone; without training texts all words are unknown; repeated rows score
@@ -35,8 +36,8 @@ STATES, TOP, RARE, ROUNDS = 8, 16384, 512, 3
 #: Words whose counts travel with the tasks (6 MB); the counts of all others are joined.
 KNOWN = 1 << 18
 SMOOTH = 0.1
-#: Texts of the first guess, and tokens that are recursed over at once.
-GUESS, BATCH = 400, 3 << 19
+#: Texts of the first guess, tokens of each at even distances, and tokens that are recursed over at once.
+GUESS, SPREAD, BATCH = 400, 2000, 3 << 19
 BLOCK = 1024
 U64 = np.uint64
 END = np.int64(0x0123456789ABCDEF)
@@ -56,7 +57,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         train = batch.column("train").to_numpy(zero_copy_only=False)
         data, off = T.buffer(batch.column("text"))
-        for i, j, part, at in T.chunks(data, off, 2 * T.CHUNK_BYTES):
+        for i, j, part, at in T.chunks(data, off, 8 * T.CHUNK_BYTES):
             w, c, first = tokens(part, at)
             use = np.repeat(train[i:j], np.diff(first))
             u, index, n = np.unique(w[use], return_index=True, return_counts=True)
@@ -260,7 +261,8 @@ def guess(texts: list[list[int]], prior: np.ndarray, states: int) -> Model:
 
 def _frequent(counts: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """The least count above which at most ``most`` words stand, and these words, their rare classes and counts."""
-    sizes = sorted(counts.groupBy("n").agg(F.count("*").alias("v")).collect(), key=lambda r: -r.n)  # distinct counts: at most the root of twice all tokens
+    bin_ = F.when(F.col("n") < 1024, F.col("n")).otherwise(384 + F.floor(64 * F.log2("n"))).cast("long").alias("bin")
+    sizes = sorted(counts.groupBy(bin_).agg(F.min("n").alias("n"), F.count("*").alias("v")).collect(), key=lambda r: -r.n)  # at most 5,000 bins of counts
     least, held = 1 << 62, 0
     for r in sizes:
         held += r.v
@@ -302,7 +304,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     mass = np.concatenate([held[own], class_n]) + 0.5
     prior = mass / mass.sum()
     chosen = [r.row for r in coded.where("train and n_tokens > 20").select("pick", "row").orderBy("pick", "row").limit(GUESS).collect()]  # numbers only: every partition offers as many
-    sample = coded.where(F.col("row").isin(chosen)).select("pick", "row", F.slice("classes", 1, 2000).alias("c")).collect() if chosen else []
+    sample = coded.where(F.col("row").isin(chosen)).select("pick", "row", F.expr(f"filter(classes, (c, i) -> i % ceil(size(classes) / {SPREAD}.0) = 0)").alias("c")).collect() if chosen else []
     sample.sort(key=lambda r: (r.pick, r.row))
     model = guess([r.c for r in sample], prior, states)
     for _ in range(rounds):
