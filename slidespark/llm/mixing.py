@@ -9,7 +9,7 @@ keeps the one whose words come nearest to it, which matters where a few long doc
 a large share.
 
 Running sums are dealt out: ranks come from counts by (source, size), by (source, size,
-slot) and a row number within a slot, where 4096 slots are a hash of the id; a source or a
+slot) and a row number within a slot, where 4096 slots are a hash of the id, or of the text if it is null; a source or a
 size that holds a third of all rows never meets in one task, while its counts do.
 
 Null texts have size 0; a null source is the last source; repeated rows are documents of
@@ -75,7 +75,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Sources are a small dimension: their sizes, and nothing else, come to the driver.
     """
     spark = docs.sparkSession
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("")))
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), digest.alias("digest"))
     sized = materialize(sized.withColumn("slot", F.substring("digest", 1, 3)))  # texts are read once
     by_slot = sized.groupBy("source", "size", "slot").agg(F.count("*").alias("n"))
@@ -107,17 +107,18 @@ def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """The mix itself: each document as often as it is taken, with its columns.
 
     Ids that several rows share are told apart by a hash of text and source; rows alike in all three
-    are emitted as often as their copies add up to.
+    are emitted as often as their copies add up to: each as often as all can be, and one of them as often as is left.
     """
     key = F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col))
     with_key = docs.withColumn("__key", key)
     taken = mix(docs.select(F.struct(id_col, key.alias("k")).alias("id"), text_col, source_col), "id", text_col, source_col).where("copies > 0")
     total = taken.groupBy(F.col("id.k").alias("__key")).agg(F.sum("copies").alias("__copies"))
     alike = with_key.groupBy("__key").agg(F.count("*").alias("__n"))
-    once = with_key.join(total.join(alike, "__key"), "__key")
-    slot = F.row_number().over(Window.partitionBy("__key").orderBy("__n"))
-    share = F.floor(F.col("__copies") / F.col("__n")) + F.when(slot <= F.col("__copies") % F.col("__n"), 1).otherwise(0)
-    return once.withColumn("__share", F.when(F.col("__n") == 1, F.col("__copies")).otherwise(share)).where("__share > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__share").cast("int")))).select(*docs.columns)
+    held = with_key.join(total.join(alike, "__key"), "__key")
+    every, left = F.floor(F.col("__copies") / F.col("__n")), F.col("__copies") % F.col("__n")
+    one = held.where((F.col("__n") > 1) & (left > 0)).dropDuplicates(["__key"])
+    parts = held.withColumn("__times", every).union(one.withColumn("__times", left)).where("__times > 0")
+    return parts.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)
 
 
 def oracle(weights: Sequence[int] = WEIGHTS, most: int = MOST, rounds: int = 40) -> str:
@@ -126,7 +127,7 @@ def oracle(weights: Sequence[int] = WEIGHTS, most: int = MOST, rounds: int = 40)
     return rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS digest
+         md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS digest
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, {w} AS w FROM d GROUP BY source),
 fill AS (
