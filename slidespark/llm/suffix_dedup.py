@@ -270,7 +270,7 @@ def _open_rows(length: int):
     return f
 
 
-def _apply(length: int, names: list[str]):
+def _apply(length: int, names: list[str], as_text: bool):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = T.buffer(batch.column("__text"))
@@ -287,21 +287,22 @@ def _apply(length: int, names: list[str]):
                         edge = np.zeros(len(text) + 1, np.int8)
                         edge[s], edge[e + 1] = 1, -1
                         text = text[np.cumsum(edge[:-1]) == 0]
-                    kept.append(text.tobytes())
+                    kept.append(text.tobytes().decode("utf-8", "ignore") if as_text else text.tobytes())
                     removed.append(int((e - s + 1).sum()))
                     count.append(len(s))
-                new = [pa.array(np.diff(off[i : j + 1])), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())]
+                new = [pa.array(np.diff(off[i : j + 1])), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in names), *new], names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
     return f
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_first: bool = True, open_at_once: int = OPEN_AT_ONCE) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_first: bool = True, open_at_once: int = OPEN_AT_ONCE, as_text: bool = False) -> DataFrame:
     """Cuts from every text the bytes covered by a ``length``-byte string that occurs elsewhere too.
 
     ``keep_first`` (longest previous factors): the earliest copy in order of id and
     position stays; otherwise all copies go. Adds ``n_bytes``, ``n_removed``, ``n_spans``
-    (maximal removed runs) and ``kept`` (the remaining bytes, which may split a character).
+    (maximal removed runs) and ``kept`` (the remaining bytes, which may split a character; with
+    ``as_text`` the remaining text, without the bytes of split characters).
     Ids are numbers or can be cast to them.
     """
     anchor = max(1, min(ANCHOR, length // 2))
@@ -343,7 +344,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = spans.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("__spans")).withColumnRenamed("key", "__key")
     joined = docs.select(*names, F.col(text_col).alias("__text"), key.alias("__key")).join(spans, "__key", "left").drop("__key")
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.select(*names).dtypes)
-    return joined.mapInArrow(_apply(length, names), f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(_apply(length, names, as_text), f"{fields}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
 def digest(docs: DataFrame) -> DataFrame:
