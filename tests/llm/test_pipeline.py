@@ -67,3 +67,22 @@ def test_rows_without_an_id(spark):
     df = spark.createDataFrame([(None, f"{prose(60)} {passage} {prose(60)}", "en", "s", 1) for _ in range(3)], shape)
     cut = [x.text for x in P.cut_repeats(spark, df, "").collect()]
     assert sum(passage in t for t in cut) == 1
+
+
+def test_odd_rows_pass_every_stage(spark, tmp_path):
+    r = random.Random(6)
+    long = " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(60_000))
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, None, None, None, None)] * 2 + [(1, long, "en", "s", None)] * 2 + [(1, "", None, None, 0), (2, "", "en", "s", 0), (3, "é " * 9, "en", "s", 18)]
+    spark.createDataFrame(rows, shape).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, None), (1, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    sizes = []
+    for k, (_, stage) in enumerate(P.STAGES):
+        stage(spark, df, str(tmp_path)).write.parquet(f"{tmp_path}/o{k}")
+        df = spark.read.parquet(f"{tmp_path}/o{k}")
+        assert df.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        sizes.append(df.count())
+    assert sizes[:4] == [7, 5, 5, 5]
+    assert {x.text for x in df.collect()} >= {long}
