@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from slidespark.sources.storage import materialize
 
 
-def within(points: DataFrame, radius: int) -> DataFrame:
+def within(points: DataFrame, radius: float) -> DataFrame:
     """Ordered pairs of a slide not farther apart than ``radius``, by an equi-join on grid cells."""
     g = points.withColumn("gx", F.floor(F.col("cx") / radius)).withColumn("gy", F.floor(F.col("cy") / radius))
     steps = F.array(*(F.lit(i) for i in (-1, 0, 1)))
@@ -35,7 +35,7 @@ def _near_cells(points: DataFrame, cell: int, asking: DataFrame) -> DataFrame:
     a = a.withColumn("edge", inside * inside).withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).select("label", "vec_id", "cx", "cy", "edge", (F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy"))
     b = points.select("label", at("cx").alias("gx"), at("cy").alias("gy"), F.col("vec_id").alias("other"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
     d2 = (F.col("cx") - F.col("ox")) * (F.col("cx") - F.col("ox")) + (F.col("cy") - F.col("oy")) * (F.col("cy") - F.col("oy"))
-    return a.join(b, ["label", "gx", "gy"], "left").select("label", "vec_id", F.nullif("other", "vec_id").alias("other"), d2.cast("long").alias("d2"), F.col("edge").cast("long").alias("edge"))
+    return a.join(b, ["label", "gx", "gy"], "left").select("label", "vec_id", F.nullif("other", "vec_id").alias("other"), d2.alias("d2"), F.col("edge").alias("edge"))
 
 
 def nearest(points: DataFrame, k: int, cell: int = 64) -> DataFrame:
@@ -58,7 +58,7 @@ def nearest(points: DataFrame, k: int, cell: int = 64) -> DataFrame:
             break
         cell *= 2
     if not done:
-        return points.limit(0).select("label", "vec_id", F.lit(0).alias("place"), F.col("vec_id").alias("other"), F.lit(0).cast("long").alias("d2"))
+        return points.limit(0).select("label", "vec_id", F.lit(0).alias("place"), F.col("vec_id").alias("other"), F.lit(0).alias("d2"))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
@@ -85,6 +85,38 @@ def trimmed_stats(t: DataFrame, by: Sequence[str], value: str = "v", rounds: int
     return merged.select(*by, "n", "mean", "std", ratio(F.col("least").cast("double"), F.col("most").cast("double")).alias("min_max_ratio"), ratio(F.col("std"), F.col("mean") + F.col("std")).alias("disorder"))
 
 
+STATS = ("mean", "stddev", "min_max_ratio", "disorder")
+RADII, COUNTS = (10.0, 20.0, 30.0, 40.0, 50.0), (3, 5, 7)
+
+
+def density_values(points: DataFrame, radii: Sequence[float] = RADII, counts: Sequence[int] = COUNTS) -> DataFrame:
+    """(label, name, v): how many others lie within each radius, and how far the k-th other is, for the places of each slide.
+
+    Names are ``neighbors_in_distance_0`` and so on, ``distance_for_neighbors_0`` and so on. Points on one place count once.
+    """
+    points = materialize(points.groupBy("label", "cx", "cy").agg(F.min("vec_id").alias("vec_id")))
+    near = within(points, max(radii)).groupBy("label", "vec_id").agg(*(F.sum((F.col("d2") <= r * r).cast("long")).alias(f"n{i}") for i, r in enumerate(radii)))
+    every = points.select("label", "vec_id").join(near, ["label", "vec_id"], "left")
+    many = every.select("label", F.explode(F.array(*(F.struct(F.lit(f"neighbors_in_distance_{i}").alias("name"), F.coalesce(f"n{i}", F.lit(0)).cast("double").alias("v")) for i in range(len(radii))))).alias("x"))
+    far = nearest(points, max(counts)).where(F.col("place").isin(*counts))
+    place = F.element_at(F.create_map(*(F.lit(x) for k in enumerate(counts) for x in (k[1], f"distance_for_neighbors_{k[0]}"))), F.col("place"))
+    return materialize(many.select("label", "x.name", "x.v").unionByName(far.select("label", place.alias("name"), F.sqrt("d2").alias("v"))))
+
+
+def density(points: DataFrame, radii: Sequence[float] = RADII, counts: Sequence[int] = COUNTS) -> DataFrame:
+    """(label, name, n, mean, std, min_max_ratio, disorder) of those values."""
+    return trimmed_stats(density_values(points, radii, counts), ["label", "name"])
+
+
+def wide(stats: DataFrame, names: Sequence[str], prefix: str = "density_") -> DataFrame:
+    """(label, a column for each name and statistic) of ``density``."""
+    cells = [F.max(F.when(F.col("name") == n, F.col(c))).alias(f"{prefix}{n}_{to}") for n in names for c, to in zip(("mean", "std", "min_max_ratio", "disorder"), STATS, strict=True)]
+    return stats.groupBy("label").agg(*cells)
+
+
+DENSITY = (*(f"neighbors_in_distance_{i}" for i in range(len(RADII))), *(f"distance_for_neighbors_{i}" for i in range(len(COUNTS))))
+
+
 def two_hop(edges: DataFrame, by: Sequence[str] = ("slide_id",)) -> DataFrame:
     """(by, a, b), a <= b: edges, and pairs with a common neighbour; a vertex with a neighbour reaches itself."""
     by = list(by)

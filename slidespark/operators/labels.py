@@ -209,10 +209,13 @@ def moments(labels: DataFrame) -> DataFrame:
     root = F.sqrt((u20 - u02) * (u20 - u02) + 4 * u11 * u11)
     big, small = (u20 + u02 + root) / 2, F.greatest((u20 + u02 - root) / 2, F.lit(0.0))
     major, minor = 4 * F.sqrt(big), 4 * F.sqrt(small)
+    # the angle between the rows and the major axis; a quarter turn where both axes are alike
+    quarter = F.lit(0.7853981633974483)
+    turn = F.when(F.abs(u02 - u20) < 1e-9, F.when(u11 > 1e-9, -quarter).otherwise(quarter)).otherwise(F.atan2(2 * u11, u02 - u20) / 2)
     box = (F.col("ymax") - F.col("ymin") + 1) * (F.col("xmax") - F.col("xmin") + 1)
     r = lambda c, n: F.round(c, 5).alias(n)
     return t.select(
-        "slide_id", "label", "area", "ymin", "ymax", "xmin", "xmax", r(F.col("cy"), "cy"), r(F.col("cx"), "cx"), r(major, "major_axis"), r(minor, "minor_axis"),
+        "slide_id", "label", "area", "ymin", "ymax", "xmin", "xmax", r(F.col("cy"), "cy"), r(F.col("cx"), "cx"), r(turn, "orientation"), r(major, "major_axis"), r(minor, "minor_axis"),
         r(F.sqrt(F.greatest(1 - small / big, F.lit(0.0))), "eccentricity"), r(F.sqrt(4 * F.col("area") / F.lit(3.141592653589793)), "equivalent_diameter"), r(F.col("area") / box, "extent"),
         r(F.coalesce(minor / F.nullif(major, F.lit(0.0)), F.lit(1.0)), "axis_ratio"),
     )

@@ -88,13 +88,25 @@ def paint(e: DataFrame, codes: DataFrame, step: int) -> DataFrame:
     return t.groupBy("slide_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).agg(top).select("slide_id", "y", "x", "t.gt_code", "t.element_id")
 
 
-def crossings(edges: DataFrame, points: DataFrame, by: str) -> DataFrame:
-    """Points (by, y, x) inside polygons by the even-odd rule; edges (by, x1, y1, x2, y2) join the rows that they cross."""
+def spans(edges: DataFrame, by: str) -> DataFrame:
+    """(by, y, x0, x1): the runs of pixels inside polygons by the even-odd rule, from edges (by, x1, y1, x2, y2).
+
+    A polygon is cut row by row; the crossings of a row pair up in order, and a run reaches from one to the next, its end left out.
+    """
     rows = F.explode(F.sequence(F.ceil(F.least("y1", "y2")).cast("int"), F.greatest("y1", "y2").cast("int")))
     cut = edges.where("y1 <> y2").withColumn("y", rows).where((F.col("y") >= F.least("y1", "y2")) & (F.col("y") < F.greatest("y1", "y2")))
     at = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    cut = cut.select(by, "y", at.alias("cx"))
-    return points.join(cut, [by, "y"]).where(F.col("cx") > F.col("x")).groupBy(by, "y", "x").agg((F.count("*") % 2 == 1).alias("inside")).where("inside").drop("inside")
+    crossed = cut.groupBy(by, "y").agg(F.sort_array(F.collect_list(at)).alias("c"))
+    pairs = F.explode(F.sequence(F.lit(0), (F.size("c") / 2 - 1).cast("int")))
+    runs = crossed.withColumn("k", pairs).select(by, "y", F.ceil(F.element_at("c", 2 * F.col("k") + 1)).cast("int").alias("x0"), (F.ceil(F.element_at("c", 2 * F.col("k") + 2)) - 1).cast("int").alias("x1"))
+    return runs.where("x0 <= x1")
+
+
+def ring_edges(polygons: DataFrame, by: str, points: str = "points") -> DataFrame:
+    """(by, x1, y1, x2, y2): the sides of closed rings given as arrays of (x, y)."""
+    after = F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
+    side = F.explode(F.arrays_zip(F.col(points).alias("a"), after.alias("b"))).alias("s")
+    return polygons.select(by, side).select(by, *(F.col(f"s.{e}.{c}").cast("double").alias(f"{c}{k}") for k, e in ((1, "a"), (2, "b")) for c in "xy"))
 
 
 def region_polygons(region: list[float]) -> list[list[tuple[float, float]]]:

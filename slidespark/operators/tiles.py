@@ -138,6 +138,18 @@ def edges(px: DataFrame, by: str, value: str = "i") -> DataFrame:
     return px.groupBy(by).applyInPandas(f, f"{by} {dict(px.dtypes)[by]}, canny_sum double, canny_mean double")
 
 
+def edge_map(px: DataFrame, size: int, halo: int) -> DataFrame:
+    """(slide_id, y, x) of the edge pixels of (slide_id, y, x, i), a tile at a time."""
+
+    def f(t: pd.DataFrame, ty: int, tx: int) -> pd.DataFrame:
+        im, there, y0, x0 = raster_of(t, ["i"], 0.0)
+        y, x = np.nonzero(raster.canny(im[:, :, 0]) & there)
+        mine = owned(y + y0, x + x0, ty, tx, size)
+        return pd.DataFrame({"slide_id": t.slide_id.iloc[0], "y": (y + y0)[mine], "x": (x + x0)[mine]})
+
+    return per_tile(px, f, "slide_id int, y int, x int", size, halo)
+
+
 def boundaries(labels: DataFrame, conn: int = 8) -> DataFrame:
     """(slide_id, label, n, coords_x, coords_y): outline of every object."""
 

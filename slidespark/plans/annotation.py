@@ -124,26 +124,28 @@ add("painter_areas", lambda s, d: spatial.paint(fx.elements(s, d), fx.gt_codes(s
 
 
 def _triangles(e):
-    """Pixels inside the triangle of each element."""
-    ends = F.array(*(F.struct(F.col(a).cast("double").alias("x1"), F.col(b).cast("double").alias("y1"), F.col(c).cast("double").alias("x2"), F.col(g).cast("double").alias("y2")) for a, b, c, g in (("xmin", "ymin", "xmax", "ymin"), ("xmax", "ymin", "xmin", "ymax"), ("xmin", "ymax", "xmin", "ymin"))))
-    edges = e.select("element_id", F.explode(ends).alias("s")).select("element_id", "s.*")
-    points = e.select("element_id", F.explode(F.sequence("ymin", "ymax")).alias("y"), "xmin", "xmax").select("element_id", "y", F.explode(F.sequence("xmin", "xmax")).alias("x"))
-    return spatial.crossings(edges, points, "element_id").groupBy("element_id").agg(F.count("*").alias("n"))
+    """A triangle of each element as a ring."""
+    return e.withColumn("points", F.array(*(F.struct(F.col(a).alias("x"), F.col(b).alias("y")) for a, b in (("xmin", "ymin"), ("xmax", "ymin"), ("xmin", "ymax")))))
 
 
-add("polygon_mask", lambda s, d: _triangles(fx.elements(s, d).where("element_id % 40 = 0")), fx.with_("elements") + ", g AS (SELECT CAST(range AS INT) k FROM range(0, 6000)) SELECT element_id, count(*) n FROM elements JOIN g y ON y.k >= ymin AND y.k < ymax JOIN g x ON x.k >= xmin AND x.k < xmax + (y.k - ymin) * (xmin - xmax)::DOUBLE / (ymax - ymin) WHERE element_id % 40 = 0 GROUP BY 1")
-add("polygon_mask_all", lambda s, d: _triangles(fx.elements(s, d)))
+def _masks(s, d):
+    runs = spatial.spans(spatial.ring_edges(_triangles(fx.elements(s, d)), "element_id"), "element_id")
+    return runs.groupBy("element_id").agg(F.sum(F.col("x1") - F.col("x0") + 1).cast("long").alias("n"))
+
+
+_BOUND = "xmax + (y - ymin) * (xmin - xmax)::DOUBLE / (ymax - ymin)"
+_ROWS = f", t AS (SELECT *, CAST(ceil({_BOUND}) AS INT) - 1 x1 FROM (SELECT *, unnest(range(ymin, ymax)) y FROM elements)) "
+add("polygon_mask", _masks, fx.with_("elements") + _ROWS + "SELECT element_id, CAST(sum(x1 - xmin + 1) AS BIGINT) n FROM t WHERE x1 >= xmin GROUP BY 1")
 add("roi_subtiles", lambda s, d: spatial.sub_tiles(fx.elements(s, d), 40), fx.with_("elements") + ", g AS (SELECT CAST(range AS INT) k FROM range(0, 10)) SELECT slide_id, element_id, xmin + b.k * 40 xmin, ymin + a.k * 40 ymin, least(xmin + b.k * 40 + 40, xmax) xmax, least(ymin + a.k * 40 + 40, ymax) ymax FROM elements JOIN g a ON ymin + a.k * 40 <= greatest(ymax - 1, ymin) JOIN g b ON xmin + b.k * 40 <= greatest(xmax - 1, xmin)")
 _cards = lambda e: e.select("slide_id", F.col("element_id").alias("tile_id"), (F.col("xmax") - F.col("xmin")).alias("width"), (F.col("ymax") - F.col("ymin")).alias("height"))
 add(
     "gallery_layout",
-    lambda s, d: spatial.gallery(_cards(fx.elements(s, d).where("element_id % 8 = 1"))),
-    fx.with_("elements") + """, t AS (SELECT slide_id, element_id tile_id, xmax - xmin w, ymax - ymin h, row_number() OVER (PARTITION BY slide_id ORDER BY element_id) - 1 k FROM elements WHERE element_id % 8 = 1),
+    lambda s, d: spatial.gallery(_cards(fx.elements(s, d))),
+    fx.with_("elements") + """, t AS (SELECT slide_id, element_id tile_id, xmax - xmin w, ymax - ymin h, row_number() OVER (PARTITION BY slide_id ORDER BY element_id) - 1 k FROM elements),
 p AS (SELECT *, CAST(k // 10 AS INT) gallery, CAST(k % 10 // 2 AS INT) r, CAST(k % 2 AS INT) c FROM t), q AS (SELECT *, CAST(1 + 25 * (c + 1) + coalesce(lag(w) OVER (PARTITION BY slide_id, gallery, r ORDER BY c), 0) AS INT) x0 FROM p),
 s AS (SELECT slide_id, gallery, r, max(h) tall FROM p GROUP BY ALL), y AS (SELECT slide_id, gallery, r, CAST(1 + 25 * (r + 1) + coalesce(sum(tall) OVER (PARTITION BY slide_id, gallery ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) y0 FROM s)
 SELECT slide_id, tile_id, gallery, r AS "row", c AS col, x0 xmin, y0 ymin, x0 + w xmax, y0 + h ymax FROM q JOIN y USING (slide_id, gallery, r)""",
 )
-add("gallery_layout_all", lambda s, d: spatial.gallery(_cards(fx.elements(s, d))))
 add("unique_product_codes", lambda s, d: spatial.product_codes(s.range(0, 256).select(F.col("id").cast("int").alias("k")), 1, 256), "WITH n AS (SELECT CAST(range AS INT) k FROM range(1, 256)) SELECT a.k a, b.k b, a.k * b.k product FROM n a JOIN n b ON a.k < b.k QUALIFY row_number() OVER (PARTITION BY a.k * b.k ORDER BY a.k, b.k) = 1")
 add("label_bytes", lambda s, d: fx.elements(s, d).select("element_id", (F.col("element_id") % 256).cast("int").alias("b0"), (F.floor(F.col("element_id") / 256) % 256).cast("int").alias("b1"), (F.floor(F.col("element_id") / 65536) % 256).cast("int").alias("b2")), fx.with_("elements") + "SELECT element_id, CAST(element_id % 256 AS INT) b0, CAST(element_id // 256 % 256 AS INT) b1, CAST(element_id // 65536 % 256 AS INT) b2 FROM elements")
 _names = lambda s, d: fx.elements(s, d).select("element_id", F.format_string("/masks/s%d_id-%d_left-%d_top-%d_bottom-%d_right-%d.png", "slide_id", "element_id", "xmin", "ymin", "ymax", "xmax").alias("path"))
@@ -173,5 +175,5 @@ def _colinear(s, d):
 
 
 add("merge_colinear", _colinear, fx.with_("elements") + "SELECT element_id, CAST(3 AS BIGINT) n, CAST(xmin + xmax + xmax AS BIGINT) x_sum FROM elements")
-_mode = lambda s, d: fx.elements(s, d).where("slide_id = 1").agg(*(f(c).alias(c) for f, c in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax"))))
-add("bounding_box_mode", _mode, fx.with_("elements") + "SELECT min(xmin) xmin, min(ymin) ymin, max(xmax) xmax, max(ymax) ymax FROM elements WHERE slide_id = 1")
+_box = lambda: [f(c).alias(c) for f, c in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax"))]
+add("bounding_box_mode", lambda s, d: fx.elements(s, d).groupBy("slide_id").agg(*_box()), fx.with_("elements") + "SELECT slide_id, min(xmin) xmin, min(ymin) ymin, max(xmax) xmax, max(ymax) ymax FROM elements GROUP BY 1")

@@ -19,15 +19,13 @@ add(
     lambda s, d: labels.delete_margin(fx.blocks(s, d), SIDE, SIDE, {"left": 5, "top": 3, "right": 0, "bottom": 1}),
     fx.with_("blocks") + f", e AS (SELECT DISTINCT slide_id, label FROM blocks WHERE x < 2 OR y < 1) {_COND} (SELECT * FROM blocks WHERE (slide_id, label) NOT IN (SELECT slide_id, label FROM e))",
 )
-_sparse = lambda s, d: fx.blocks(s, d).where("label % 5 = 1")
 add(
     "ring_labels",
-    lambda s, d: labels.ring(_sparse(s, d), SIDE, SIDE, 4),
-    fx.with_("blocks") + """, o AS (SELECT * FROM blocks WHERE label % 5 = 1), g AS (SELECT a.v y, b.v x FROM (SELECT CAST(range AS INT) v FROM range(48)) a CROSS JOIN (SELECT CAST(range AS INT) v FROM range(48)) b),
+    lambda s, d: labels.ring(fx.blocks(s, d), SIDE, SIDE, 4),
+    fx.with_("blocks") + """, o AS (SELECT * FROM blocks), g AS (SELECT a.v y, b.v x FROM (SELECT CAST(range AS INT) v FROM range(48)) a CROSS JOIN (SELECT CAST(range AS INT) v FROM range(48)) b),
 c AS (SELECT o.slide_id, g.y, g.x, (o.y - g.y) * (o.y - g.y) + (o.x - g.x) * (o.x - g.x) d2, label FROM o JOIN g ON abs(o.y - g.y) <= 4 AND abs(o.x - g.x) <= 4)
 SELECT slide_id, y, x, label FROM c WHERE d2 <= 16 AND (slide_id, y, x) NOT IN (SELECT slide_id, y, x FROM o) QUALIFY row_number() OVER (PARTITION BY slide_id, y, x ORDER BY d2, label) = 1""",
 )
-add("ring_labels_all", lambda s, d: labels.ring(fx.blocks(s, d), SIDE, SIDE, 4))
 _REACH = """, b AS (SELECT slide_id, y, x, CAST(dense_rank() OVER (PARTITION BY slide_id ORDER BY label) AS INT) label FROM blocks), e AS (SELECT a.slide_id, a.label, a.y * 1048576 + a.x p, c.y * 1048576 + c.x q FROM b a JOIN b c ON a.slide_id = c.slide_id AND a.label = c.label AND abs(a.y - c.y) <= 1 AND abs(a.x - c.x) <= 1),
 r(slide_id, label, p, root) AS (SELECT DISTINCT slide_id, label, p, p FROM e UNION SELECT e.slide_id, e.label, e.q, r.root FROM r JOIN e ON e.slide_id = r.slide_id AND e.label = r.label AND e.p = r.p WHERE r.root < e.q),
 m AS (SELECT slide_id, label, p, min(root) root FROM r GROUP BY 1, 2, 3) """
@@ -57,7 +55,7 @@ add(
     lambda s, d: labels.moments(fx.blocks(s, d)),
     fx.with_("blocks") + """, m AS (SELECT slide_id, label, count(*) area, min(y) ymin, max(y) ymax, min(x) xmin, max(x) xmax, avg(y) cy, avg(x) cx, var_pop(x) + 1 / 12.0::DOUBLE a, var_pop(y) + 1 / 12.0::DOUBLE c, covar_pop(x, y) b FROM blocks GROUP BY 1, 2),
 e AS (SELECT *, (a + c + sqrt(pow(a - c, 2) + 4 * b * b)) / 2 l1, greatest((a + c - sqrt(pow(a - c, 2) + 4 * b * b)) / 2, 0.0) l2 FROM m)
-SELECT slide_id, label, area, ymin, ymax, xmin, xmax, round(cy, 5) cy, round(cx, 5) cx, round(4 * sqrt(l1), 5) major_axis, round(4 * sqrt(l2), 5) minor_axis, round(sqrt(greatest(1 - l2 / l1, 0.0)), 5) eccentricity, round(sqrt(4 * area / pi()), 5) equivalent_diameter,
+SELECT slide_id, label, area, ymin, ymax, xmin, xmax, round(cy, 5) cy, round(cx, 5) cx, round(CASE WHEN abs(c - a) < 1e-9 THEN CASE WHEN b > 1e-9 THEN -pi() / 4 ELSE pi() / 4 END ELSE atan2(2 * b, c - a) / 2 END, 5) orientation, round(4 * sqrt(l1), 5) major_axis, round(4 * sqrt(l2), 5) minor_axis, round(sqrt(greatest(1 - l2 / l1, 0.0)), 5) eccentricity, round(sqrt(4 * area / pi()), 5) equivalent_diameter,
   round(area / ((ymax - ymin + 1) * (xmax - xmin + 1)), 5) extent, round(sqrt(l2) / sqrt(l1), 5) axis_ratio FROM e""",
 )
 add("region_counts_capped", lambda s, d: fx.blocks(s, d).groupBy("slide_id").agg(F.countDistinct("label").alias("n")).select("slide_id", "n", F.assert_true(F.col("n") <= 17437).isNull().alias("fits")), fx.with_("blocks") + "SELECT slide_id, count(DISTINCT label) n, true fits FROM blocks GROUP BY 1")

@@ -119,7 +119,7 @@ SELECT label, i threshold, round(m0, 6) low_mean, round(CASE WHEN p1 < 1e-12 THE
 _HOP = fx.with_("blocks") + """, n AS (SELECT DISTINCT a.slide_id, a.label a, b.label b FROM blocks a CROSS JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) s(dy, dx) JOIN blocks b ON b.slide_id = a.slide_id AND b.y = a.y + dy AND b.x = a.x + dx WHERE a.label <> b.label) """
 add("rag_two_hop", lambda s, d: graph.two_hop(labels.adjacency(fx.blocks(s, d))), _HOP + "SELECT slide_id, a, b FROM n WHERE a <= b UNION SELECT p.slide_id, p.a, q.b FROM n p JOIN n q ON p.slide_id = q.slide_id AND p.b = q.a WHERE p.a <= q.b")
 _KNN = fx.with_("points") + ", k AS (SELECT a.label, a.vec_id, (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) d2, row_number() OVER (PARTITION BY a.label, a.vec_id ORDER BY (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy), b.vec_id) place, b.vec_id other FROM points a JOIN points b ON a.label = b.label AND a.vec_id <> b.vec_id) "
-add("knn_pairs", lambda s, d: graph.nearest(fx.points(s, d), 3), _KNN + "SELECT label, vec_id, CAST(place AS INT) place, other, CAST(d2 AS BIGINT) d2 FROM k WHERE place <= 3")
+add("knn_pairs", lambda s, d: graph.nearest(fx.points(s, d), 3).withColumn("d2", F.col("d2").cast("long")), _KNN + "SELECT label, vec_id, CAST(place AS INT) place, other, CAST(d2 AS BIGINT) d2 FROM k WHERE place <= 3")
 
 
 def _trim_sql(source: str, by: str, rounds: int = 8) -> str:
@@ -134,3 +134,9 @@ def _trim_sql(source: str, by: str, rounds: int = 8) -> str:
 _stat = lambda t, by: graph.trimmed_stats(t, by).select(*by, "n", *(_r(c, 5) for c in ("mean", "std", "min_max_ratio", "disorder")))
 add("knn_distance_stats", lambda s, d: _stat(graph.nearest(fx.points(s, d), 7).where(F.col("place").isin(3, 5, 7)).select("label", "place", F.sqrt("d2").alias("v")), ["label", "place"]), _KNN + _trim_sql("SELECT label, CAST(place AS INT) place, sqrt(d2) v FROM k WHERE place IN (3, 5, 7)", "label, place"))
 add("trimmed_pop_stats", lambda s, d: _stat(fx.table(s, d, "orders").select(F.col("o_orderpriority").alias("grp"), F.col("o_totalprice").cast("double").alias("v")), ["grp"]), "WITH z AS (SELECT 1)" + _trim_sql("SELECT o_orderpriority grp, CAST(o_totalprice AS DOUBLE) v FROM orders", "grp"))
+_DENSE = fx.with_("points") + """, u AS (SELECT label, cx, cy, min(vec_id) vec_id FROM points GROUP BY 1, 2, 3),
+d AS (SELECT a.label, a.vec_id, b.vec_id other, (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) d2 FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id),
+r AS (SELECT range i, (range + 1) * 10 reach FROM range(5)), k AS (SELECT label, d2, row_number() OVER (PARTITION BY label, vec_id ORDER BY d2, other) place FROM d),
+c AS (SELECT u.label, 'neighbors_in_distance_' || i AS name, CAST(count(d.other) AS DOUBLE) v FROM u CROSS JOIN r LEFT JOIN d ON d.label = u.label AND d.vec_id = u.vec_id AND d2 <= reach * reach GROUP BY u.label, u.vec_id, i
+  UNION ALL SELECT label, 'distance_for_neighbors_' || (place - 3) // 2, sqrt(d2) FROM k WHERE place IN (3, 5, 7)) """
+add("cell_density", lambda s, d: _stat(graph.density_values(fx.points(s, d)), ["label", "name"]), _DENSE + _trim_sql("SELECT label, name, v FROM c", "label, name"))

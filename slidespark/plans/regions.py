@@ -69,7 +69,9 @@ def _codes(s, d):
     e = e.withColumn("k", F.row_number().over(Window.partitionBy("slide_id").orderBy("overlay_order", F.desc(area), "element_id")))
     pairs = spatial.product_codes(s.range(0, 256).select(F.col("id").cast("int").alias("k")), 1, 256)
     ranked = pairs.withColumn("k", F.row_number().over(Window.orderBy("a", "b")))  # 17,437 rows at most
-    return e.join(F.broadcast(ranked), "k").select("slide_id", "element_id", "gt_code", "a", "b")
+    coded = e.join(F.broadcast(ranked), "k", "left")
+    known = lambda c: F.when(F.col("a").isNull(), F.raise_error(F.lit("a slide has more elements than there are codes"))).otherwise(F.col(c)).alias(c)
+    return coded.select("slide_id", "element_id", "gt_code", known("a"), known("b"))
 
 
 add(

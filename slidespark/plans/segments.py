@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from slidespark.operators import annotations, annotations_json, labels, learning, pixelstats, spatial, tiles
+from slidespark.operators import annotations, annotations_json, features, graph, labels, learning, pixelstats, spatial, tiles
 from slidespark.plans.base import Plans
 from slidespark.sources import fixtures as fx
 from slidespark.sources import tables
@@ -33,19 +33,40 @@ add("vote_centres", lambda s, d: _round(tiles.vote_centres(fx.patches(s, d), "ve
 add("boundary_trace", lambda s, d: tiles.boundaries(fx.blocks(s, d)))
 add("object_shapes", lambda s, d: _round(tiles.shapes(fx.blocks(s, d))))
 add("superpixels", lambda s, d: tiles.numbered(tiles.superpixels(fx.pixels(s, d))))
-add("cell_graph", lambda s, d: _round(tiles.cell_graph(fx.points(s, d)), 4))
+add("cell_graph", lambda s, d: _round(tiles.cell_graph(fx.points(s, d)).join(graph.wide(graph.density(fx.points(s, d)), graph.DENSITY), "label"), 4))
 
 
-def _nuclei_features(s, d):
-    """Boxes, moments, shapes and intensity of all objects of a label image, in one table."""
-    objects = fx.blocks(s, d)
-    gray = fx.pixels(s, d).select("slide_id", "y", "x", "r").join(objects, ["slide_id", "y", "x"])
-    key = F.struct("slide_id", "label")
-    stats = pixelstats.intensity_features(gray.select(key.alias("k"), F.col("r").alias("i")), "k").select("k.*", F.col("mean").alias("intensity_mean"), F.col("std").alias("intensity_std"), F.col("median").alias("intensity_median"), F.col("entropy").alias("intensity_entropy"))
-    return labels.moments(objects).join(_round(tiles.shapes(objects)), ["slide_id", "label"]).join(stats, ["slide_id", "label"])
+_nuclear = lambda s, d: fx.pixels(s, d).select("slide_id", "y", "x", F.col("r").alias("i"))
+_stroma = lambda s, d: fx.pixels(s, d).select("slide_id", "y", "x", F.col("g").alias("i"))
+add("nuclei_features", lambda s, d: _round(features.nuclei(_nuclear(s, d), fx.blocks(s, d), 48, 48, _stroma(s, d), 4, 8)))
 
 
-add("nuclei_features", _nuclei_features)
+def _band(prefix: str, channel: str, parts: str) -> str:
+    """Tables of intensity, gradient and texture of the objects in ``parts`` over one channel."""
+    p, by = prefix, "slide_id, label"
+    twelve = ", ".join(f'round({e}::DOUBLE, 6) {p}intensity_{n}' for n, e in (("mean", "mu"), ("median", "med"), ("mean_median_diff", "mu - med"), ("std", "sd"), ("iqr", "iqr"), ("mad", "mad"), ("skewness", "skew"), ("kurtosis", "kurt"), ("energy", "energy"), ("entropy", "entropy")))
+    six = ", ".join(f'round({e}, 6) {p}gradient_{n}' for n, e in (("mean", "mu"), ("std", "sd"), ("skewness", "skew"), ("kurtosis", "kurt"), ("entropy", "entropy"), ("energy", "energy")))
+    stats = lambda v, t: f"""(SELECT *, s.skew, e.energy, e.entropy FROM (SELECT {by}, min(v) lo, max(v) hi, avg(v) mu, median(v) med, stddev_pop(v) sd, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) iqr, kurtosis_pop(v) kurt FROM (SELECT {by}, {v} v FROM {t}) GROUP BY 1, 2) a
+  JOIN (SELECT x.slide_id, x.label, avg(pow({v} - mu, 3)) / nullif(pow(any_value(sd), 3), 0) skew, median(abs({v} - med)) mad FROM {t} x JOIN (SELECT {by}, avg({v}) mu, median({v}) med, stddev_pop({v}) sd FROM {t} GROUP BY 1, 2) y ON x.slide_id = y.slide_id AND x.label = y.label GROUP BY 1, 2) s USING ({by})
+  JOIN (SELECT {by}, sum(q * q) energy, sum(-q * ln(q)) entropy FROM (SELECT {by}, bin, count(*) / sum(count(*)) OVER (PARTITION BY {by}) q FROM (SELECT x.slide_id, x.label, coalesce(least(floor(({v} - lo) / nullif(hi - lo, 0) * 10), 9), 5) bin FROM {t} x JOIN (SELECT {by}, min({v}) lo, max({v}) hi FROM {t} GROUP BY 1, 2) y ON x.slide_id = y.slide_id AND x.label = y.label) GROUP BY 1, 2, 3) GROUP BY 1, 2) e USING ({by}))"""
+    return f""", {p}g AS (SELECT slide_id, y, x, {channel} i, coalesce((lead({channel}) OVER v - lag({channel}) OVER v) / 2.0::DOUBLE, lead({channel}) OVER v - {channel}, {channel} - lag({channel}) OVER v, 0.0::DOUBLE) gy,
+  coalesce((lead({channel}) OVER h - lag({channel}) OVER h) / 2.0::DOUBLE, lead({channel}) OVER h - {channel}, {channel} - lag({channel}) OVER h, 0.0::DOUBLE) gx FROM pixels WINDOW v AS (PARTITION BY slide_id, x ORDER BY y), h AS (PARTITION BY slide_id, y ORDER BY x)),
+{p}px AS (SELECT {by}, y, x, i, sqrt(gx * gx + gy * gy) mag FROM {p}g JOIN {parts} USING (slide_id, y, x)),
+{p}in AS (SELECT {by}, lo {p}intensity_min, hi {p}intensity_max, {twelve} FROM {stats("i", p + "px")}),
+{p}gr AS (SELECT {by}, {six} FROM {stats("mag", p + "px")})"""
+
+
+_RING = """, o AS (SELECT slide_id, y, x, label FROM blocks), g48 AS (SELECT a.v y, b.v x FROM (SELECT CAST(range AS INT) v FROM range(48)) a CROSS JOIN (SELECT CAST(range AS INT) v FROM range(48)) b),
+near AS (SELECT o.slide_id, g48.y, g48.x, (o.y - g48.y) * (o.y - g48.y) + (o.x - g48.x) * (o.x - g48.x) d2, label FROM o JOIN g48 ON abs(o.y - g48.y) <= 4 AND abs(o.x - g48.x) <= 4),
+rim AS (SELECT slide_id, y, x, label FROM near WHERE d2 <= 16 AND (slide_id, y, x) NOT IN (SELECT slide_id, y, x FROM o) QUALIFY row_number() OVER (PARTITION BY slide_id, y, x ORDER BY d2, label) = 1)"""
+_PARTS = [f"{side}_{kind}_{n}" for side in ("nucleus", "cytoplasm") for kind, ns in (("intensity", ("min", "max", "mean", "median", "mean_median_diff", "std", "iqr", "mad", "skewness", "kurtosis", "energy", "entropy")), ("gradient", ("mean", "std", "skewness", "kurtosis", "entropy", "energy"))) for n in ns]
+add(
+    "nuclei_feature_bands",
+    lambda s, d: _round(features.nuclei(_nuclear(s, d), fx.blocks(s, d), 48, 48, _stroma(s, d), 4, 8, shapes=False, canny=False)).select("slide_id", "label", "area", "orientation", "major_axis", *_PARTS),
+    fx.with_("pixels", "blocks") + _RING + _band("nucleus_", "r", "o") + _band("cytoplasm_", "g", "rim") + f""", m AS (SELECT slide_id, label, count(*) area, var_pop(x) + 1 / 12.0::DOUBLE a, var_pop(y) + 1 / 12.0::DOUBLE c, covar_pop(x, y) b FROM blocks GROUP BY 1, 2)
+SELECT slide_id, label, area, round(CASE WHEN abs(c - a) < 1e-9 THEN CASE WHEN b > 1e-9 THEN -pi() / 4 ELSE pi() / 4 END ELSE atan2(2 * b, c - a) / 2 END, 5) orientation, round(4 * sqrt((a + c + sqrt(pow(a - c, 2) + 4 * b * b)) / 2), 5) major_axis, {", ".join(c if c.endswith(("_min", "_max")) else f"round({c}, 5) {c}" for c in _PARTS)}
+FROM m LEFT JOIN nucleus_in USING (slide_id, label) LEFT JOIN nucleus_gr USING (slide_id, label) LEFT JOIN cytoplasm_in USING (slide_id, label) LEFT JOIN cytoplasm_gr USING (slide_id, label)""",
+)
 
 
 def _features(s, d):

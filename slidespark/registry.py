@@ -130,7 +130,7 @@ _add(
     fx.with_("pixels") + "SELECT slide_id, CAST(floor(y / 16) AS INT) ty, CAST(floor(x / 16) AS INT) tx, round(avg(CASE WHEN r + g + b < 384 THEN 1.0::DOUBLE ELSE 0 END), 6) fraction FROM pixels GROUP BY 1, 2, 3 HAVING round(avg(CASE WHEN r + g + b < 384 THEN 1.0::DOUBLE ELSE 0 END), 6) >= 0.25",
 )
 _COND = "SELECT slide_id, y, x, CAST(dense_rank() OVER (PARTITION BY slide_id ORDER BY label) AS INT) label FROM "
-_add("label_condense", lambda s, d: labels.condense(fx.blocks(s, d).where("label % 3 <> 0")), fx.with_("blocks") + _COND + "blocks WHERE label % 3 <> 0")
+_add("label_condense", lambda s, d: labels.condense(fx.blocks(s, d).withColumn("label", F.col("label") * F.col("label"))), fx.with_("blocks") + _COND + "(SELECT slide_id, y, x, label * label AS label FROM blocks)")
 _add("label_delete", lambda s, d: labels.delete(fx.blocks(s, d), s.createDataFrame([(2,), (5,), (30,)], "label int")), fx.with_("blocks") + "SELECT * FROM blocks WHERE label NOT IN (2, 5, 30)")
 _add("label_delete_border", lambda s, d: labels.delete_border(fx.blocks(s, d), 48, 48), fx.with_("blocks") + ", e AS (SELECT DISTINCT slide_id, label FROM blocks WHERE y IN (0, 47) OR x IN (0, 47)) " + _COND + "(SELECT * FROM blocks WHERE (slide_id, label) NOT IN (SELECT slide_id, label FROM e))")
 _add("label_area_open", lambda s, d: labels.area_open(fx.blocks(s, d), 43), fx.with_("blocks") + _COND + "(SELECT *, count(*) OVER (PARTITION BY slide_id, label) n FROM blocks) WHERE n >= 43")

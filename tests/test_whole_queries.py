@@ -1,4 +1,4 @@
-"""Queries over all rows where the query with SQL takes a part, against plain definitions."""
+"""Queries over masks, galleries and rings against plain definitions."""
 
 from pathlib import Path
 
@@ -16,7 +16,7 @@ def test_every_polygon_has_a_mask(spark):
     for e in fx.elements(spark, SF).collect():
         w, h = e.xmax - e.xmin, e.ymax - e.ymin
         want[e.element_id] = sum(sum(x * h < w * h - y * w for x in range(w)) for y in range(h))
-    got = {r.element_id: r.n for r in registry.queries()["polygon_mask_all"](spark, SF).collect()}
+    got = {r.element_id: r.n for r in registry.queries()["polygon_mask"](spark, SF).collect()}
     assert got == want
 
 
@@ -36,7 +36,7 @@ def test_every_tile_has_a_place(spark):
                     want.add((slide, tile, g // 10, (r - g) // 2, c, x, y, x + w, y + h))
                     x += w
                 y += max(h for _, _, h in strip)
-    got = registry.queries()["gallery_layout_all"](spark, SF).collect()
+    got = registry.queries()["gallery_layout"](spark, SF).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
@@ -51,5 +51,5 @@ def test_every_object_has_a_ring(spark):
                 near = [(dy * dy + dx * dx, at[y + dy, x + dx]) for dy in range(-4, 5) for dx in range(-4, 5) if dy * dy + dx * dx <= 16 and (y + dy, x + dx) in at]
                 if near and (y, x) not in at:
                     want.add((slide, y, x, min(near)[1]))
-    got = registry.queries()["ring_labels_all"](spark, SF).collect()
+    got = registry.queries()["ring_labels"](spark, SF).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
