@@ -327,14 +327,15 @@ def fourier_shape(boundary: np.ndarray, samples: int = 128, bins: int = 6) -> li
     return [float(power[a - 1 : b].sum()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def diffused(dy: np.ndarray, dx: np.ndarray, mask: np.ndarray, mu: float = 5.0, iterations: int = 10, dt: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """A gradient field spread by explicit steps that keep it where it is strong."""
-    v, u = dy.astype(float), dx.astype(float)
-    strong = dy**2 + dx**2
+def diffused(dy: np.ndarray, dx: np.ndarray, mask: np.ndarray, mu: float = 5.0, lam: float = 5.0, iterations: int = 10, dt: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """A gradient field as an elastic body: it spreads (``mu``), evens out where it converges (``lam + mu``), and is held to the gradient in the mask."""
+    start = np.stack([dy, dx]).astype(float)
+    field = start.copy()
     for _ in range(iterations):
-        v = v + dt * (mu * laplace(v) - strong * (v - dy))
-        u = u + dt * (mu * laplace(u) - strong * (u - dx))
-    return np.where(mask, v, 0), np.where(mask, u, 0)
+        spread = np.stack([laplace(part) for part in field])
+        squeeze = np.stack(np.gradient(np.gradient(field[0], axis=0) + np.gradient(field[1], axis=1)))
+        field = field + dt * (mu * spread + (lam + mu) * squeeze + mask * (start - field))
+    return field[0], field[1]
 
 
 def flow_sinks(dy: np.ndarray, dx: np.ndarray, mask: np.ndarray, radius: float = 5.0, steps: int = 64) -> tuple[np.ndarray, np.ndarray]:

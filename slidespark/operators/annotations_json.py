@@ -101,5 +101,5 @@ def merge_access(current: DataFrame, change: DataFrame, replace: bool = False) -
 
 def restyle(elements_: DataFrame, styles: DataFrame) -> DataFrame:
     """Elements with the group, label and colour that ``styles`` (grp, new_grp, new_color) gives their group."""
-    t = elements_.join(F.broadcast(styles), "grp", "left")  # one row for each group
+    t = elements_.join(styles, "grp", "left")
     return t.select(*(c for c in elements_.columns if c not in ("grp", "color")), F.coalesce("new_grp", "grp").alias("grp"), F.coalesce("new_color", "color").alias("color"))

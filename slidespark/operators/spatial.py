@@ -80,7 +80,7 @@ def paint(e: DataFrame, codes: DataFrame, step: int) -> DataFrame:
     Elements are drawn by overlay order, larger boxes first, then by id. A grid cell keeps one maximum, whatever overlaps there.
     """
     area = (F.col("ymax") - F.col("ymin")) * (F.col("xmax") - F.col("xmin"))
-    t = e.join(F.broadcast(codes), "grp")  # one row for each group
+    t = e.join(codes, "grp")
     grid = lambda a, b: F.explode(F.sequence(F.ceil(F.col(a) / step), F.floor(F.col(b) / step)))
     t = t.where((F.ceil(F.col("xmin") / step) <= F.floor(F.col("xmax") / step)) & (F.ceil(F.col("ymin") / step) <= F.floor(F.col("ymax") / step)))
     t = t.withColumn("y", grid("ymin", "ymax")).withColumn("x", grid("xmin", "xmax"))
@@ -102,6 +102,19 @@ def spans(edges: DataFrame, by: str) -> DataFrame:
     return runs.where("x0 <= x1")
 
 
+def joined_runs(runs: DataFrame, by: str) -> DataFrame:
+    """The union of runs (by, y, x0, x1): those that meet or overlap in a row become one."""
+    w = Window.partitionBy(by, "y").orderBy("x0", "x1")
+    reach = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    t = runs.select(by, "y", "x0", "x1", F.coalesce((F.col("x0") > reach + 1).cast("int"), F.lit(1)).alias("new"))
+    return t.withColumn("k", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(by, "y", "k").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("k")
+
+
+def box_runs(e: DataFrame, by: str) -> DataFrame:
+    """Boxes, their rims included, as runs."""
+    return e.select(by, F.explode(F.sequence("ymin", "ymax")).alias("y"), F.col("xmin").alias("x0"), F.col("xmax").alias("x1"))
+
+
 def ring_edges(polygons: DataFrame, by: str, points: str = "points") -> DataFrame:
     """(by, x1, y1, x2, y2): the sides of closed rings given as arrays of (x, y)."""
     after = F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
@@ -175,6 +188,13 @@ def product_codes(numbers: DataFrame, low: int, high: int) -> DataFrame:
     return pairs.groupBy((F.col("a") * F.col("b")).alias("product")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b", "product")
 
 
+def object_codes(e: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Adds the k-th pair (a, b) of product codes to the k-th element; more elements than pairs are an error."""
+    ranked = pairs.withColumn("k", F.row_number().over(Window.orderBy("a", "b")))  # 17,437 rows at most
+    known = lambda c: F.when(F.col(f"__{c}").isNull(), F.raise_error(F.lit("a slide has more elements than there are codes"))).otherwise(F.col(f"__{c}")).alias(c)
+    return e.join(ranked.select("k", F.col("a").alias("__a"), F.col("b").alias("__b")), "k", "left").select(*e.columns, known("a"), known("b"))
+
+
 def file_bounds(path: Column) -> list[Column]:
     """left, top, right, bottom and id in a file name like ``slide_id-X_left-1_top-2_bottom-3_right-4.png``."""
     of = lambda k: F.regexp_extract(path, rf"{k}-(-?\d+)", 1).cast("int").alias(k)

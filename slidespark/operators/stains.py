@@ -97,6 +97,15 @@ def sampled(pixels: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     return pixels.where(F.pmod(F.xxhash64("slide_id", "y", "x", F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000))
 
 
+def reinhard(px: DataFrame, means, deviations) -> DataFrame:
+    """Pixels whose colours have the given means and deviations in LAB, slide by slide; a channel without spread becomes its mean."""
+    names = ("l", "alpha", "beta")
+    t = px.select("slide_id", "y", "x", *(c.alias(n) for c, n in zip(colour.lab(*(F.col(c) for c in "rgb")), names, strict=True)))
+    of = t.groupBy("slide_id").agg(*(f(c).alias(f"{c}_{n}") for c in names for n, f in (("mu", F.avg), ("sd", F.stddev_pop))))
+    moved = [F.coalesce((F.col(c) - F.col(f"{c}_mu")) / F.nullif(F.col(f"{c}_sd"), F.lit(0.0)), F.lit(0.0)) * float(sd) + float(mu) for c, mu, sd in zip(names, means, deviations, strict=True)]
+    return t.join(of, "slide_id").select("slide_id", "y", "x", *(F.least(F.greatest(c, F.lit(0.0)), F.lit(255.0)).alias(n) for c, n in zip(colour.lab_to_rgb(*moved), "rgb", strict=True)))
+
+
 def tissue_threshold(gray: DataFrame, bandwidth: float = 2.0) -> tuple[float, float]:
     """(low, high) of the grey values of tissue, from a histogram with 256 bins.
 

@@ -7,6 +7,7 @@ results do not hang on the layout, and what a tile finds belongs to it if the ce
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slidespark.functions import colour, raster, triangulation
+from slidespark.operators import stains
 
 
 def with_halo(px: DataFrame, size: int, halo: int) -> DataFrame:
@@ -46,31 +48,79 @@ def owned(y: np.ndarray, x: np.ndarray, ty: int, tx: int, size: int) -> np.ndarr
 NUCLEI = "slide_id int, y double, x double, area long, ymin int, ymax int, xmin int, xmax int, mean_stain double, coords_x string, coords_y string"
 
 
-def detect_nuclei(px: DataFrame, size: int = 32, halo: int = 8, threshold: float = 60.0, min_radius: float = 2.0, max_radius: float = 4.0, least_area: int = 4, radius: int = 3, w: np.ndarray | None = None) -> DataFrame:
-    """Nuclei of RGB pixels: nuclear stain, foreground below the threshold, opened and filled, blobs by differences of Gaussians, parts by local peaks, outlines."""
-    w = colour.stain_matrix() if w is None else w
-    q = np.linalg.inv(w)
+@dataclass(frozen=True)
+class Nuclei:
+    """How nuclei are found; ``smooth`` is the radius of the disk that closes and opens the foreground."""
+
+    threshold: float = 60.0
+    min_radius: float = 2.0
+    max_radius: float = 4.0
+    least_area: int = 4
+    radius: int = 3
+    smooth: float = 0.0
+    invert: bool = False
+
+
+def _parts(t: pd.DataFrame, p: Nuclei, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Numbered nuclei of a tile with its halo, the nuclear stain, and the first y and x."""
+    rgb, there, y0, x0 = raster_of(t, ["r", "g", "b"], 255.0)
+    rgb = np.where(there[:, :, None], 255.0 - rgb, 255.0) if p.invert else rgb
+    od = np.maximum(-np.log(np.maximum(rgb, 1e-10) / 255.0) * 255 / np.log(255.0), 0)
+    stain = 255.0 ** (1 - (od @ q.T)[:, :, 0] / 255)
+    fore = (stain < p.threshold) & there
+    if p.smooth:
+        fore = raster.opened(raster.closed(fore, p.smooth), p.smooth) & there
+    fore = raster.fill_holes(fore)
+    response, _ = raster.difference_scales(-stain, fore, p.min_radius / 2**0.5, p.max_radius / 2**0.5)
+    found, _ = raster.local_peaks(-response, fore, p.radius)
+    return raster.label(found > 0, 8, found), stain, y0, x0
+
+
+def _nuclei(px: DataFrame, p: Nuclei, size: int, halo: int, w: np.ndarray | None, reference: tuple | None, border: bool, give, schema: str) -> DataFrame:
+    """``give(slide, part, stain, y, x)`` of every nucleus whose centre lies in the core of its tile."""
+    q = np.linalg.inv(colour.stain_matrix() if w is None else w)
+    px = stains.reinhard(px, *reference) if reference else px
+    if border:  # nuclei at the rim of the slide go
+        px = px.join(px.groupBy("slide_id").agg(F.min("y").alias("__y0"), F.max("y").alias("__y1"), F.min("x").alias("__x0"), F.max("x").alias("__x1")), "slide_id")
 
     def f(t: pd.DataFrame, ty: int, tx: int) -> pd.DataFrame:
-        rgb, there, y0, x0 = raster_of(t, ["r", "g", "b"], 255.0)
-        od = np.maximum(-np.log(np.maximum(rgb, 1e-10) / 255.0) * 255 / np.log(255.0), 0)
-        stain = 255.0 ** (1 - (od @ q.T)[:, :, 0] / 255)
-        fore = raster.fill_holes((stain < threshold) & there)
-        response, _ = raster.difference_scales(-stain, fore, min_radius / 2**0.5, max_radius / 2**0.5)
-        parts, _ = raster.local_peaks(-response, fore, radius)
-        parts = raster.label(parts > 0, 8, parts)
+        parts, stain, y0, x0 = _parts(t, p, q)
         rows = []
         for k in range(1, int(parts.max(initial=0)) + 1):
             m = parts == k
             y, x = np.nonzero(m)
-            cy, cx = y.mean() + y0, x.mean() + x0
-            if len(y) < least_area or not owned(np.array(cy), np.array(cx), ty, tx, size):
+            if len(y) < p.least_area or not owned(np.array(y.mean() + y0), np.array(x.mean() + x0), ty, tx, size):
+                continue
+            if border and (y.min() + y0 == t.__y0.iloc[0] or y.max() + y0 == t.__y1.iloc[0] or x.min() + x0 == t.__x0.iloc[0] or x.max() + x0 == t.__x1.iloc[0]):
                 continue
-            ring = raster.outline(m, 8)
-            rows.append((int(t.slide_id.iloc[0]), cy, cx, len(y), int(y.min() + y0), int(y.max() + y0), int(x.min() + x0), int(x.max() + x0), float(stain[m].mean()), ",".join(str(b + x0) for _, b in ring), ",".join(str(a + y0) for a, _ in ring)))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in NUCLEI.split(", ")])
+            rows += give(int(t.slide_id.iloc[0]), m, stain, y0, x0, y, x)
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return per_tile(px, f, schema, size, halo)
+
+
+def detect_nuclei(px: DataFrame, size: int = 32, halo: int = 8, p: Nuclei = Nuclei(), w: np.ndarray | None = None, reference: tuple | None = None, drop_border: bool = False) -> DataFrame:
+    """Nuclei of RGB pixels with their outlines: nuclear stain, foreground below the threshold, closed, opened and filled, blobs by differences of Gaussians, parts by local peaks.
+
+    ``reference`` (means and deviations in LAB) normalises each slide first. A nucleus is found by the tile that holds its
+    centre, so none is found twice where tiles meet; the halo has to be as wide as a nucleus.
+    """
+
+    def give(slide, m, stain, y0, x0, y, x):
+        ring = raster.outline(m, 8)
+        return [(slide, y.mean() + y0, x.mean() + x0, len(y), int(y.min() + y0), int(y.max() + y0), int(x.min() + x0), int(x.max() + x0), float(stain[m].mean()), ",".join(str(b + x0) for _, b in ring), ",".join(str(a + y0) for a, _ in ring))]
+
+    return _nuclei(px, p, size, halo, w, reference, drop_border, give, NUCLEI)
+
+
+def nuclei_pixels(px: DataFrame, size: int = 32, halo: int = 8, p: Nuclei = Nuclei(), w: np.ndarray | None = None, reference: tuple | None = None, drop_border: bool = False) -> DataFrame:
+    """(slide_id, y, x, label) of the same nuclei; a label is a nucleus's first pixel, ``y * 2 ** 31 + x``."""
 
-    return per_tile(px, f, NUCLEI, size, halo)
+    def give(slide, m, stain, y0, x0, y, x):
+        label = (int(y[0]) + y0) * 2**31 + int(x[0]) + x0
+        return [(slide, a + y0, b + x0, label) for a, b in zip(y.tolist(), x.tolist(), strict=True)]
+
+    return _nuclei(px, p, size, halo, w, reference, drop_border, give, "slide_id int, y int, x int, label long")
 
 
 def blobs(px: DataFrame, by: str, value: str = "i", kind: str = "difference", low: float = 1, high: float = 3) -> DataFrame:
@@ -158,7 +208,38 @@ def boundaries(labels: DataFrame, conn: int = 8) -> DataFrame:
         ring = raster.outline(there, conn)
         return pd.DataFrame({"slide_id": [t.slide_id.iloc[0]], "label": [t.label.iloc[0]], "n": [len(ring)], "coords_x": [",".join(str(b + x0) for _, b in ring)], "coords_y": [",".join(str(a + y0) for a, _ in ring)]})
 
-    return labels.groupBy("slide_id", "label").applyInPandas(f, "slide_id int, label int, n long, coords_x string, coords_y string")
+    return labels.groupBy("slide_id", "label").applyInPandas(f, f"slide_id int, label {dict(labels.dtypes)['label']}, n long, coords_x string, coords_y string")
+
+
+def mask_contours(labels: DataFrame, height: int, width: int, conn: int = 8) -> DataFrame:
+    """Outline of every object with its box, whether it has holes, and which edges of the frame it touches."""
+    kind = dict(labels.dtypes)["label"]
+    sides = ("top", "left", "bottom", "right")
+
+    def f(t: pd.DataFrame) -> pd.DataFrame:
+        _, m, y0, x0 = raster_of(t, ["label"], 0.0)
+        ring = raster.outline(m, conn)
+        h, w = m.shape
+        touch = (y0 == 0, x0 == 0, y0 + h == height, x0 + w == width)
+        return pd.DataFrame([[t.slide_id.iloc[0], t.label.iloc[0], y0, y0 + h - 1, x0, x0 + w - 1, int(raster.fill_holes(m).sum() > m.sum()), *map(int, touch), ",".join(str(b + x0) for _, b in ring), ",".join(str(a + y0) for a, _ in ring)]], columns=["slide_id", "label", "ymin", "ymax", "xmin", "xmax", "has_holes", *(f"touches_edge_{e}" for e in sides), "coords_x", "coords_y"])
+
+    return labels.groupBy("slide_id", "label").applyInPandas(f, f"slide_id int, label {kind}, ymin int, ymax int, xmin int, xmax int, has_holes int, {', '.join(f'touches_edge_{e} int' for e in sides)}, coords_x string, coords_y string")
+
+
+def run_outlines(runs: DataFrame, by: str, conn: int = 8) -> DataFrame:
+    """(by, area, n, coords_x, coords_y): outlines of masks given as runs (by, y, x0, x1); of several pieces the largest, the first of those alike."""
+
+    def f(t: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = int(t.y.min()), int(t.x0.min())
+        m = np.zeros((int(t.y.max()) - y0 + 1, int(t.x1.max()) - x0 + 1), bool)
+        for y, a, b in zip(t.y, t.x0, t.x1, strict=True):
+            m[y - y0, a - x0 : b - x0 + 1] = True
+        parts = raster.label(m, conn)
+        one = parts == 1 + int(np.argmax(np.bincount(parts.ravel())[1:]))
+        ring = raster.outline(one, conn)
+        return pd.DataFrame([[t[by].iloc[0], int(m.sum()), len(ring), ",".join(str(q + x0) for _, q in ring), ",".join(str(p + y0) for p, _ in ring)]], columns=[by, "area", "n", "coords_x", "coords_y"])
+
+    return runs.groupBy(by).applyInPandas(f, f"{by} {dict(runs.dtypes)[by]}, area long, n long, coords_x string, coords_y string")
 
 
 SHAPES = ("perimeter", "circularity", "hull_area", "solidity", "fractal", *(f"hu{k}" for k in range(1, 8)), *(f"fsd{k}" for k in range(1, 7)))
@@ -177,7 +258,7 @@ def shapes(labels: DataFrame) -> DataFrame:
         values = [around, 4 * np.pi * len(y) / (around**2 if around else 1.0), wide, len(y) / wide if wide else 0.0, raster.fractal(m), *raster.hu(m), *raster.fourier_shape(np.array([(b, a) for a, b in ring]).reshape(-1, 2))]
         return pd.DataFrame([[t.slide_id.iloc[0], t.label.iloc[0], *map(float, values)]], columns=["slide_id", "label", *SHAPES])
 
-    return labels.groupBy("slide_id", "label").applyInPandas(f, "slide_id int, label int, " + ", ".join(f"{n} double" for n in SHAPES))
+    return labels.groupBy("slide_id", "label").applyInPandas(f, f"slide_id int, label {dict(labels.dtypes)['label']}, " + ", ".join(f"{n} double" for n in SHAPES))
 
 
 def superpixels(px: DataFrame, size: int = 8, tile: int = 48) -> DataFrame:

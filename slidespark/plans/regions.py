@@ -23,7 +23,7 @@ _place = lambda s: f"{shared_dir(s).rstrip('/')}/slidespark-{uuid.uuid4().hex}"
 
 def _rois(s, d):
     """The first element of every slide's region group."""
-    e = fx.elements(s, d).join(F.broadcast(fx.gt_codes(s).where("is_roi = 1").select("grp")), "grp", "left_semi")
+    e = fx.elements(s, d).join(fx.gt_codes(s).where("is_roi = 1").select("grp"), "grp", "left_semi")
     return e.groupBy("slide_id").agg(F.min_by(F.struct("element_id", "xmin", "ymin", "xmax", "ymax"), "element_id").alias("r")).select("slide_id", *(F.col(f"r.{c}").alias(f"roi_{c}") for c in ("element_id", "xmin", "ymin", "xmax", "ymax")))
 
 
@@ -33,7 +33,7 @@ _HIT = "e.xmin <= x1 + 1 AND x0 <= e.xmax + 1 AND e.ymin <= y1 + 1 AND y0 <= e.y
 
 def _inside(s, d):
     """Elements whose boxes, one pixel wider, meet the region's; the region itself is left out."""
-    e = fx.elements(s, d).join(F.broadcast(_rois(s, d)), "slide_id")  # one row for each slide of the fixture
+    e = fx.elements(s, d).join(_rois(s, d), "slide_id")
     hit = (F.col("xmin") <= F.col("roi_xmax") + 1) & (F.col("roi_xmin") <= F.col("xmax") + 1) & (F.col("ymin") <= F.col("roi_ymax") + 1) & (F.col("roi_ymin") <= F.col("ymax") + 1)
     return e.where(hit & (F.col("element_id") != F.col("roi_element_id")))
 
@@ -62,16 +62,40 @@ SELECT slide_id, coalesce(gt_code, 2) code, count(*) n FROM b LEFT JOIN t USING
 )
 
 
+def _ring_mask(s, d):
+    """Codes at every pixel of each region under rings: triangles filled row by row, cut to the region, drawn over one another."""
+    roi = _rois(s, d)
+    e = _inside(s, d).where("grp <> '1-URGENT'").join(fx.gt_codes(s), "grp")
+    ring = F.array(*(F.struct(F.col(a).alias("x"), F.col(b).alias("y")) for a, b in (("xmin", "ymin"), ("xmax", "ymin"), ("xmin", "ymax"))))
+    e = e.select("slide_id", "element_id", "gt_code", "overlay_order", ((F.col("ymax") - F.col("ymin")) * (F.col("xmax") - F.col("xmin"))).alias("a"), ring.alias("points"))
+    runs = spatial.spans(spatial.ring_edges(e, "element_id"), "element_id").join(e.drop("points"), "element_id").join(roi.select("slide_id", "roi_xmin", "roi_xmax", "roi_ymin", "roi_ymax"), "slide_id")
+    runs = runs.where("y between roi_ymin and roi_ymax").withColumns({"x0": F.greatest("x0", "roi_xmin"), "x1": F.least("x1", "roi_xmax")}).where("x0 <= x1")
+    px = runs.withColumn("x", F.explode(F.sequence("x0", "x1"))).groupBy("slide_id", "y", "x").agg(F.max_by("gt_code", F.struct("overlay_order", (-F.col("a")).alias("a"), "element_id")).alias("code"))
+    drawn = px.groupBy("slide_id", "code").agg(F.count("*").alias("n"))
+    sizes = roi.groupBy("slide_id").agg(F.first((F.col("roi_xmax") - F.col("roi_xmin") + 1) * (F.col("roi_ymax") - F.col("roi_ymin") + 1)).cast("long").alias("whole"))
+    rest = sizes.join(drawn.groupBy("slide_id").agg(F.sum("n").alias("n")), "slide_id", "left").select("slide_id", F.lit(2).alias("code"), (F.col("whole") - F.coalesce("n", F.lit(0))).alias("n"))
+    return drawn.union(rest).groupBy("slide_id", "code").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+_BOUND = "xmax + (y - ymin) * (xmin - xmax)::DOUBLE / (ymax - ymin)"
+add(
+    "roi_ring_codes",
+    _ring_mask,
+    _ROI + f""", t AS (SELECT e.slide_id, element_id, gt_code, overlay_order, (ymax - ymin) * (xmax - xmin) a, y, greatest(xmin, x0) xa, least(CAST(ceil({_BOUND}) AS INT) - 1, x1) xb FROM (SELECT *, unnest(range(ymin, ymax)) y FROM elements) e JOIN roi USING (slide_id) JOIN gt_codes USING (grp) WHERE {_HIT} AND grp <> '1-URGENT' AND y BETWEEN y0 AND y1),
+p AS (SELECT slide_id, y, unnest(range(xa, xb + 1)) x, gt_code, overlay_order, a, element_id FROM t WHERE xa <= xb),
+q AS (SELECT slide_id, y, x, gt_code FROM p QUALIFY row_number() OVER (PARTITION BY slide_id, y, x ORDER BY overlay_order DESC, a, element_id DESC) = 1),
+n AS (SELECT slide_id, gt_code code, count(*) n FROM q GROUP BY 1, 2), w AS (SELECT slide_id, any_value((x1 - x0 + 1) * (y1 - y0 + 1)) whole FROM roi GROUP BY 1)
+SELECT slide_id, code, CAST(sum(n) AS BIGINT) n FROM (SELECT * FROM n UNION ALL SELECT slide_id, 2, whole - coalesce((SELECT sum(n) FROM n WHERE n.slide_id = w.slide_id), 0) FROM w) GROUP BY 1, 2 HAVING sum(n) > 0""",
+)
+
+
 def _codes(s, d):
     """Two codes with a product of their own for every element of a slide, in drawing order."""
-    e = fx.elements(s, d).join(F.broadcast(fx.gt_codes(s)), "grp")
+    e = fx.elements(s, d).join(fx.gt_codes(s), "grp")
     area = (F.col("ymax") - F.col("ymin")) * (F.col("xmax") - F.col("xmin"))
     e = e.withColumn("k", F.row_number().over(Window.partitionBy("slide_id").orderBy("overlay_order", F.desc(area), "element_id")))
     pairs = spatial.product_codes(s.range(0, 256).select(F.col("id").cast("int").alias("k")), 1, 256)
-    ranked = pairs.withColumn("k", F.row_number().over(Window.orderBy("a", "b")))  # 17,437 rows at most
-    coded = e.join(F.broadcast(ranked), "k", "left")
-    known = lambda c: F.when(F.col("a").isNull(), F.raise_error(F.lit("a slide has more elements than there are codes"))).otherwise(F.col(c)).alias(c)
-    return coded.select("slide_id", "element_id", "gt_code", known("a"), known("b"))
+    return spatial.object_codes(e, pairs).select("slide_id", "element_id", "gt_code", "a", "b")
 
 
 add(

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from slidespark.operators import annotations, annotations_json, features, graph, labels, learning, pixelstats, spatial, tiles
+from slidespark.operators import annotations, annotations_json, features, graph, labels, learning, pixelstats, spatial, tiles, tissue
 from slidespark.plans.base import Plans
 from slidespark.sources import fixtures as fx
 from slidespark.sources import tables
@@ -22,6 +22,7 @@ def _round(t, n: int = 5):
 
 
 add("nuclei_detect", lambda s, d: tiles.detect_nuclei(fx.pixels(s, d)))
+add("nuclei_normalized", lambda s, d: _round(tiles.detect_nuclei(fx.pixels(s, d), p=tiles.Nuclei(150.0, smooth=1.0), reference=((8.63234435, -0.11501964, 0.03868433), (0.57506023, 0.10403329, 0.01364062)), drop_border=True), 4))
 add("nuclei_without_overlaps", lambda s, d: annotations.remove_overlaps(tiles.detect_nuclei(fx.pixels(s, d)).withColumn("element_id", F.xxhash64("slide_id", "y", "x"))))
 for kind in ("difference", "laplacian", "oriented"):
     add(f"blobs_{kind}", lambda s, d, kind=kind: _round(tiles.blobs(fx.patches(s, d), "vec_id", kind=kind)))
@@ -31,6 +32,7 @@ for method in ("region", "edge", "flow", "rim"):
 add("canny_features", lambda s, d: _round(tiles.edges(fx.patches(s, d), "vec_id")))
 add("vote_centres", lambda s, d: _round(tiles.vote_centres(fx.patches(s, d), "vec_id")))
 add("boundary_trace", lambda s, d: tiles.boundaries(fx.blocks(s, d)))
+add("mask_contours", lambda s, d: tiles.mask_contours(fx.blocks(s, d), 48, 48))
 add("object_shapes", lambda s, d: _round(tiles.shapes(fx.blocks(s, d))))
 add("superpixels", lambda s, d: tiles.numbered(tiles.superpixels(fx.pixels(s, d))))
 add("cell_graph", lambda s, d: _round(tiles.cell_graph(fx.points(s, d)).join(graph.wide(graph.density(fx.points(s, d)), graph.DENSITY), "label"), 4))
@@ -92,17 +94,10 @@ add(
 )
 
 
-def _tissue(s, d):
-    """Tissue: dark pixels by Otsu, components, small ones dropped, the largest."""
-    g = fx.pixels(s, d).select("slide_id", "y", "x", (255 - F.round(0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b"))).cast("int").alias("i"))
-    t = pixelstats.otsu(g.where("i > 0"), "slide_id")
-    parts = labels.connected(g.join(t, "slide_id").where("i > threshold").select("slide_id", "y", "x"))
-    sizes = parts.groupBy("slide_id", "component").agg(F.count("*").alias("area")).where("area >= 10")
-    best = sizes.groupBy("slide_id").agg(F.max(F.struct("area", (-F.col("component")).alias("c"))).alias("b"))
-    return best.select("slide_id", F.col("b.area").alias("area"), (-F.col("b.c")).alias("component"))
-
-
-add("tissue_mask", _tissue)
+_size = lambda t: t.groupBy("slide_id", F.col("label").alias("component")).agg(F.count("*").alias("area"))
+add("tissue_mask", lambda s, d: _size(tissue.largest(tissue.pieces(fx.pixels(s, d), least=10))))
+add("tissue_pieces_smoothed", lambda s, d: _size(tissue.pieces(fx.pixels(s, d), steps=2, sigma=1.0, least=10)))
+add("tissue_pieces_by_stain", lambda s, d: _size(tissue.pieces(fx.pixels(s, d), deconvolve_first=True, least=10)))
 
 
 def _near_polygons(s, d):

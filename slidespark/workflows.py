@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidespark.operators import labels, learning, pixelstats, tiles
+from slidespark.operators import labels, learning, tiles, tissue
 
 log = logging.getLogger(__name__)
 
@@ -51,9 +51,6 @@ def cellularity(pixels: DataFrame, components: int = 5, size: int = 8, seed: int
     return learning.cellularity(learning.mixture(mean, ["r", "g", "b"], components, seed), "intensity")
 
 
-def tissue_pieces(pixels: DataFrame, least: int = 10, n: int = 10) -> DataFrame:
-    """(slide_id, component, area, place): the largest dark pieces of every slide by Otsu's threshold."""
-    gray = pixels.select("slide_id", "y", "x", (255 - F.round(0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b"))).cast("int").alias("i"))
-    level = pixelstats.otsu(gray.where("i > 0"), "slide_id")
-    parts = labels.connected(gray.join(level, "slide_id").where("i > threshold").select("slide_id", "y", "x"))
-    return labels.largest(parts.withColumnRenamed("component", "label"), n).where(F.col("area") >= least)
+def tissue_pieces(pixels: DataFrame, least: int = 10, n: int = 10, **options) -> DataFrame:
+    """(slide_id, label, area, box, place): the largest pieces of tissue of every slide."""
+    return labels.largest(tissue.pieces(pixels, least=least, **options), n)

@@ -2,8 +2,10 @@ import sqlite3
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from slidespark import cli, workflows
-from slidespark.operators import learning
+from slidespark.operators import learning, stains, tiles
 from slidespark.sources import tables
 
 
@@ -31,10 +33,28 @@ def test_nuclei_do_not_hang_on_tiles(spark, pixels, tmp_path):
     assert found[0] == found[1] and len(found[0]) >= 3
 
 
+def test_nuclei_at_the_rim_and_normalised(spark, pixels):
+    px = spark.read.parquet(pixels).where("slide_id = 1")
+    whole = px.where("y >= 8 and y <= 32").withColumn("y", F.col("y") - 8)  # cuts two nuclei in half
+    p = tiles.Nuclei(150.0, smooth=1.0)
+    every, inner = (tiles.detect_nuclei(whole, 40, 0, p, drop_border=b).collect() for b in (False, True))
+    assert len(inner) < len(every) and all(0 < n.ymin and n.ymax < 24 for n in inner)
+    t = stains.reinhard(px, (8.6, -0.1, 0.04), (0.5, 0.1, 0.01)).collect()
+    assert len(t) == 1600 and all(0 <= v <= 255 for r in t for v in (r.r, r.g, r.b))
+    flat = stains.reinhard(px.withColumns({"r": F.lit(9), "g": F.lit(9), "b": F.lit(9)}), (8.6, -0.1, 0.04), (0.5, 0.1, 0.01))
+    assert flat.select("r", "g", "b").distinct().count() == 1
+
+
+def test_cytoplasm_features_of_the_command(spark, pixels, tmp_path):
+    cli.main(["nuclei-features", "--pixels", pixels, "--out", f"{tmp_path}/f.parquet", "--tile", "40", "--threshold", "150", "--cytoplasm", "--cytoplasm-width", "3", "--glcm-levels", "8", "--remove-overlaps", "--reference-mu", "8.6", "-0.1", "0.04", "--reference-std", "0.5", "0.1", "0.01"], spark)
+    t = spark.read.parquet(f"{tmp_path}/f.parquet")
+    assert t.where("cytoplasm_intensity_mean is not null").count() >= 2 and {"hu1", "fsd1", "orientation", "nucleus_gradient_canny_sum"} <= set(t.columns)
+
+
 def test_classification(spark, pixels, tmp_path):
     cli.main(["nuclei-features", "--pixels", pixels, "--out", f"{tmp_path}/f.parquet", "--tile", "40", "--threshold", "150"], spark)
     t = spark.read.parquet(f"{tmp_path}/f.parquet")
-    names = ["area", "width", "height", "extent", "mean_stain"]
+    names = ["area", "extent", "nucleus_intensity_mean", "nucleus_haralick_entropy_mean"]
     learning.forest(names, "slide", 3).fit(t.selectExpr("*", "cast(slide_id % 2 as double) slide")).save(f"{tmp_path}/model")
     cli.main(["nuclei-classification", "--pixels", pixels, "--features", f"{tmp_path}/f.parquet", "--model", f"{tmp_path}/model", "--out", f"{tmp_path}/c.parquet"], spark)
     out = spark.read.parquet(f"{tmp_path}/c.parquet")
