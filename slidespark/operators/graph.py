@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slidespark.sources.storage import materialize
+from slidespark.sources.storage import materialize, release
 
 
 def within(points: DataFrame, radius: float) -> DataFrame:
@@ -53,7 +53,9 @@ def nearest(points: DataFrame, k: int, cell: int = 64) -> DataFrame:
         found = materialize(found.where(F.col("place") <= k))
         sure = found.groupBy("label", "vec_id").agg((F.count("other") == k).alias("full"), F.max("d2").alias("far"), F.first("edge").alias("edge")).where(F.lit(last) | (F.col("full") & (F.col("far") < F.col("edge"))))
         done.append(found.where("other is not null").join(sure.select("vec_id", "label"), ["label", "vec_id"], "left_semi").select("label", "vec_id", "place", "other", "d2"))
-        asking = materialize(asking.join(sure, ["label", "vec_id"], "left_anti"))
+        asking, old = materialize(asking.join(sure, ["label", "vec_id"], "left_anti")), asking
+        if old is not points:
+            release(old)
         if last or asking.isEmpty():
             break
         cell *= 2
@@ -72,12 +74,16 @@ def trimmed_stats(t: DataFrame, by: Sequence[str], value: str = "v", rounds: int
     """
     by = list(by)
     bounds = t.select(*by).distinct().withColumns({"lo": F.lit(float("-inf")), "hi": F.lit(float("inf")), "n": F.lit(-1).cast("long")})
+    held = None
     for _ in range(rounds):
         inside = t.join(bounds.select(*by, "lo", "hi"), by).where((F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi")))
         stats = inside.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"))
         merged = stats.join(bounds.select(*by, "lo", "hi", F.col("n").alias("before")), by)
         slack = 3 * F.col("std") * (1 + 1e-12) + 1e-12
         merged = materialize(merged.withColumns({"lo": F.greatest("lo", F.col("mean") - slack), "hi": F.least("hi", F.col("mean") + slack)}))
+        if held is not None:
+            release(held)
+        held = merged
         if merged.where("n <> before").isEmpty():
             break
         bounds = merged.select(*by, "lo", "hi", "n")

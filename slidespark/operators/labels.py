@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slidespark.operators.components import components
-from slidespark.sources.storage import materialize
+from slidespark.sources.storage import materialize, release
 
 
 def condense(labels: DataFrame) -> DataFrame:
@@ -164,7 +164,8 @@ def compact(labels: DataFrame, compaction: int = 3) -> DataFrame:
     for k in range(compaction - 1, 0, -1):
         around = _shifted(depth.select("slide_id", "y", "x", F.col("depth").alias("label")), four).groupBy("slide_id", "y", "x").agg(F.max("near").alias("near"))
         sink = (F.col("depth") == k) & (F.greatest("depth", F.coalesce("near", F.lit(0))) < k + 1)
-        depth = materialize(depth.join(around, ["slide_id", "y", "x"], "left").select("slide_id", "y", "x", (F.col("depth") - sink.cast("int")).alias("depth")))
+        depth, old = materialize(depth.join(around, ["slide_id", "y", "x"], "left").select("slide_id", "y", "x", (F.col("depth") - sink.cast("int")).alias("depth"))), depth
+        release(old)
     return labels.join(depth.where("depth > 0").select("slide_id", "y", "x"), ["slide_id", "y", "x"], "left_semi")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from slidespark.functions import colour
 from slidespark.operators import labels, pixelstats, stencil
-from slidespark.sources.storage import materialize
+from slidespark.sources.storage import materialize, release
 
 BINS = 256
 
@@ -54,7 +54,8 @@ def pieces(px: DataFrame, deconvolve_first: bool = False, steps: int = 1, sigma:
     """
     t = darkness(px, deconvolve_first, w)
     for _ in range(steps):
-        t = materialize(cut(smoothed(t, sigma) if sigma > 0 else t))
+        t, old = materialize(cut(smoothed(t, sigma) if sigma > 0 else t)), t
+        release(old)
     parts = labels.connected(t.where("v > 0").select("slide_id", "y", "x")).withColumnRenamed("component", "label")
     big = parts.groupBy("slide_id", "label").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
     return parts.join(big, ["slide_id", "label"], "left_semi").select("slide_id", "y", "x", "label")

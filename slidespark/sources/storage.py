@@ -31,6 +31,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back, so that lost executors never cost a recomputation."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/slidespark-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/slidespark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = spark.sparkContext.__dict__.setdefault("_slidespark_tables", set())
+    held.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._slidespark_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    spark.sparkContext.__dict__.setdefault("_slidespark_tables", set()).discard(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` gave and that no plan still reads."""
+    for t in tables:
+        if path := getattr(t, "_slidespark_path", None):
+            _delete(t.sparkSession, path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Deletes all tables that are left, at the end of a program."""
+    for path in list(getattr(spark.sparkContext, "_slidespark_tables", ())):
+        _delete(spark, path)
