@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slidespark.operators.components import components
-from slidespark.sources.storage import materialize
+from slidespark.sources.storage import materialize, release
 
 from . import textops as T
 
@@ -223,8 +223,8 @@ def _verify(threshold: float):
     return f
 
 
-def _candidates(members: DataFrame, small: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Pairs to align, and the members (key, v) of large buckets, from (v, n, key)."""
+def _candidates(members: DataFrame, small: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs to align, the members (key, v) of large buckets, and the table that both read, from (v, n, key)."""
     sized = members.groupBy("key").agg(F.count("*").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("m > 1")
     crowd = materialize(members.join(sized, "key"))
     few, many = crowd.where(F.col("m") <= small), crowd.where(F.col("m") > small)
@@ -232,7 +232,7 @@ def _candidates(members: DataFrame, small: int, threshold: float) -> tuple[DataF
     right = few.select("key", F.col("v").alias("b"), F.col("n").alias("nb"))
     pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b")
     spokes = [many.where(F.col("v") != F.col(h)).select(F.least("v", h).alias("a"), F.greatest("v", h).alias("b")) for h in ("lo", "hi")]
-    return pairs.union(spokes[0]).union(spokes[1]), many.select("key", "v")
+    return pairs.union(spokes[0]).union(spokes[1]), many.select("key", "v"), crowd
 
 
 def _short_pairs(vertices: DataFrame, threshold: float) -> DataFrame:
@@ -255,8 +255,8 @@ def _fit(threshold: float):
     return (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & ((F.col("na") + F.col("nb") - apart) / 2 >= need)
 
 
-def _rest_pairs(held: DataFrame, threshold: float) -> DataFrame:
-    """Candidates (a, b) of all links of (v, root, n, bits, text) between different roots, by the rarest shingles of each.
+def _rest_pairs(held: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Candidates (a, b), and the table that they read, of all links of (v, root, n, bits, text) between different roots, by the rarest shingles of each.
 
     A link has ``threshold * n`` shingles in common or more, so with all shingles in one order two linked
     texts share one among the first ``n - threshold * n + 1`` of each; after the first that they share, enough must follow.
@@ -266,6 +266,7 @@ def _rest_pairs(held: DataFrame, threshold: float) -> DataFrame:
     order = Window.partitionBy("v").orderBy("often", "x")
     first = x.join(often, "x").withColumn("at", F.row_number().over(order)).where((F.col("often") > 1) & (F.col("at") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1))
     first = materialize(first.select("v", "x", "at").join(held.select("v", "root", "n", "bits"), "v"))
+    release(x)
     kinds = first.groupBy("x", "root").agg(F.count("*").alias("m"))
     shared = kinds.groupBy("x").agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("most")).where("m > most.m")
     blocks = lambda m: F.ceil(m / BLOCK).cast("int")
@@ -278,7 +279,7 @@ def _rest_pairs(held: DataFrame, threshold: float) -> DataFrame:
     both = minor.join(side(dealt.withColumn("j", own("cols")).withColumn("i", every("rows")), "b"), ["x", "i", "j"])
     enough = 1 + F.least("ta", "tb") >= threshold * (F.col("na") + F.col("nb")) / (1 + threshold) - 1e-9
     found = both.where((F.col("ra") != F.col("rb")) & (F.col("mb") | (F.col("a") < F.col("b"))) & enough & _fit(threshold))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), first
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, small: int = SMALL, bands: int = BANDS, mins: int = MINS) -> tuple[DataFrame, DataFrame]:
@@ -286,25 +287,35 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.md5(F.col(text_col)).alias("digest"))
     rows = materialize(texts.mapInArrow(_sketch(mins, bands, threshold), _SKETCHED.format(dict(texts.dtypes)["id"])))
     vertices = materialize(rows.where("n > 0").groupBy("v").agg(F.min(F.struct("digest", "id")).alias("lead"), *(F.first(c).alias(c) for c in ("n", "keys", "cuts", "bits"))))
-    pairs, large = _candidates(vertices.select("v", "n", F.explode("keys").alias("key")), small, threshold)
+    pairs, large, crowd = _candidates(vertices.select("v", "n", F.explode("keys").alias("key")), small, threshold)
     pairs = materialize(pairs.union(_short_pairs(vertices, threshold)).distinct())
     end = lambda c: vertices.select(F.col("v").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}"))
-    pairs = materialize(pairs.join(end("a"), "a").join(end("b"), "b").where(_fit(threshold)).select("a", "b"))
+    pairs, old = materialize(pairs.join(end("a"), "a").join(end("b"), "b").where(_fit(threshold)).select("a", "b")), pairs
+    release(old)
     wanted = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
-    roots = components(_links(pairs, _texts(texts, vertices.join(wanted, "v")), threshold))
+    edges = _links(pairs, _texts(texts, vertices.join(wanted, "v")), threshold)
+    roots = components(edges)
+    release(edges, pairs)
 
     classes = large.join(roots, "v", "left").select("key", "v", F.coalesce("root", "v").alias("root"))
     open_ = classes.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("key")
     again = materialize(classes.join(open_, "key").select("v", "root").distinct())
+    release(crowd)
     if not again.isEmpty():
         rest = vertices.join(again, "v")
         held = materialize(_texts(texts, rest).join(rest.select("v", "root", "n", "bits"), "v"))
-        new = _links(materialize(_rest_pairs(held, threshold).distinct()), held, threshold)
+        pairs, first = _rest_pairs(held, threshold)
+        pairs = materialize(pairs.distinct())
+        release(first)
+        new = _links(pairs, held, threshold)
+        release(pairs, held)
         ends = [again.select(F.col("v").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
         up = components(new.join(ends[0], "a").join(ends[1], "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         to = up.select(F.col("v").alias("root"), F.col("root").alias("top"))
         alone = up.join(roots, "v", "left_anti").select("v", "root")
-        roots = materialize(roots.join(to, "root", "left").select("v", F.coalesce("top", "root").alias("root")).union(alone))
+        roots, old = materialize(roots.join(to, "root", "left").select("v", F.coalesce("top", "root").alias("root")).union(alone)), roots
+        release(old, new, up)
+    release(again)
     return rows.select("id", "v", "n"), roots
 
 

@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidespark.sources.storage import materialize
+from slidespark.sources.storage import materialize, release
 
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -74,7 +74,8 @@ def _spread(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float, by:
         flow = steps.join(mass, F.col("a") == F.col("host")).groupBy(F.col("b").alias("to")).agg(F.sum(F.col("w") * F.col("mass")).alias("flow"))
         old = hosts.join(mass, "host").join(flow, F.col("host") == F.col("to"), "left")
         kept = F.when(F.col("out").isNull(), F.col("mass")).otherwise(0.0)
-        mass = materialize(old.select("host", ((1 - damping) * F.col("seed") + damping * (kept + F.coalesce("flow", F.lit(0.0)))).alias("mass")))
+        last, mass = mass, materialize(old.select("host", ((1 - damping) * F.col("seed") + damping * (kept + F.coalesce("flow", F.lit(0.0)))).alias("mass")))
+        release(last)
     return mass
 
 
