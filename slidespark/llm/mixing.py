@@ -1,12 +1,12 @@
 """Mixing sources to target weights by systematic sampling. [DataFrame functions only]
 
-Every source has a target of words. Its documents stand in one order (size, then a hash of
-the id), each with the same expected number of copies, target over source size; with the
-running sum of those numbers plus one random offset per source, a document is emitted once
-for each integer boundary that its step crosses. As sizes rise along the order, the words
-taken stay within one document's size of the target; of ``TRIES`` random offsets the source
-keeps the one whose words come nearest to it, which matters where a few long documents hold
-a large share.
+Every source has a target of words. Its documents stand in one order: tiers by size, those of
+more than an eighth of the target first, then of a fortieth, of a two-hundredth, and all others; within a
+tier by size, then by a hash of the id. All documents of a tier have the same expected number of copies:
+the words that the target still lacks when the tier begins, over the words of all documents from there on. With the running
+sum of those numbers plus one random offset per source, a document is emitted once for each integer
+boundary that its step crosses. A long document that chance takes or leaves is made up for by the shorter ones behind it,
+and as sizes rise within a tier, what is missed in the end is at most about the longest document of the last.
 
 Running sums are dealt out: ranks come from counts by (source, size), by (source, size,
 slot) and a row number within a slot, where 4096 slots are a hash of the id, or of the text if it is null; a source or a
@@ -31,7 +31,9 @@ from slidespark.sources.storage import materialize
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
-SEED, TRIES = "mix-1", 16
+SEED = "mix-1"
+#: A document belongs to the first tier of which its size times this is more than its source's target, else to one more.
+TIERS = (8, 40, 200)
 _HEX = 16.0**13
 #: Sources up to which their rows travel with every task (10 MB).
 MANY = 50_000
@@ -60,13 +62,16 @@ def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[int] = WE
     return [(s, n, t) for (s, n), t in zip(order, target, strict=True)]
 
 
-def offset(source: str | None, k: int) -> float:
-    """The k-th random offset of a source, in [0, 1)."""
-    return int(hashlib.md5(f"{SEED}/{k}/{chr(0) if source is None else source}".encode()).hexdigest()[:13], 16) / _HEX
+def offset(source: str | None) -> float:
+    """The random offset of a source, in [0, 1)."""
+    return int(hashlib.md5(f"{SEED}/{chr(0) if source is None else source}".encode()).hexdigest()[:13], 16) / _HEX
 
 
-def _copies(rate: Column, rank: Column, start: Column) -> Column:
-    return (F.floor(rate * rank + start) - F.floor(rate * (rank - 1) + start)).cast("long")
+def _copies() -> Column:
+    """Boundaries crossed by the k-th document of a tier, whose running sum begins at ``base``."""
+    k = F.col("rank") - F.col("before")
+    at = lambda k: F.floor(F.col("base") + F.col("rate") * k + F.col("start"))
+    return (at(k) - at(k - 1)).cast("long")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -81,8 +86,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     by_slot = sized.groupBy("source", "size", "slot").agg(F.count("*").alias("n"))
     by_size = by_slot.groupBy("source", "size").agg(F.sum("n").alias("n"))
     table = targets([(r.source, r.words) for r in by_size.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words")).collect()], weights, most)
-    keyed = lambda df: F.broadcast(df) if len(table) <= MANY else df  # noqa: E731  one row for each source
-    rates = keyed(spark.createDataFrame([(s, n, t, t / n if n else 0.0, [offset(s, k) for k in range(TRIES)]) for s, n, t in table], "t_source string, source_size long, target double, rate double, starts array<double>"))
+    keyed = lambda df: F.broadcast(df) if len(table) <= MANY else df  # noqa: E731  one row for each source, or for each and a tier
+    aims = keyed(spark.createDataFrame(table, "t_source string, source_size long, target double"))
+    tier = F.coalesce(*(F.when(F.col("size") * m > F.col("target"), F.lit(i)) for i, m in enumerate(TIERS)), F.lit(len(TIERS)))
+    tiered = lambda df: df.join(aims, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source").withColumn("tier", tier)
+    inside = {(r.source, r.tier): (r.n, r.words) for r in tiered(by_size).groupBy("source", "tier").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("words")).collect()}
     before = lambda *by: F.sum("n").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1))
     low = by_size.withColumn("below", F.coalesce(before("source", "size"), F.lit(0))).select(F.col("source").alias("a_source"), F.col("size").alias("a_size"), "below")
     mid = by_slot.withColumn("within", F.coalesce(before("source", "size", "slot"), F.lit(0))).select(F.col("source").alias("b_source"), F.col("size").alias("b_size"), F.col("slot").alias("b_slot"), "within")
@@ -90,13 +98,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = out.join(mid, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("size") == F.col("b_size")) & (F.col("slot") == F.col("b_slot")))
     out = out.join(low, F.col("source").eqNullSafe(F.col("a_source")) & (F.col("size") == F.col("a_size")))
     out = out.select("id", "source", "size", (F.col("below") + F.col("within") + F.col("place")).cast("long").alias("rank"))
-    out = materialize(out).join(rates, F.col("source").eqNullSafe(F.col("t_source")))
-    tried = out.groupBy("source").agg(*(F.sum(_copies(F.col("rate"), F.col("rank"), F.col("starts")[k]) * F.col("size")).alias(f"w{k}") for k in range(TRIES))).collect()  # one row for each source
-    aims = {s: t for s, _, t in table}
-    best = [(r.source, offset(r.source, min(range(TRIES), key=lambda k: (abs(r[f"w{k}"] - aims[r.source]), k)))) for r in tried]
-    chosen = keyed(spark.createDataFrame(best, "c_source string, start double"))
-    out = out.join(chosen, F.col("source").eqNullSafe(F.col("c_source")))
-    return out.select("id", "source", "size", "source_size", "target", _copies(F.col("rate"), F.col("rank"), F.col("start")).alias("copies"), "rank")
+    out = materialize(tiered(out))
+    plan: list[tuple] = []
+    state = {x: (0.0, 0, n, sum(inside.get((x, i), (0, 0))[0] for i in range(len(TIERS) + 1))) for x, n, _ in table}  # base, taken, words and documents from here on
+    for i in range(len(TIERS) + 1):
+        step = []
+        for x, _, aim in table:
+            base, taken, rest, left = state[x]
+            n, words_ = inside.get((x, i), (0, 0))
+            rate = min(float(most), max(0.0, (aim - taken) / rest)) if rest else 0.0
+            step.append((x, i, rate, base, left - n, offset(x)))
+            state[x] = (base + rate * n, taken, rest - words_, left - n)
+        plan += step
+        if i < len(TIERS):
+            rates = keyed(spark.createDataFrame(step, _PLAN))
+            drawn = out.where(F.col("tier") == i).join(rates, F.col("source").eqNullSafe(F.col("p_source"))).groupBy("source").agg(F.sum(_copies() * F.col("size")).alias("words"))
+            for row in drawn.collect():  # one row for each source
+                base, taken, rest, left = state[row.source]
+                state[row.source] = (base, taken + row.words, rest, left)
+    rates = keyed(spark.createDataFrame(plan, _PLAN))
+    out = out.join(rates, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("tier") == F.col("p_tier")))
+    return out.select("id", "source", "size", "source_size", "target", _copies().alias("copies"), "rank")
+
+
+_PLAN = "p_source string, p_tier int, rate double, base double, before long, start double"
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -123,6 +148,16 @@ def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 def oracle(weights: Sequence[int] = WEIGHTS, most: int = MOST, rounds: int = 40) -> str:
     """The same in DuckDB; sharing again takes as many rounds as sources stop."""
+    tier = "CASE " + " ".join(f"WHEN d.size * {m} > t.target THEN {i}" for i, m in enumerate(TIERS)) + f" ELSE {len(TIERS)} END"
+    steps = ""
+    for i in range(len(TIERS)):
+        steps += f""",
+c{i} AS (SELECT r.source, sum((floor(base + rate * k + u) - floor(base + rate * (k - 1) + u)) * size) AS words FROM r JOIN p{i} ON r.source IS NOT DISTINCT FROM p{i}.source WHERE tier = {i} GROUP BY r.source),
+p{i + 1} AS (
+  SELECT source, target, rest, base, taken, CASE WHEN rest > 0 THEN least({most}.0, greatest(0.0, (target - taken) / rest)) ELSE 0.0 END AS rate, u
+  FROM (SELECT p.source, p.target, p.rest - coalesce(g.w, 0) AS rest, p.base + p.rate * coalesce(g.n, 0) AS base, p.taken + coalesce(c.words, 0) AS taken, p.u
+        FROM p{i} p LEFT JOIN g ON g.source IS NOT DISTINCT FROM p.source AND g.tier = {i} LEFT JOIN c{i} c ON c.source IS NOT DISTINCT FROM p.source))"""
+    every = " UNION ALL ".join(f"SELECT source, {i} AS tier, base, rate, u FROM p{i}" for i in range(len(TIERS) + 1))
     w = "CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(weights)) + " END"
     return rf"""
 WITH RECURSIVE d AS (
@@ -143,17 +178,13 @@ t AS (
          / nullif(sum(CASE WHEN full_ THEN 0 ELSE w END) OVER (), 0) END AS target
   FROM fill WHERE i = {rounds}),
 r AS (
-  SELECT d.doc_id, d.source, d.size, t.n AS source_size, t.target, CASE WHEN t.n > 0 THEN t.target / t.n ELSE 0.0 END AS rate,
-         row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.digest, d.doc_id) AS k
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-u AS (
-  SELECT source, range AS try, CAST(CAST('0x' || substr(md5('{SEED}/' || range || '/' || coalesce(source, chr(0))), 1, 13) AS BIGINT) AS DOUBLE) / {_HEX!r} AS u
-  FROM s CROSS JOIN range({TRIES})),
-c AS (
-  SELECT u.source, try, any_value(u) AS u
-  FROM r JOIN u ON r.source IS NOT DISTINCT FROM u.source
-  GROUP BY u.source, try
-  QUALIFY row_number() OVER (PARTITION BY u.source ORDER BY abs(sum((floor(rate * k + u) - floor(rate * (k - 1) + u)) * size) - any_value(target)), try) = 1)
-SELECT doc_id, size, source_size, target,
-       CAST((floor(rate * k + u) - floor(rate * (k - 1) + u)) * size AS BIGINT) AS taken
-FROM r JOIN c ON r.source IS NOT DISTINCT FROM c.source"""
+  SELECT *, row_number() OVER (PARTITION BY source, tier ORDER BY size, digest, doc_id) AS k
+  FROM (SELECT d.doc_id, d.source, d.size, d.digest, t.n AS source_size, t.target, {tier} AS tier FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)),
+g AS (SELECT source, tier, count(*) AS n, sum(size) AS w FROM r GROUP BY source, tier),
+p0 AS (
+  SELECT source, target, n AS rest, 0.0::DOUBLE AS base, 0 AS taken, CASE WHEN n > 0 THEN least({most}.0, greatest(0.0, target / n)) ELSE 0.0 END AS rate,
+         CAST(CAST('0x' || substr(md5('{SEED}/' || coalesce(source, chr(0))), 1, 13) AS BIGINT) AS DOUBLE) / {_HEX!r} AS u
+  FROM t){steps}
+SELECT r.doc_id, r.size, r.source_size, r.target,
+       CAST((floor(p.base + p.rate * k + u) - floor(p.base + p.rate * (k - 1) + u)) * r.size AS BIGINT) AS taken
+FROM r JOIN ({every}) p ON r.source IS NOT DISTINCT FROM p.source AND r.tier = p.tier"""
