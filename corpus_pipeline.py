@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slidespark.llm import decontam, mixing, order_minhash, suffix_dedup, toxicity
-from slidespark.sources.storage import materialize
+from slidespark.sources.storage import materialize, release, settled
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,5 +68,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs, old = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir)), docs
+        release(old)
     return STAGES[-1][1](spark, docs, sf_dir)

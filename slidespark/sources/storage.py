@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_made = threading.local()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back, so that lost executors never cost a recomputation."""
     spark = df.sparkSession
@@ -36,6 +41,8 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     held = spark.sparkContext.__dict__.setdefault("_slidespark_tables", set())
     held.add(path)
+    if (made := getattr(_made, "paths", None)) is not None:
+        made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._slidespark_path = path
     return out
@@ -54,6 +61,21 @@ def release(*tables: DataFrame) -> None:
             _delete(t.sparkSession, path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` gives, written; what this thread materialized on the way is deleted."""
+    outer, _made.paths = getattr(_made, "paths", None), []
+    try:
+        out = materialize(make())
+        for path in _made.paths:
+            if path != out._slidespark_path and path in spark.sparkContext._slidespark_tables:
+                _delete(spark, path)
+    finally:
+        _made.paths = outer
+    if outer is not None:
+        outer.append(out._slidespark_path)
+    return out
+
+
 def release_all(spark: SparkSession) -> None:
     """Deletes all tables that are left, at the end of a program."""
     for path in list(getattr(spark.sparkContext, "_slidespark_tables", ())):

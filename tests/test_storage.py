@@ -21,3 +21,18 @@ def test_components_leave_their_result_only(spark):
     assert {r.v: r.root for r in out.collect()} == want
     storage.release_all(spark)
     assert set(os.listdir(at)) == before
+
+
+def test_settled_keeps_the_result_only(spark):
+    at = storage.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(at))
+
+    def make():
+        a = storage.materialize(spark.range(5).toDF("a"))
+        inner = storage.settled(spark, lambda: storage.materialize(spark.range(3).toDF("a")))
+        return storage.materialize(a.union(a)).union(inner)
+
+    out = storage.settled(spark, make)
+    assert len(set(os.listdir(at)) - before) == 1 and out.count() == 13
+    storage.release(out)
+    assert set(os.listdir(at)) == before
