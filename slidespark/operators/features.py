@@ -45,6 +45,9 @@ def nuclei(px: DataFrame, objects: DataFrame, height: int, width: int, around: D
     out = labels.moments(objects)
     if shapes:
         out = out.join(tiles.shapes(objects), KEY)
+    if shapes:
+        weighed = labels.invariants(objects.join(px, ["slide_id", "y", "x"]), "i")
+        out = out.join(weighed.select(*KEY, *(F.col(f"hu{k}").alias(f"weighted_hu{k}") for k in range(1, 8))), KEY, "left")
     for prefix, image, parts in sides:
         steep = stencil.gradient(image, ("slide_id",)).select("slide_id", "y", "x", "i", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).alias("mag"))
         out = out.join(of_pixels(steep.join(parts, ["slide_id", "y", "x"]), levels, prefix), KEY, "left")

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slidespark.functions import chance
 from slidespark.operators.components import components
 from slidespark.sources.storage import materialize, release
 
@@ -130,7 +131,7 @@ def shuffle(labels: DataFrame, seed: int = 0) -> DataFrame:
     """Permutes the labels of each slide; the same seed gives the same permutation."""
     ids = labels.select("slide_id", "label").distinct()
     a = ids.withColumn("k", F.row_number().over(Window.partitionBy("slide_id").orderBy("label")))
-    b = ids.withColumn("k", F.row_number().over(Window.partitionBy("slide_id").orderBy(F.xxhash64("label", F.lit(seed)), "label"))).withColumnRenamed("label", "new")
+    b = ids.withColumn("k", F.row_number().over(Window.partitionBy("slide_id").orderBy(chance.mixed(F.col("label"), F.col("slide_id"), seed=seed), "label"))).withColumnRenamed("label", "new")
     return labels.join(a.join(b, ["slide_id", "k"]), ["slide_id", "label"]).select("slide_id", "y", "x", F.col("new").alias("label"))
 
 
@@ -220,3 +221,24 @@ def moments(labels: DataFrame) -> DataFrame:
         r(F.sqrt(F.greatest(1 - small / big, F.lit(0.0))), "eccentricity"), r(F.sqrt(4 * F.col("area") / F.lit(3.141592653589793)), "equivalent_diameter"), r(F.col("area") / box, "extent"),
         r(F.coalesce(minor / F.nullif(major, F.lit(0.0)), F.lit(1.0)), "axis_ratio"),
     )
+
+
+def invariants(labels: DataFrame, value: str | None = None) -> DataFrame:
+    """(slide_id, label, hu1 .. hu7): Hu's moment invariants of every label, each pixel weighing one or its value.
+
+    Centres come first and central moments second, so that far coordinates cost no digits.
+    """
+    w = F.lit(1.0) if value is None else F.col(value).cast("double")
+    t = labels.select("slide_id", "label", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), w.alias("w"))
+    centre = t.groupBy("slide_id", "label").agg(F.sum("w").alias("m"), (F.sum(F.col("w") * F.col("x")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("cx"), (F.sum(F.col("w") * F.col("y")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("cy"))
+    t = t.join(centre, ["slide_id", "label"]).withColumns({"u": F.col("x") - F.col("cx"), "v": F.col("y") - F.col("cy")})
+    power = lambda c, k: [F.lit(1.0), F.col(c), F.col(c) * F.col(c), F.col(c) * F.col(c) * F.col(c)][k]
+    orders = ((2, 0), (0, 2), (1, 1), (3, 0), (0, 3), (2, 1), (1, 2))
+    t = t.groupBy("slide_id", "label").agg(F.first("m").alias("m"), *(F.sum(F.col("w") * power("u", p) * power("v", q)).alias(f"s{p}{q}") for p, q in orders))
+    n = {f"{p}{q}": F.coalesce(F.col(f"s{p}{q}") / F.pow("m", F.lit(1 + (p + q) / 2)), F.lit(0.0)) for p, q in orders}
+    a, b, c, d, g = n["30"] + n["12"], n["21"] + n["03"], n["30"] - 3 * n["12"], 3 * n["21"] - n["03"], n["20"] - n["02"]
+    made = [
+        n["20"] + n["02"], g * g + 4 * n["11"] * n["11"], c * c + d * d, a * a + b * b,
+        c * a * (a * a - 3 * b * b) + d * b * (3 * a * a - b * b), g * (a * a - b * b) + 4 * n["11"] * a * b, d * a * (a * a - 3 * b * b) - c * b * (3 * a * a - b * b),
+    ]
+    return t.select("slide_id", "label", *(x.alias(f"hu{k}") for k, x in enumerate(made, 1)))

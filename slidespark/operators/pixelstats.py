@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,14 +69,24 @@ OFFSETS = ((0, 1), (1, 0), (1, 1), (1, -1))
 
 
 def glcm(px: DataFrame, by: str, levels: int = 8, offsets=OFFSETS, key: str | None = None) -> DataFrame:
-    """(by, offset, i, j, n): grey-level pairs; each offset is one equi-join on the shifted coordinates."""
+    """(by, offset, i, j, n): grey-level pairs.
+
+    Along rows, columns and diagonals the neighbour is the next pixel of the line, if it is adjacent; other offsets join on shifted coordinates.
+    """
     key = key or by
-    q = px.select(key, *([by] if by != key else []), "y", "x", F.round(F.col("i") / 255 * (levels - 1)).cast("int").alias("q"))
-    shifts = F.explode(F.array(*(F.struct(F.lit(k).alias("o"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for k, (dy, dx) in enumerate(offsets)))).alias("s")
-    near = q.select(F.col(key).alias("k2"), F.col("q").alias("j"), F.col("y").alias("y2"), F.col("x").alias("x2"))
-    from_ = q.select("*", shifts).select("*", F.col("s.o").alias("offset"), (F.col("y") + F.col("s.dy")).alias("y1"), (F.col("x") + F.col("s.dx")).alias("x1"))
-    pairs = from_.join(near, (F.col(key) == F.col("k2")) & (F.col("y1") == F.col("y2")) & (F.col("x1") == F.col("x2")))
-    return pairs.groupBy(by, "offset", F.col("q").alias("i"), "j").agg(F.count("*").alias("n"))
+    names = [key, *([by] if by != key else [])]
+    q = px.select(*names, "y", "x", F.round(F.col("i") / 255 * (levels - 1)).cast("int").alias("q"))
+    lines = {(0, 1): ("y", "x"), (1, 0): ("x", "y"), (1, 1): (F.col("y") - F.col("x"), "y"), (1, -1): (F.col("y") + F.col("x"), "y")}
+    parts = []
+    for k, (dy, dx) in enumerate(offsets):
+        if line := lines.get((dy, dx)):
+            w = Window.partitionBy(key, line[0]).orderBy(line[1])
+            ahead = q.select(*names, "q", F.lead("q").over(w).alias("j"), (F.lead(line[1]).over(w) == F.col(line[1]) + 1).alias("near")).where("near")
+        else:
+            near = q.select(F.col(key).alias("k2"), F.col("q").alias("j"), (F.col("y") - dy).alias("y2"), (F.col("x") - dx).alias("x2"))
+            ahead = q.join(near, (F.col(key) == F.col("k2")) & (F.col("y") == F.col("y2")) & (F.col("x") == F.col("x2")))
+        parts.append(ahead.groupBy(by, F.lit(k).alias("offset"), F.col("q").alias("i"), "j").agg(F.count("*").alias("n")))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def texture(counts: DataFrame, by: str) -> DataFrame:

@@ -195,6 +195,48 @@ def object_codes(e: DataFrame, pairs: DataFrame) -> DataFrame:
     return e.join(ranked.select("k", F.col("a").alias("__a"), F.col("b").alias("__b")), "k", "left").select(*e.columns, known("a"), known("b"))
 
 
+def mode_bounds(slides: DataFrame, elements: DataFrame, mode: str, region: list[float] | None = None) -> DataFrame:
+    """(slide_id, xmin, ymin, xmax, ymax) of the part of each slide (slide_id, width, height) that a run covers.
+
+    ``wsi`` is the whole slide, ``min_bounding_box`` the box of all its elements, ``manual`` the given (xmin, ymin, xmax, ymax)
+    and ``polygonal`` the box of the elements that are regions; all are cut to the slide, and slides without any are left out.
+    """
+    box = [f(c).alias(c) for f, c in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax"))]
+    if mode == "wsi":
+        t = slides.select("slide_id", F.lit(0).alias("xmin"), F.lit(0).alias("ymin"), F.col("width").alias("xmax"), F.col("height").alias("ymax"))
+    elif mode == "manual":
+        if not region or len(region) != 4 or region[0] >= region[2] or region[1] >= region[3]:
+            raise ValueError("a manual run needs xmin, ymin, xmax and ymax")
+        t = slides.select("slide_id", *(F.lit(int(v)).alias(c) for v, c in zip(region, ("xmin", "ymin", "xmax", "ymax"), strict=True)))
+    elif mode in ("min_bounding_box", "polygonal"):
+        t = (elements if mode == "min_bounding_box" else elements.where("is_roi = 1")).groupBy("slide_id").agg(*box)
+    else:
+        raise ValueError(f"unknown mode {mode}")
+    t = t.join(slides.select("slide_id", "width", "height"), "slide_id")
+    cut = lambda c, side: F.least(F.greatest(F.col(c), F.lit(0)), F.col(side)).cast("int").alias(c)
+    t = t.select("slide_id", cut("xmin", "width"), cut("ymin", "height"), cut("xmax", "width"), cut("ymax", "height"))
+    return t.where("xmin < xmax and ymin < ymax")
+
+
+SUPER_ROI = 255
+
+
+def mask_codes(codes: DataFrame) -> DataFrame:
+    """Group codes with one more row, ``super_roi`` of code 255 that is drawn first; codes that are null, outside 1 to 254 or without a background class are errors."""
+    checked = F.when(F.col("gt_code").isNull() | (F.col("gt_code") <= 0) | (F.col("gt_code") >= SUPER_ROI), F.raise_error(F.concat(F.lit("code out of 1 to 254: "), F.coalesce("grp", F.lit("no group"))))).otherwise(F.col("gt_code"))
+    t = codes.select("grp", F.col("overlay_order").cast("int").alias("overlay_order"), checked.cast("int").alias("gt_code"), "is_roi", "is_background_class")
+    first = t.agg((F.coalesce(F.min("overlay_order"), F.lit(0)) - 1).alias("o"), F.coalesce(F.max("is_background_class"), F.lit(0)).alias("b"))
+    extra = first.select(F.lit("super_roi").alias("grp"), F.col("o").cast("int").alias("overlay_order"), F.when(F.col("b") == 1, F.lit(SUPER_ROI)).otherwise(F.raise_error(F.lit("no background class"))).cast("int").alias("gt_code"), F.lit(1).alias("is_roi"), F.lit(0).alias("is_background_class"))
+    return t.unionByName(extra)
+
+
+def pyramid(px: DataFrame, levels: int) -> DataFrame:
+    """(slide_id, level, y, x, r, g, b): mosaics of half the side for each level, means of the pixels below, level 0 being the image."""
+    t = px.select("slide_id", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"), "y", "x", *"rgb")
+    at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).cast("int").alias(c)
+    return t.groupBy("slide_id", "level", at("y"), at("x")).agg(*(F.avg(c).alias(c) for c in "rgb"))
+
+
 def file_bounds(path: Column) -> list[Column]:
     """left, top, right, bottom and id in a file name like ``slide_id-X_left-1_top-2_bottom-3_right-4.png``."""
     of = lambda k: F.regexp_extract(path, rf"{k}-(-?\d+)", 1).cast("int").alias(k)

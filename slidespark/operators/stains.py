@@ -9,10 +9,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slidespark.functions import colour
+from slidespark.functions import chance, colour
 
 MAGNITUDE, LOW, HIGH = 16.0, 0.01, 0.99
 
@@ -94,7 +94,25 @@ def sparse_factors(od: DataFrame, start: np.ndarray, beta: float = 0.2, rounds:
 
 def sampled(pixels: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     """A share of the pixels that depends on their coordinates alone; reruns agree."""
-    return pixels.where(F.pmod(F.xxhash64("slide_id", "y", "x", F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000))
+    return pixels.where(chance.mixed(F.col("slide_id"), F.col("y"), F.col("x"), seed=seed) < int(fraction * chance.PRIME))
+
+
+def resampled(pixels: DataFrame, inside: Column, fraction: float, tile: int, least: float = 0.1, seed: int = 0) -> DataFrame:
+    """Pixels inside, drawn with replacement at an expected ``fraction``, from tiles of which a share of ``least`` or more is inside; adds ``times``.
+
+    How often a pixel is drawn follows the Poisson law by a number made of its coordinates, so reruns and engines agree.
+    """
+    at = lambda c: F.floor(F.col(c) / tile).cast("int").alias(f"t{c}")
+    t = pixels.select("*", at("y"), at("x"), F.coalesce(inside, F.lit(False)).alias("__in"))
+    full = t.groupBy("slide_id", "ty", "tx").agg(F.avg(F.col("__in").cast("double")).alias("share")).where(F.col("share") >= least).select("slide_id", "ty", "tx")
+    u = chance.mixed(F.col("slide_id"), F.col("y"), F.col("x"), seed=seed) / chance.PRIME
+    below, steps, term = 0.0, [], math.exp(-fraction)
+    while below < 1 - 1e-9 and len(steps) < 64:
+        below += term
+        steps.append(below)
+        term *= fraction / len(steps)
+    times = sum(((u >= b).cast("int") for b in steps), F.lit(0))
+    return t.where("__in").join(full, ["slide_id", "ty", "tx"], "left_semi").select(*pixels.columns, times.alias("times")).where("times > 0")
 
 
 def reinhard(px: DataFrame, means, deviations) -> DataFrame:

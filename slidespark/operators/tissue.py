@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slidespark.functions import colour
-from slidespark.operators import labels, pixelstats, stencil
+from slidespark.operators import labels, pixelstats, spatial, stains, stencil
 from slidespark.sources.storage import materialize, release
 
 BINS = 256
@@ -66,3 +66,10 @@ def largest(parts: DataFrame) -> DataFrame:
     sizes = parts.groupBy("slide_id", "label").agg(F.count("*").alias("area"))
     best = sizes.groupBy("slide_id").agg(F.min_by("label", F.struct(-F.col("area"), F.col("label"))).alias("label"))
     return parts.join(best, ["slide_id", "label"], "left_semi")
+
+
+def overview(px: DataFrame, side: int, most: int = 2048, **options) -> DataFrame:
+    """Tissue of overviews: slides of a greater side than ``most`` are first made smaller by a power of two."""
+    factor = stains.low_resolution(side, most)
+    small = spatial.thumbnail(px, factor) if factor > 1 else px
+    return pieces(small, **options)

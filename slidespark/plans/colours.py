@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from slidespark.functions import colour
+from slidespark.functions import chance, colour
 from slidespark.operators import stains
 from slidespark.plans.base import Plans
 from slidespark.sources import fixtures as fx
@@ -72,7 +72,18 @@ def _tissue(s, d):
 
 
 add("simple_mask", _tissue)
-add("sampled_pixels", lambda s, d: stains.sampled(fx.pixels(s, d), 0.25, 3))
+_STEPS = [sum(math.exp(-0.4) * 0.4**k / math.factorial(k) for k in range(n + 1)) for n in range(64)]
+_STEPS = _STEPS[: next(i for i, b in enumerate(_STEPS) if b >= 1 - 1e-9) + 1]
+_DRAWN = " + ".join(f"CAST(u >= {b!r} AS INT)" for b in _STEPS)
+add(
+    "resampled_foreground",
+    lambda s, d: stains.resampled(fx.pixels(s, d), F.col("r") + F.col("g") + F.col("b") < 384, 0.4, 16, 0.25, 5).select("slide_id", "y", "x", "times"),
+    fx.with_("pixels") + f""", t AS (SELECT *, r + g + b < 384 fore, floor(y / 16) ty, floor(x / 16) tx FROM pixels),
+f AS (SELECT slide_id, ty, tx FROM t GROUP BY 1, 2, 3 HAVING avg(CASE WHEN fore THEN 1.0::DOUBLE ELSE 0 END) >= 0.25),
+n AS (SELECT slide_id, y, x, {_DRAWN} times FROM (SELECT slide_id, y, x, ty, tx, {chance.mixed_sql("slide_id", "y", "x", seed=5)} / {chance.PRIME}.0::DOUBLE u FROM t WHERE fore) JOIN f USING (slide_id, ty, tx))
+SELECT slide_id, y, x, times FROM n WHERE times > 0""",
+)
+add("sampled_pixels", lambda s, d: stains.sampled(fx.pixels(s, d), 0.25, 3), fx.with_("pixels") + f"SELECT * FROM pixels WHERE {chance.mixed_sql('slide_id', 'y', 'x', seed=3)} < {int(0.25 * chance.PRIME)}")
 add("channel_rank", lambda s, d: stains.angle_percentile(fx.pixels(s, d).select("slide_id", F.col("r").alias("v")), "slide_id", "v", 0.99), fx.with_("pixels") + "SELECT slide_id, v FROM (SELECT slide_id, r v, row_number() OVER (PARTITION BY slide_id ORDER BY r) - 1 k, count(*) OVER (PARTITION BY slide_id) n FROM pixels) WHERE k = least(floor(0.99::DOUBLE * n + 0.5), n - 1)")
 _CASC = "CASE WHEN r + g + b > 600 THEN 'white' WHEN b > r + 20 THEN 'blue' WHEN r > g + 60 THEN 'red' ELSE 'rest' END"
 add("threshold_components", lambda s, d: fx.pixels(s, d).select("slide_id", F.expr(_CASC).alias("part")).groupBy("slide_id", "part").agg(F.count("*").alias("n")), fx.with_("pixels") + f"SELECT slide_id, {_CASC} part, count(*) n FROM pixels GROUP BY 1, 2")

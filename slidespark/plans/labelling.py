@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from slidespark.functions import chance
 from slidespark.operators import labels
 from slidespark.plans.base import Plans
 from slidespark.sources import fixtures as fx
@@ -47,8 +48,18 @@ add(
     fx.with_("blocks") + f""", d2 AS (SELECT a.slide_id, a.y, a.x FROM blocks a CROSS JOIN {_FOUR} JOIN blocks b ON b.slide_id = a.slide_id AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL HAVING count(*) = 4)
 SELECT DISTINCT a.slide_id, a.y, a.x, a.label FROM blocks a WHERE (slide_id, y, x) IN (SELECT slide_id, y, x FROM d2 UNION SELECT slide_id, y + dy, x + dx FROM d2 CROSS JOIN {_FOUR})""",
 )
-add("label_colours", lambda s, d: labels.colour(labels.adjacency(fx.blocks(s, d)), fx.blocks(s, d)))
-add("label_shuffle", lambda s, d: labels.shuffle(fx.blocks(s, d), 7))
+add(
+    "label_colours",
+    lambda s, d: labels.colour(labels.adjacency(fx.blocks(s, d)), fx.blocks(s, d)),
+    _WITH + f""", e AS (SELECT DISTINCT a.slide_id, a.label v, b.label u FROM blocks a CROSS JOIN {_FOUR} JOIN blocks b ON b.slide_id = a.slide_id AND b.y = a.y + dy AND b.x = a.x + dx WHERE b.label < a.label),
+k AS (SELECT slide_id, label, row_number() OVER (PARTITION BY slide_id ORDER BY label) k FROM (SELECT DISTINCT slide_id, label FROM blocks)),
+p AS (SELECT k.slide_id, k.label, k.k, coalesce(list(j.k) FILTER (j.k IS NOT NULL), []) before FROM k LEFT JOIN e ON e.slide_id = k.slide_id AND e.v = k.label LEFT JOIN k j ON j.slide_id = e.slide_id AND j.label = e.u GROUP BY 1, 2, 3),
+r(slide_id, k, cs) AS (SELECT DISTINCT slide_id, CAST(0 AS BIGINT), CAST([] AS INT[]) FROM k UNION ALL
+  SELECT r.slide_id, p.k, list_append(r.cs, CAST(list_min(list_filter(range(1, 60), lambda c: NOT list_contains(list_transform(p.before, lambda b: r.cs[b]), CAST(c AS INT)))) AS INT)) FROM r JOIN p ON p.slide_id = r.slide_id AND p.k = r.k + 1),
+f AS (SELECT slide_id, cs FROM r QUALIFY row_number() OVER (PARTITION BY slide_id ORDER BY k DESC) = 1)
+SELECT k.slide_id, k.label, cs[k.k] colour FROM k JOIN f USING (slide_id)""",
+)
+add("label_shuffle", lambda s, d: labels.shuffle(fx.blocks(s, d), 7), fx.with_("blocks") + f", i AS (SELECT DISTINCT slide_id, label FROM blocks), a AS (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY label) k FROM i), b AS (SELECT slide_id, label fresh, row_number() OVER (PARTITION BY slide_id ORDER BY {chance.mixed_sql('label', 'slide_id', seed=7)}, label) k FROM i) SELECT slide_id, y, x, fresh AS label FROM blocks JOIN a USING (slide_id, label) JOIN b USING (slide_id, k)")
 add("embed_boundaries", lambda s, d: labels.embed(fx.pixels(s, d), labels.perimeter(fx.blocks(s, d), SIDE, SIDE), (0, 255, 0)), fx.with_("pixels", "blocks") + f", p AS (SELECT DISTINCT a.slide_id, a.y, a.x FROM blocks a CROSS JOIN {_FOUR} LEFT JOIN blocks b ON b.slide_id = a.slide_id AND b.y = a.y + dy AND b.x = a.x + dx WHERE a.y + dy BETWEEN 0 AND 47 AND a.x + dx BETWEEN 0 AND 47 AND b.label IS DISTINCT FROM a.label) SELECT q.slide_id, q.y, q.x, CASE WHEN p.y IS NULL THEN r ELSE 0 END r, CASE WHEN p.y IS NULL THEN g ELSE 255 END g, CASE WHEN p.y IS NULL THEN b ELSE 0 END b FROM pixels q LEFT JOIN p ON p.slide_id = q.slide_id AND p.y = q.y AND p.x = q.x")
 add(
     "region_moments",
@@ -59,3 +70,22 @@ SELECT slide_id, label, area, ymin, ymax, xmin, xmax, round(cy, 5) cy, round(cx,
   round(area / ((ymax - ymin + 1) * (xmax - xmin + 1)), 5) extent, round(sqrt(l2) / sqrt(l1), 5) axis_ratio FROM e""",
 )
 add("region_counts_capped", lambda s, d: fx.blocks(s, d).groupBy("slide_id").agg(F.countDistinct("label").alias("n")).select("slide_id", "n", F.assert_true(F.col("n") <= 17437).isNull().alias("fits")), fx.with_("blocks") + "SELECT slide_id, count(DISTINCT label) n, true fits FROM blocks GROUP BY 1")
+_W3 = [(p, q) for p, q in ((2, 0), (0, 2), (1, 1), (3, 0), (0, 3), (2, 1), (1, 2))]
+
+
+def _hu_sql(prefix: str, weight: str, source: str) -> str:
+    sums = ", ".join(f"sum({weight} * pow(x - cx, {p}) * pow(y - cy, {q})) / pow(any_value(m), {1 + (p + q) / 2}) n{p}{q}" for p, q in _W3)
+    terms = ["n20 + n02", "g * g + 4 * n11 * n11", "c * c + d * d", "a * a + b * b", "c * a * (a * a - 3 * b * b) + d * b * (3 * a * a - b * b)", "g * (a * a - b * b) + 4 * n11 * a * b", "d * a * (a * a - 3 * b * b) - c * b * (3 * a * a - b * b)"]
+    return f""", {prefix}c AS (SELECT slide_id, label, sum({weight}) m, sum({weight} * x) / nullif(sum({weight}), 0) cx, sum({weight} * y) / nullif(sum({weight}), 0) cy FROM {source} GROUP BY 1, 2),
+{prefix}n AS (SELECT slide_id, label, {sums} FROM {source} JOIN {prefix}c USING (slide_id, label) GROUP BY 1, 2),
+{prefix}h AS (SELECT slide_id, label, {", ".join(f"round(coalesce({t}, 0.0), 6) {prefix}hu{k}" for k, t in enumerate(terms, 1))} FROM (SELECT *, n30 + n12 a, n21 + n03 b, n30 - 3 * n12 c, 3 * n21 - n03 d, n20 - n02 g FROM {prefix}n))"""
+
+
+def _hu(s, d):
+    one = labels.invariants(fx.blocks(s, d))
+    two = labels.invariants(fx.blocks(s, d).join(fx.pixels(s, d), ["slide_id", "y", "x"]), "r")
+    named = lambda t, p: t.select("slide_id", "label", *(F.round(f"hu{k}", 6).alias(f"{p}hu{k}") for k in range(1, 8)))
+    return named(one, "").join(named(two, "weighted_"), ["slide_id", "label"])
+
+
+add("region_invariants", _hu, fx.with_("pixels", "blocks") + ", o AS (SELECT slide_id, label, y::DOUBLE y, x::DOUBLE x, r::DOUBLE r FROM blocks JOIN pixels USING (slide_id, y, x))" + _hu_sql("", "1.0::DOUBLE", "o") + _hu_sql("weighted_", "r", "o") + " SELECT * FROM h JOIN weighted_h USING (slide_id, label)")

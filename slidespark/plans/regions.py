@@ -104,6 +104,29 @@ add(
     fx.with_("elements", "gt_codes") + """, n AS (SELECT CAST(range AS INT) k FROM range(1, 256)), p AS (SELECT a.k a, b.k b FROM n a JOIN n b ON a.k < b.k QUALIFY row_number() OVER (PARTITION BY a.k * b.k ORDER BY a.k, b.k) = 1), q AS (SELECT a, b, row_number() OVER (ORDER BY a, b) k FROM p),
 e AS (SELECT slide_id, element_id, gt_code, row_number() OVER (PARTITION BY slide_id ORDER BY overlay_order, (ymax - ymin) * (xmax - xmin) DESC, element_id) k FROM elements JOIN gt_codes USING (grp)) SELECT slide_id, element_id, gt_code, a, b FROM e JOIN q USING (k)""",
 )
+_frames = lambda s, d: fx.table(s, d, "nation").select(F.col("n_nationkey").cast("int").alias("slide_id"), (3000 + F.col("n_nationkey") * 37).cast("int").alias("width"), (2500 + F.col("n_nationkey") * 53).cast("int").alias("height"))
+_FRAMES = fx.with_("elements", "gt_codes") + ", f AS (SELECT CAST(n_nationkey AS INT) slide_id, CAST(3000 + n_nationkey * 37 AS INT) width, CAST(2500 + n_nationkey * 53 AS INT) height FROM nation), "
+_BOX = "min(xmin) xmin, min(ymin) ymin, max(xmax) xmax, max(ymax) ymax FROM elements"
+for mode, source in (("wsi", "SELECT slide_id, 0 xmin, 0 ymin, width xmax, height ymax FROM f"), ("manual", "SELECT slide_id, 100 xmin, 2400 ymin, 3100 xmax, 2700 ymax FROM f"), ("min_bounding_box", f"SELECT slide_id, {_BOX} GROUP BY 1"), ("polygonal", f"SELECT slide_id, {_BOX} WHERE grp IN (SELECT grp FROM gt_codes WHERE is_roi = 1) GROUP BY 1")):
+    add(
+        f"bounds_{mode}",
+        lambda s, d, mode=mode: spatial.mode_bounds(_frames(s, d), fx.elements(s, d).join(fx.gt_codes(s), "grp"), mode, [100, 2400, 3100, 2700]),
+        _FRAMES + f"b AS ({source}), c AS (SELECT slide_id, CAST(least(greatest(xmin, 0), width) AS INT) xmin, CAST(least(greatest(ymin, 0), height) AS INT) ymin, CAST(least(greatest(xmax, 0), width) AS INT) xmax, CAST(least(greatest(ymax, 0), height) AS INT) ymax FROM b JOIN f USING (slide_id)) SELECT * FROM c WHERE xmin < xmax AND ymin < ymax",
+    )
+add("mask_codes", lambda s, d: spatial.mask_codes(fx.gt_codes(s)), fx.with_("gt_codes") + "SELECT grp, overlay_order, gt_code, is_roi, is_background_class FROM gt_codes UNION ALL SELECT 'super_roi', (SELECT min(overlay_order) - 1 FROM gt_codes), 255, 1, 0")
+add("pyramid", lambda s, d: spatial.pyramid(fx.pixels(s, d), 4).select("slide_id", "level", "y", "x", *(F.round(c, 6).alias(c) for c in "rgb")), fx.with_("pixels") + "SELECT slide_id, CAST(l.range AS INT) AS \"level\", CAST(floor(y / pow(2, l.range)) AS INT) y, CAST(floor(x / pow(2, l.range)) AS INT) x, round(avg(r), 6) r, round(avg(g), 6) g, round(avg(b), 6) b FROM pixels CROSS JOIN range(0, 4) l GROUP BY 1, 2, 3, 4")
+
+
+def _mask_files(s, d):
+    """Masks of regions as files, named by their bounds, written, read and counted."""
+    px = fx.blocks(s, d).withColumns({"top": F.floor(F.col("y") / 24) * 24, "left": F.floor(F.col("x") / 24) * 24})
+    at = _place(s)
+    tables.write_masks(px.select("slide_id", F.col("top").cast("int").alias("top"), F.col("left").cast("int").alias("left"), "y", "x", F.col("label").alias("code")), at, 24)
+    back = tables.read_masks(s, at)
+    return back.groupBy("slide_name", "left", "top", "right", "bottom").agg(F.count("*").alias("n"), F.sum("code").alias("codes"))
+
+
+add("mask_files", _mask_files, fx.with_("blocks") + "SELECT 's' || slide_id slide_name, CAST(x // 24 * 24 AS INT) AS \"left\", CAST(y // 24 * 24 AS INT) top, CAST(x // 24 * 24 + 24 AS INT) AS \"right\", CAST(y // 24 * 24 + 24 AS INT) bottom, count(*) n, CAST(sum(label) AS BIGINT) codes FROM blocks GROUP BY 1, 2, 3, 4, 5")
 _dark = lambda s, d: fx.pixels(s, d).where("r < 128").select("slide_id", "y", "x")
 _on = lambda s, d: fx.blocks(s, d).select("slide_id", "y", "x")
 _MASKS = fx.with_("pixels", "blocks") + ", a AS (SELECT slide_id, y, x FROM pixels WHERE r < 128), b AS (SELECT slide_id, y, x FROM blocks) "

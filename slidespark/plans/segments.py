@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from slidespark import workflows
 from slidespark.operators import annotations, annotations_json, features, graph, labels, learning, pixelstats, spatial, tiles, tissue
 from slidespark.plans.base import Plans
 from slidespark.sources import fixtures as fx
@@ -95,7 +96,19 @@ add(
 
 
 _size = lambda t: t.groupBy("slide_id", F.col("label").alias("component")).agg(F.count("*").alias("area"))
-add("tissue_mask", lambda s, d: _size(tissue.largest(tissue.pieces(fx.pixels(s, d), least=10))))
+_TISSUE = fx.with_("pixels").replace("WITH ", "WITH RECURSIVE ", 1) + """, g AS (SELECT slide_id, y, x, 255 - round(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b) v FROM pixels), e AS (SELECT slide_id, min(v) lo, max(v) hi FROM g WHERE v > 0 GROUP BY 1),
+h AS (SELECT slide_id, bin, count(*) n FROM (SELECT g.slide_id, coalesce(CAST(least(floor((v - lo) / nullif((hi - lo) / 256, 0.0)), 255) AS INT), 0) bin FROM g JOIN e USING (slide_id) WHERE v > 0) GROUP BY 1, 2),
+t AS (SELECT slide_id, bin, sum(n) OVER u w0, sum(n * bin) OVER u s0, sum(n) OVER a w, sum(n * bin) OVER a s FROM h WINDOW u AS (PARTITION BY slide_id ORDER BY bin), a AS (PARTITION BY slide_id)),
+l AS (SELECT t.slide_id, lo + (bin + 0.5) * (hi - lo) / 256 level FROM t JOIN e USING (slide_id) WHERE w0 < w QUALIFY row_number() OVER (PARTITION BY t.slide_id ORDER BY round(w0 * (w - w0) * pow(s0 / w0 - (s - s0) / (w - w0), 2), 4) DESC, bin) = 1),
+m AS (SELECT g.slide_id, CAST(y AS BIGINT) * 1048576 + x p FROM g JOIN l USING (slide_id) WHERE v > 0 AND v >= level),
+q AS (SELECT a.slide_id, a.p, b.p o FROM m a CROSS JOIN (VALUES (1), (-1), (1048576), (-1048576)) s(d) JOIN m b ON b.slide_id = a.slide_id AND b.p = a.p + d),
+c(slide_id, p, root) USING KEY (slide_id, p) AS (SELECT slide_id, p, p FROM m UNION SELECT q.slide_id, q.o, min(c.root) FROM c JOIN q ON q.slide_id = c.slide_id AND q.p = c.p JOIN recurring.c f ON f.slide_id = q.slide_id AND f.p = q.o WHERE c.root < f.root GROUP BY 1, 2),
+z AS (SELECT slide_id, root AS component, count(*) area FROM c GROUP BY 1, 2 HAVING count(*) >= 10) """
+add("tissue_mask", lambda s, d: _size(tissue.largest(tissue.pieces(fx.pixels(s, d), least=10))), _TISSUE + "SELECT slide_id, component, area FROM z QUALIFY row_number() OVER (PARTITION BY slide_id ORDER BY area DESC, component) = 1")
+add("tissue_pieces", lambda s, d: _size(tissue.pieces(fx.pixels(s, d), least=10)), _TISSUE + "SELECT slide_id, component, area FROM z")
+add("overview_tissue", lambda s, d: _size(tissue.overview(fx.pixels(s, d), 48, 16, least=4)))
+add("piece_cellularity", lambda s, d: workflows.piece_cellularity(fx.pixels(s, d), 3, 8, least=10))
+add("piece_components", lambda s, d: workflows.piece_components(fx.pixels(s, d), least=10).groupBy("slide_id", "label", "part").agg(F.count("*").alias("n")), _TISSUE + ", k AS (SELECT slide_id, root, p FROM c WHERE (slide_id, root) IN (SELECT slide_id, component FROM z)) SELECT slide_id, root AS label, CASE WHEN r + g + b > 600 THEN 'white' WHEN b > r + 20 THEN 'blue' WHEN r > g + 60 THEN 'red' ELSE 'rest' END part, count(*) n FROM k JOIN pixels USING (slide_id) WHERE y = p // 1048576 AND x = p % 1048576 GROUP BY 1, 2, 3")
 add("tissue_pieces_smoothed", lambda s, d: _size(tissue.pieces(fx.pixels(s, d), steps=2, sigma=1.0, least=10)))
 add("tissue_pieces_by_stain", lambda s, d: _size(tissue.pieces(fx.pixels(s, d), deconvolve_first=True, least=10)))
 
@@ -148,4 +161,4 @@ def _streamed(s, d):
 
 
 add("streamed_positive_pixels", _streamed)
-add("tissue_documents", lambda s, d: annotations_json.from_contours(tiles.boundaries(fx.blocks(s, d)).where("n > 3").select("slide_id", F.lit("tissue").alias("grp"), F.lit("tissue").alias("label"), F.lit("rgb(0,200,0)").alias("color"), "coords_x", "coords_y", F.col("label").alias("element_id")), size=20))
+add("tissue_documents", lambda s, d: annotations_json.from_contours(tiles.boundaries(tissue.pieces(fx.pixels(s, d), least=10)).where("n > 3").select("slide_id", F.lit("tissue").alias("grp"), F.lit("tissue").alias("label"), F.lit("rgb(0,200,0)").alias("color"), "coords_x", "coords_y", F.col("label").alias("element_id")), size=20))

@@ -11,6 +11,7 @@ from slidespark.functions import colour
 from slidespark.operators import annotations, graph, labels, pixelstats
 from slidespark.plans import annotation, colours, labelling, neighbourhood, regions, segments
 from slidespark.sources import fixtures as fx
+from slidespark.sources.storage import materialize
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -75,7 +76,7 @@ _MU, _SIGMA = (8.63234435, -0.11501964, 0.03868433), (0.57506023, 0.10403329, 0.
 
 
 def _reinhard(s, d):
-    px = _lab_px(s, d)
+    px = materialize(_lab_px(s, d))  # read twice
     names = ("l", "alpha", "beta")
     stats = px.groupBy("slide_id").agg(*(f(c).alias(f"{c}_{n}") for c in names for n, f in (("mu", F.avg), ("sd", F.stddev_pop))))
     moved = [(F.col(c) - F.col(f"{c}_mu")) / F.nullif(F.col(f"{c}_sd"), F.lit(0.0)) * sd + mu for c, mu, sd in zip(names, _MU, _SIGMA, strict=True)]

@@ -5,10 +5,12 @@ from __future__ import annotations
 import sqlite3
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidespark.operators import annotations_json
+from slidespark.operators import annotations_json, spatial, tiles
 
 GT_SCHEMA = "`group` string, overlay_order int, GT_code int, is_roi int, is_background_class int, color string, comments string"
 
@@ -71,3 +73,31 @@ def append_sqlite(t: DataFrame, database: str, table: str) -> int:
         rows: Iterator = t.select(*(f"`{c}`" for c in names)).toLocalIterator()
         done = con.executemany(f'INSERT INTO "{table}" ({", ".join(f"\"{c}\"" for c in names)}) VALUES ({", ".join("?" * len(names))})', (tuple(r) for r in rows))
         return done.rowcount
+
+
+def write_masks(px: DataFrame, path: str, size: int) -> None:
+    """Masks of regions (slide_id, top, left, y, x, code below 256): a row for each, its file name with the bounds and its PNG, in a folder for each slide."""
+
+    def f(t: pd.DataFrame) -> pd.DataFrame:
+        slide, top, left = (int(t[c].iloc[0]) for c in ("slide_id", "top", "left"))
+        m = np.zeros((size, size), np.uint8)
+        m[t.y - top, t.x - left] = t.code
+        name = f"s{slide}_id-{top}x{left}_left-{left}_top-{top}_bottom-{top + size}_right-{left + size}.png"
+        return pd.DataFrame({"slide_id": [slide], "path": [name], "content": [tiles.encode_png(m)]})
+
+    px.groupBy("slide_id", "top", "left").applyInPandas(f, "slide_id int, path string, content binary").write.mode("overwrite").partitionBy("slide_id").parquet(path)
+
+
+def read_masks(spark: SparkSession, path: str) -> DataFrame:
+    """(slide_name, left, top, right, bottom, y, x, code) of such masks; 0 is left out."""
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            for name, raw in zip(t.path, t.content, strict=True):
+                m = tiles.decode_png(bytes(raw))[:, :, 0]
+                y, x = np.nonzero(m)
+                yield pd.DataFrame({"path": name, "y": y.astype(np.int32), "x": x.astype(np.int32), "code": m[y, x].astype(np.int32)})
+
+    t = spark.read.parquet(path).select("path", "content").mapInPandas(f, "path string, y int, x int, code int")
+    bounds = dict(zip(("slide_name", "id", "left", "top", "right", "bottom"), spatial.file_bounds(F.concat(F.lit("/"), F.col("path"))), strict=True))
+    return t.select(*(bounds[c].alias(c) for c in ("slide_name", "left", "top", "right", "bottom")), (F.col("y") + bounds["top"]).alias("y"), (F.col("x") + bounds["left"]).alias("x"), "code")

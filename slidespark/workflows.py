@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidespark.operators import labels, learning, tiles, tissue
+from slidespark.operators import labels, learning, pixelstats, stains, tiles, tissue
 
 log = logging.getLogger(__name__)
 
@@ -54,3 +54,29 @@ def cellularity(pixels: DataFrame, components: int = 5, size: int = 8, seed: int
 def tissue_pieces(pixels: DataFrame, least: int = 10, n: int = 10, **options) -> DataFrame:
     """(slide_id, label, area, box, place): the largest pieces of tissue of every slide."""
     return labels.largest(tissue.pieces(pixels, least=least, **options), n)
+
+
+CASCADE = (("white", "r + g + b > 600"), ("blue", "b > r + 20"), ("red", "r > g + 60"))
+
+
+def piece_cellularity(pixels: DataFrame, components: int = 5, size: int = 8, seed: int = 7, **options) -> DataFrame:
+    """(slide_id, label, component, n, cellularity): superpixels within pieces of tissue, mixed by intensity features, ranked by darkness in each piece."""
+    found = tissue.pieces(pixels, **options)
+    parts = tiles.numbered(tiles.superpixels(pixels, size)).withColumnRenamed("label", "part")
+    inside = found.join(parts, ["slide_id", "y", "x"]).join(pixels, ["slide_id", "y", "x"]).select(F.struct("slide_id", "label", "part").alias("k"), *"rgb", ((F.col("r") + F.col("g") + F.col("b")) / 3).alias("i"))
+    mean = inside.groupBy("k").agg(*(F.avg(c).alias(c) for c in "rgb"))
+    stats = pixelstats.intensity_features(inside, "k").select("k", F.col("mean").alias("intensity"), "std", "entropy", "iqr")
+    t = mean.join(stats, "k").select("k.slide_id", "k.label", *"rgb", "intensity", "std", "entropy", "iqr")
+    mixed = learning.mixture(t, [*"rgb", "intensity", "std", "entropy", "iqr"], components, seed)
+    ranked = learning.cellularity(mixed.withColumn("__k", F.struct("slide_id", "label", "component")), "intensity", "__k")
+    return ranked.select("__k.slide_id", "__k.label", "__k.component", "n", "cellularity")
+
+
+def piece_components(pixels: DataFrame, cascade=CASCADE, reference: tuple | None = None, **options) -> DataFrame:
+    """(slide_id, label, y, x, part): pixels of pieces of tissue by the first threshold that holds, ``rest`` where none does.
+
+    With ``reference`` the colours of each slide are normalised before the rest is told apart.
+    """
+    image = stains.reinhard(pixels, *reference) if reference else pixels
+    kind = F.coalesce(*(F.when(F.expr(test), F.lit(name)) for name, test in cascade), F.lit("rest"))
+    return tissue.pieces(pixels, **options).join(image, ["slide_id", "y", "x"]).select("slide_id", "label", "y", "x", kind.alias("part"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slidespark.functions import raster
-from slidespark.operators import spatial, tiles, tissue
+from slidespark.operators import spatial, stains, tiles, tissue
 
 from .test_raster import flood
 
@@ -123,3 +123,35 @@ def test_more_objects_than_codes_is_an_error(spark):
     assert spatial.object_codes(e.withColumn("k", F.col("element_id") + 1).where("k < 3"), pairs).count() == 2
     with pytest.raises(Exception, match="more elements than there are codes"):
         spatial.object_codes(e.withColumn("k", F.col("element_id") + 1), pairs).collect()
+
+
+def test_bounds_by_mode(spark):
+    slides = spark.createDataFrame([(1, 100, 80), (2, 50, 50)], "slide_id int, width int, height int")
+    e = spark.createDataFrame([(1, -5, 10, 30, 90, 0), (1, 20, 5, 60, 40, 1)], "slide_id int, xmin int, ymin int, xmax int, ymax int, is_roi int")
+    of = lambda *a: {tuple(r) for r in spatial.mode_bounds(slides, e, *a).collect()}
+    assert of("wsi") == {(1, 0, 0, 100, 80), (2, 0, 0, 50, 50)}
+    assert of("min_bounding_box") == {(1, 0, 5, 60, 80)} and of("polygonal") == {(1, 20, 5, 60, 40)}
+    assert of("manual", [60, 10, 120, 30]) == {(1, 60, 10, 100, 30)}
+    for bad in (("manual", None), ("manual", [5, 5, 5, 9]), ("other",)):
+        with pytest.raises(ValueError):
+            of(*bad)
+
+
+def test_codes_of_masks_are_checked(spark):
+    shape = "grp string, overlay_order int, gt_code int, is_roi int, is_background_class int"
+    good = [("a", 1, 1, 0, 1), ("b", 2, 254, 1, 0)]
+    out = {r.grp: r for r in spatial.mask_codes(spark.createDataFrame(good, shape)).collect()}
+    assert len(out) == 3 and out["super_roi"].gt_code == 255 and out["super_roi"].overlay_order == 0
+    for bad in ([*good, ("c", 1, 255, 0, 0)], [*good, ("c", 1, 0, 0, 0)], [*good, ("c", 1, None, 0, 0)], good[1:]):
+        with pytest.raises(Exception, match="code out of|no background"):
+            spatial.mask_codes(spark.createDataFrame(bad, shape)).collect()
+
+
+def test_drawn_pixels_follow_the_fraction(spark):
+    px = spark.range(40_000).select(F.lit(1).alias("slide_id"), (F.col("id") / 200).cast("int").alias("y"), (F.col("id") % 200).cast("int").alias("x"), (F.col("id") % 200 < 100).cast("int").alias("r"))
+    out = stains.resampled(px, F.col("r") == 1, 0.5, 50, 0.1, 1)
+    n = out.agg(F.sum("times")).first()[0]
+    assert out.where("x >= 100").isEmpty() and abs(n - 10_000) < 500
+    share = out.groupBy("times").count().collect()
+    assert {r["times"] for r in share} >= {1, 2, 3} and abs(sum(r["count"] for r in share) - 20_000 * (1 - np.exp(-0.5))) < 400
+    assert stains.resampled(px, F.col("x") < 4, 0.5, 50, 0.1, 1).isEmpty()
