@@ -17,7 +17,7 @@ def darkness(px: DataFrame, deconvolve_first: bool = False, w: np.ndarray | None
     """(slide_id, y, x, v): inverted grey, or inverted nuclear stain, as a whole number from 0 to 255."""
     rgb = [F.col(c) for c in "rgb"]
     if deconvolve_first:
-        v = 255 - colour.to_byte(colour.unmix(*rgb, colour.stain_matrix() if w is None else w)[0])
+        v = 255 - colour.to_byte(F.round(colour.unmix(*rgb, colour.stain_matrix() if w is None else w)[0], 6))
     else:
         v = 255 - F.round(0.299 * rgb[0] + 0.587 * rgb[1] + 0.114 * rgb[2])
     return px.select("slide_id", "y", "x", v.cast("double").alias("v"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from slidespark import workflows
+from slidespark.functions import colour
 from slidespark.operators import annotations, annotations_json, features, graph, labels, learning, pixelstats, spatial, tiles, tissue
 from slidespark.plans.base import Plans
 from slidespark.sources import fixtures as fx
@@ -34,6 +37,16 @@ add("canny_features", lambda s, d: _round(tiles.edges(fx.patches(s, d), "vec_id"
 add("vote_centres", lambda s, d: _round(tiles.vote_centres(fx.patches(s, d), "vec_id")))
 add("boundary_trace", lambda s, d: tiles.boundaries(fx.blocks(s, d)))
 add("mask_contours", lambda s, d: tiles.mask_contours(fx.blocks(s, d), 48, 48))
+add(
+    "mask_contour_flags",
+    lambda s, d: tiles.mask_contours(fx.blocks(s, d), 48, 48).drop("coords_x", "coords_y"),
+    fx.with_("blocks").replace("WITH ", "WITH RECURSIVE ", 1) + """, b AS (SELECT slide_id, label, min(y) ymin, max(y) ymax, min(x) xmin, max(x) xmax FROM blocks GROUP BY 1, 2),
+g AS (SELECT slide_id, label, y, x FROM (SELECT slide_id, label, unnest(range(ymin - 1, ymax + 2)) y, xmin, xmax FROM b) CROSS JOIN LATERAL (SELECT unnest(range(xmin - 1, xmax + 2)) x)),
+e AS (SELECT g.* FROM g LEFT JOIN blocks k ON k.slide_id = g.slide_id AND k.label = g.label AND k.y = g.y AND k.x = g.x WHERE k.label IS NULL),
+o(slide_id, label, y, x) AS (SELECT e.* FROM e JOIN b USING (slide_id, label) WHERE y = ymin - 1 AND x = xmin - 1 UNION SELECT e.* FROM o CROSS JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) s(dy, dx) JOIN e ON e.slide_id = o.slide_id AND e.label = o.label AND e.y = o.y + dy AND e.x = o.x + dx),
+n AS (SELECT slide_id, label, count(*) n FROM e GROUP BY 1, 2), m AS (SELECT slide_id, label, count(*) m FROM o GROUP BY 1, 2)
+SELECT slide_id, label, ymin, ymax, xmin, xmax, CAST(n > m AS INT) has_holes, CAST(ymin = 0 AS INT) touches_edge_top, CAST(xmin = 0 AS INT) touches_edge_left, CAST(ymax = 47 AS INT) touches_edge_bottom, CAST(xmax = 47 AS INT) touches_edge_right FROM b JOIN n USING (slide_id, label) JOIN m USING (slide_id, label)""",
+)
 add("object_shapes", lambda s, d: _round(tiles.shapes(fx.blocks(s, d))))
 add("superpixels", lambda s, d: tiles.numbered(tiles.superpixels(fx.pixels(s, d))))
 add("cell_graph", lambda s, d: _round(tiles.cell_graph(fx.points(s, d)).join(graph.wide(graph.density(fx.points(s, d)), graph.DENSITY), "label"), 4))
@@ -96,21 +109,26 @@ add(
 
 
 _size = lambda t: t.groupBy("slide_id", F.col("label").alias("component")).agg(F.count("*").alias("area"))
-_TISSUE = fx.with_("pixels").replace("WITH ", "WITH RECURSIVE ", 1) + """, g AS (SELECT slide_id, y, x, 255 - round(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b) v FROM pixels), e AS (SELECT slide_id, min(v) lo, max(v) hi FROM g WHERE v > 0 GROUP BY 1),
+_PIECES = """, e AS (SELECT slide_id, min(v) lo, max(v) hi FROM g WHERE v > 0 GROUP BY 1),
 h AS (SELECT slide_id, bin, count(*) n FROM (SELECT g.slide_id, coalesce(CAST(least(floor((v - lo) / nullif((hi - lo) / 256, 0.0)), 255) AS INT), 0) bin FROM g JOIN e USING (slide_id) WHERE v > 0) GROUP BY 1, 2),
 t AS (SELECT slide_id, bin, sum(n) OVER u w0, sum(n * bin) OVER u s0, sum(n) OVER a w, sum(n * bin) OVER a s FROM h WINDOW u AS (PARTITION BY slide_id ORDER BY bin), a AS (PARTITION BY slide_id)),
 l AS (SELECT t.slide_id, lo + (bin + 0.5) * (hi - lo) / 256 level FROM t JOIN e USING (slide_id) WHERE w0 < w QUALIFY row_number() OVER (PARTITION BY t.slide_id ORDER BY round(w0 * (w - w0) * pow(s0 / w0 - (s - s0) / (w - w0), 2), 4) DESC, bin) = 1),
 m AS (SELECT g.slide_id, CAST(y AS BIGINT) * 1048576 + x p FROM g JOIN l USING (slide_id) WHERE v > 0 AND v >= level),
 q AS (SELECT a.slide_id, a.p, b.p o FROM m a CROSS JOIN (VALUES (1), (-1), (1048576), (-1048576)) s(d) JOIN m b ON b.slide_id = a.slide_id AND b.p = a.p + d),
 c(slide_id, p, root) USING KEY (slide_id, p) AS (SELECT slide_id, p, p FROM m UNION SELECT q.slide_id, q.o, min(c.root) FROM c JOIN q ON q.slide_id = c.slide_id AND q.p = c.p JOIN recurring.c f ON f.slide_id = q.slide_id AND f.p = q.o WHERE c.root < f.root GROUP BY 1, 2),
-z AS (SELECT slide_id, root AS component, count(*) area FROM c GROUP BY 1, 2 HAVING count(*) >= 10) """
+z AS (SELECT slide_id, root AS component, count(*) area FROM c GROUP BY 1, 2 HAVING count(*) >= {least}) """
+_GREY = "255 - round(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b)"
+_OD = lambda c: f"greatest(-ln(greatest({c}::DOUBLE, 1e-10) / 255.0) * 255 / {math.log(255.0)!r}, 0.0)"
+_BLUE = f"255 - trunc(least(greatest(round(pow(255.0, 1 - {colour.sql_linear(np.linalg.inv(colour.stain_matrix()), [_OD(c) for c in 'rgb'])[0]} / 255), 6), 0), 255))"
+_tissue_sql = lambda v, source="pixels", least=10: fx.with_("pixels").replace("WITH ", "WITH RECURSIVE ", 1) + f", g AS (SELECT slide_id, y, x, {v} v FROM {source})" + _PIECES.replace("{least}", str(least))
+_TISSUE = _tissue_sql(_GREY)
 add("tissue_mask", lambda s, d: _size(tissue.largest(tissue.pieces(fx.pixels(s, d), least=10))), _TISSUE + "SELECT slide_id, component, area FROM z QUALIFY row_number() OVER (PARTITION BY slide_id ORDER BY area DESC, component) = 1")
 add("tissue_pieces", lambda s, d: _size(tissue.pieces(fx.pixels(s, d), least=10)), _TISSUE + "SELECT slide_id, component, area FROM z")
-add("overview_tissue", lambda s, d: _size(tissue.overview(fx.pixels(s, d), 48, 16, least=4)))
+add("overview_tissue", lambda s, d: _size(tissue.overview(fx.pixels(s, d), 48, 16, least=4)), _tissue_sql(_GREY, "(SELECT slide_id, CAST(floor(y / 2) AS INT) y, CAST(floor(x / 2) AS INT) x, round(avg(r), 6) r, round(avg(g), 6) g, round(avg(b), 6) b FROM pixels GROUP BY 1, 2, 3)", 4) + "SELECT slide_id, component, area FROM z")
 add("piece_cellularity", lambda s, d: workflows.piece_cellularity(fx.pixels(s, d), 3, 8, least=10))
 add("piece_components", lambda s, d: workflows.piece_components(fx.pixels(s, d), least=10).groupBy("slide_id", "label", "part").agg(F.count("*").alias("n")), _TISSUE + ", k AS (SELECT slide_id, root, p FROM c WHERE (slide_id, root) IN (SELECT slide_id, component FROM z)) SELECT slide_id, root AS label, CASE WHEN r + g + b > 600 THEN 'white' WHEN b > r + 20 THEN 'blue' WHEN r > g + 60 THEN 'red' ELSE 'rest' END part, count(*) n FROM k JOIN pixels USING (slide_id) WHERE y = p // 1048576 AND x = p % 1048576 GROUP BY 1, 2, 3")
 add("tissue_pieces_smoothed", lambda s, d: _size(tissue.pieces(fx.pixels(s, d), steps=2, sigma=1.0, least=10)))
-add("tissue_pieces_by_stain", lambda s, d: _size(tissue.pieces(fx.pixels(s, d), deconvolve_first=True, least=10)))
+add("tissue_pieces_by_stain", lambda s, d: _size(tissue.pieces(fx.pixels(s, d), deconvolve_first=True, least=10)), _tissue_sql(_BLUE) + "SELECT slide_id, component, area FROM z")
 
 
 def _near_polygons(s, d):
@@ -161,4 +179,18 @@ def _streamed(s, d):
 
 
 add("streamed_positive_pixels", _streamed)
+
+
+def _streamed_windows(s, d):
+    """Positive pixels by slide and five minutes of event time, a row of pixels being a minute."""
+    at = f"{shared_dir(s).rstrip('/')}/slidespark-{uuid.uuid4().hex}"
+    fx.pixels(s, d).withColumn("at", F.timestamp_seconds(F.col("y") * 60)).repartition(3, "slide_id", "y").write.parquet(at)
+    name = f"slidespark_{uuid.uuid4().hex}"
+    arriving = counts.read_tiles(s, at, counts.PIXELS + ", at timestamp", 1)
+    q = counts.windowed_counts(arriving, "at", "1 hour").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{at}-checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.table(name).select("slide_id", (F.unix_timestamp("window.start") / 60).cast("int").alias("minute"), "n_pixels", "n_positive")
+
+
+add("streamed_windows", _streamed_windows)
 add("tissue_documents", lambda s, d: annotations_json.from_contours(tiles.boundaries(tissue.pieces(fx.pixels(s, d), least=10)).where("n > 3").select("slide_id", F.lit("tissue").alias("grp"), F.lit("tissue").alias("label"), F.lit("rgb(0,200,0)").alias("color"), "coords_x", "coords_y", F.col("label").alias("element_id")), size=20))

@@ -170,4 +170,5 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     streamed = f"SELECT slide_id, n_pixels, n_weak, n_plain, n_strong FROM ({SQL['positive_pixel_count']})"
-    return {**SQL, **{k: q for a in AREAS for k, q in a.plans.sql.items()}, "streamed_positive_pixels": streamed}
+    windows = fx.with_("pixels") + ", " + _HSI + _KIND + "SELECT slide_id, CAST(y // 5 * 5 AS INT) AS \"minute\", count(*) n_pixels, count(*) FILTER (kind > 0) n_positive FROM kinds GROUP BY 1, 2"
+    return {**SQL, **{k: q for a in AREAS for k, q in a.plans.sql.items()}, "streamed_positive_pixels": streamed, "streamed_windows": windows}
