@@ -50,3 +50,23 @@ def test_digest(spark):
         better += x.score > x.base_score
     assert better > 100
     assert H.digest(df.limit(0)).count() == 0
+
+
+def test_long_and_repeated_texts(spark):
+    r = random.Random(3)
+    texts = [" ".join(f"w{r.randrange(50)}" for _ in range(r.randint(5, 40))) for _ in range(60)]
+    long = " ".join(f"w{r.randrange(50)}" for _ in range(150_000))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, texts[3]), (100, long), (101, long)]
+    got = H.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    for same in ([x for x in got if x.doc_id in (3, None)], [x for x in got if x.doc_id in (100, 101)]):
+        assert len(same) >= 2 and len({(x.n_tokens, x.n_known, round(x.base_score, 6), round(x.score, 6)) for x in same}) == 1
+    assert {x.n_tokens for x in got if x.doc_id == 100} == {150_001} and all(x.score < 0 for x in got)
+
+
+def test_bins_of_counts_keep_the_most_frequent(spark):
+    counts = spark.createDataFrame([(i, 0, n) for i, n in enumerate([5000, 4990, 2000, 30, 7, 7, 1, 1, 1])], "word long, rare int, n long")
+    for most in (1, 2, 3, 4, 6, 9):
+        least, words, _, _ = H._frequent(counts, most)
+        kept = [i for i in words if i != int(H.END)]
+        assert len(kept) <= most and kept == list(range(len(kept))) and least > (0 if most < 9 else -1)

@@ -58,3 +58,12 @@ def test_emit_and_empty(spark):
     assert M.emit(df).columns == df.columns
     assert sum(r.doc_id is None for r in out) == taken[None].copies
     assert M.digest(df.limit(0)).count() == 0 and M.emit(df.limit(0)).count() == 0
+
+
+def test_long_and_like_rows(spark):
+    long = "word " * 300_000
+    rows = [(1, long, "a"), *[(None, "b c", "a")] * 50, *[(i, "x y z", "b") for i in range(40)]]
+    out = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(out) == 91 and max(r.size for r in out) == 300_000 and all(0 <= r.copies <= M.MOST for r in out)
+    taken = lambda s: sum(r.copies * r.size for r in out if r.source == s)
+    assert taken("b") == 360 and {r.target for r in out if r.source == "b"} == {360.0}

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from slidespark.llm import order_minhash as O
 
 
@@ -64,3 +66,38 @@ def test_buckets_left_open_are_compared_in_full(spark):
     for mins, bands in ((3, 20), (1, 4)):
         rows = O.near_duplicates(df, small=2, mins=mins, bands=bands).collect()
         assert [r.class_id for r in sorted(rows, key=lambda r: r.id)] == want
+
+
+def test_very_long_texts(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    long = [word() for _ in range(80_000)]
+    near = long[:]
+    for _ in range(1000):
+        near[r.randrange(len(near))] = word()
+    far = [word() for _ in range(80_000)]
+    texts = [" ".join(x) for x in (long, near, far, long[:40_000], ["same"], ["same"] * 90_000, ["same"] * 80_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [x.class_id for x in sorted(O.near_duplicates(df).collect(), key=lambda x: x.id)] == [0, 0, 2, 3, 4, 5, 5]
+
+
+def test_sketches_do_not_hang_on_the_block(monkeypatch):
+    x = O.labelled(*_buffer(" ".join(f"w{i}" for i in range(300))))[0]
+    whole = O.sketches(x, 3, 20)
+    monkeypatch.setattr(O, "AT_ONCE", 700)
+    assert (O.sketches(x, 3, 20) == whole).all()
+
+
+def test_bitmaps_bound_what_is_common():
+    r = random.Random(2)
+    for _ in range(30):
+        x = [f"w{i}" for i in range(r.randint(8, 80))]
+        y = [w if r.random() < 0.8 else f"v{i}" for i, w in enumerate(x)]
+        (a, fa, _), (b, fb, _) = O.labelled(*_buffer(" ".join(x))), O.labelled(*_buffer(" ".join(y)))
+        apart = int(np.bitwise_count(O.bitmaps(a, fa) ^ O.bitmaps(b, fb)).sum())
+        assert len(set(a.tolist()) & set(b.tolist())) <= (len(a) + len(b) - apart) / 2
+
+
+def _buffer(text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return raw, np.array([0, len(raw)])
