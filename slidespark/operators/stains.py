@@ -115,6 +115,17 @@ def resampled(pixels: DataFrame, inside: Column, fraction: float, tile: int, lea
     return t.where("__in").join(full, ["slide_id", "ty", "tx"], "left_semi").select(*pixels.columns, times.alias("times")).where("times > 0")
 
 
+def weighted_stats(t: DataFrame, names, weight: str, by: str = "slide_id") -> DataFrame:
+    """Mean and population deviation of columns, rows counting as often as their weight says."""
+    w = F.col(weight)
+    mean = lambda c: F.sum(w * c) / F.sum(w)
+    cells = []
+    for n in names:
+        c = F.col(n)
+        cells += [F.round(mean(c), 5).alias(f"{n}_mu"), F.round(F.sqrt(F.greatest(mean(c * c) - mean(c) * mean(c), F.lit(0.0))), 5).alias(f"{n}_sigma")]
+    return t.groupBy(by).agg(*cells)
+
+
 def reinhard(px: DataFrame, means, deviations) -> DataFrame:
     """Pixels whose colours have the given means and deviations in LAB, slide by slide; a channel without spread becomes its mean."""
     names = ("l", "alpha", "beta")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from slidespark.functions import colour
-from slidespark.operators import annotations, graph, labels, pixelstats
+from slidespark.operators import annotations, graph, labels, pixelstats, stains
 from slidespark.plans import annotation, colours, labelling, neighbourhood, regions, segments
 from slidespark.sources import fixtures as fx
 from slidespark.sources.storage import materialize
@@ -72,6 +72,17 @@ def _lab_px(s, d):
 
 _LABCTE = fx.with_("pixels") + f", lab AS (SELECT slide_id, y, x, r, g, b, {_LAB[0]} l, {_LAB[1]} alpha, {_LAB[2]} beta FROM pixels) "
 _add("lab_stats", lambda s, d: _lab_px(s, d).groupBy("slide_id").agg(*(_r(f(c), f"{c}_{n}", 5) for c in ("l", "alpha", "beta") for n, f in (("mu", F.avg), ("sigma", F.stddev_pop)))), _LABCTE + "SELECT slide_id, " + ", ".join(f"round(avg({c}), 5) {c}_mu, round(stddev_pop({c}), 5) {c}_sigma" for c in ("l", "alpha", "beta")) + " FROM lab GROUP BY 1")
+
+
+def _sampled_stats(s, d):
+    """Means and deviations in LAB of drawn foreground pixels, each as often as it was drawn."""
+    px = stains.resampled(fx.pixels(s, d), F.col("r") + F.col("g") + F.col("b") < 384, 0.4, 16, 0.25, 5)
+    lab = px.select("slide_id", "times", *(c.alias(n) for c, n in zip(colour.lab(*rgb()), ("l", "alpha", "beta"), strict=True)))
+    return stains.weighted_stats(lab, ("l", "alpha", "beta"), "times")
+
+
+_STATS = ", ".join(f"round(sum(times * {c}) / sum(times), 5) {c}_mu, round(sqrt(greatest(sum(times * {c} * {c}) / sum(times) - pow(sum(times * {c}) / sum(times), 2), 0.0)), 5) {c}_sigma" for c in ("l", "alpha", "beta"))
+_add("sampled_lab_stats", _sampled_stats, f"WITH drawn AS ({colours.plans.sql['resampled_foreground']}), pixels AS ({fx.SQL['pixels']}) SELECT slide_id, {_STATS} FROM (SELECT slide_id, times, {_LAB[0]} l, {_LAB[1]} alpha, {_LAB[2]} beta FROM pixels JOIN drawn USING (slide_id, y, x)) GROUP BY 1")
 _MU, _SIGMA = (8.63234435, -0.11501964, 0.03868433), (0.57506023, 0.10403329, 0.01364062)
 
 

@@ -6,6 +6,7 @@ import logging
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,24 @@ def each(items: DataFrame, callback: Callable, id_col: str = "slide_id") -> Repo
     return report
 
 
+def apply(t: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, by: str = "slide_id") -> DataFrame:
+    """``f`` of the rows of every slide, all slides in one job: its rows, or one row with nothing but the slide and the error where it fails."""
+    names = [c.strip().split()[0] for c in schema.split(",")]
+    kind = dict(t.dtypes)[by]
+
+    def g(rows: pd.DataFrame) -> pd.DataFrame:
+        slide = rows[by].iloc[0]
+        try:
+            out = f(rows)[[c for c in names if c != by]].copy()
+            out[by], out["error"] = slide, None
+        except Exception as error:  # noqa: BLE001  one slide must not stop the others
+            out = pd.DataFrame({**{c: [None] for c in names}, by: [slide], "error": [str(error)]})
+        return out[[by, *(c for c in names if c != by), "error"]]
+
+    rest = ", ".join(c.strip() for c in schema.split(",") if c.strip().split()[0] != by)
+    return t.groupBy(by).applyInPandas(g, f"{by} {kind}, {rest}, error string")
+
+
 def cellularity(pixels: DataFrame, components: int = 5, size: int = 8, seed: int = 7) -> DataFrame:
     """(slide_id, component, n, cellularity): superpixels of all slides, their colours as a Gaussian mixture, ranked by darkness."""
     parts = tiles.numbered(tiles.superpixels(pixels, size))

@@ -1,5 +1,6 @@
 import sqlite3
 
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
@@ -75,6 +76,18 @@ def test_each_slide(spark):
     assert workflows.slides(items, keep=[2]).count() == 1
 
 
+def test_all_slides_in_one_job(spark):
+    t = spark.createDataFrame([(k, v) for k in range(4) for v in range(3)], "slide_id int, v int")
+
+    def f(rows):
+        if rows.slide_id.iloc[0] == 2:
+            raise ValueError("broken")
+        return pd.DataFrame({"n": [len(rows)], "total": [float(rows.v.sum())]})
+
+    out = {r.slide_id: (r.n, r.total, r.error) for r in workflows.apply(t, f, "n int, total double").collect()}
+    assert out == {k: (3, 3.0, None) if k != 2 else (None, None, "broken") for k in range(4)}
+
+
 def test_cellularity_and_pieces(spark, pixels):
     px = spark.read.parquet(pixels)
     parts = workflows.cellularity(px, 2).collect()
