@@ -94,7 +94,7 @@ def test_bitmaps_bound_what_is_common():
         x = [f"w{i}" for i in range(r.randint(8, 80))]
         y = [w if r.random() < 0.8 else f"v{i}" for i, w in enumerate(x)]
         (a, fa, _), (b, fb, _) = O.labelled(*_buffer(" ".join(x))), O.labelled(*_buffer(" ".join(y)))
-        apart = int(np.bitwise_count(O.bitmaps(a, fa) ^ O.bitmaps(b, fb)).sum())
+        apart = int(np.bitwise_count((O.bitmaps(a, fa) ^ O.bitmaps(b, fb)).view(np.uint64)).sum())
         assert len(set(a.tolist()) & set(b.tolist())) <= (len(a) + len(b) - apart) / 2
 
 
