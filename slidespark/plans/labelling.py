@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from slidespark.functions import chance
 from slidespark.operators import labels
-from slidespark.plans.base import Plans
+from slidespark.plans.base import Plans, as_sql_rounds
 from slidespark.sources import fixtures as fx
 
 plans = Plans()
@@ -84,7 +84,8 @@ def _hu_sql(prefix: str, weight: str, source: str) -> str:
 def _hu(s, d):
     one = labels.invariants(fx.blocks(s, d))
     two = labels.invariants(fx.blocks(s, d).join(fx.pixels(s, d), ["slide_id", "y", "x"]), "r")
-    named = lambda t, p: t.select("slide_id", "label", *(F.round(f"hu{k}", 6).alias(f"{p}hu{k}") for k in range(1, 8)))
+    # twelve digits first: sums in another order differ in the last bits, which would decide ties at six
+    named = lambda t, p: t.select("slide_id", "label", *(as_sql_rounds(F.round(f"hu{k}", 12), 6).alias(f"{p}hu{k}") for k in range(1, 8)))
     return named(one, "").join(named(two, "weighted_"), ["slide_id", "label"])
 
 
