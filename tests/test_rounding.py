@@ -8,6 +8,8 @@ import pytest
 from slidespark import registry
 from slidespark.sources import fixtures as fx
 
+from .differential import connect
+
 SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="the shared tables are not here")
 
@@ -30,3 +32,13 @@ def test_ties_of_invariants(spark):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", 4)
         assert {k: got[k] for k in want} == {k: float(v) for k, v in want.items()}
+
+
+def test_digits_of_bands_as_in_sql(spark):
+    name = "nuclei_feature_bands"
+    rel = connect(SF).sql(registry.oracle_sql()[name])
+    own = registry.queries()[name](spark, SF).select(rel.columns).collect()
+    key = lambda r: (r[0], r[1])
+    assert rel.columns[:2] == ["slide_id", "label"]
+    pairs = list(zip(sorted(map(tuple, own), key=key), sorted(rel.fetchall(), key=key), strict=True))
+    assert [(a[:2], c, x, y) for a, b in pairs for c, x, y in zip(rel.columns, a, b, strict=True) if x != y] == []
