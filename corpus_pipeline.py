@@ -26,10 +26,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each class, that of the least id, one without an id only where none has one; of rows alike without a word, one."""
     key = F.xxhash64("doc_id", "text", "lang", "source", "n_chars")
     held = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
-    classes = order_minhash.near_duplicates(held, id_col="__row").select(F.col("id").alias("__id"), "class_id")
     lead = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col("__row").alias("row"))
-    best = held.select("doc_id", "__row").join(classes, F.col("__row") == F.col("__id")).groupBy("class_id").agg(F.min(lead).alias("lead")).select(F.col("lead.row").alias("__id"))
-    kept = held.join(best, F.col("__row") == F.col("__id"), "left_semi")
+
+    def best() -> DataFrame:
+        classes = order_minhash.near_duplicates(held, id_col="__row").select(F.col("id").alias("__id"), "class_id")
+        return held.select("doc_id", "__row").join(classes, F.col("__row") == F.col("__id")).groupBy("class_id").agg(F.min(lead).alias("lead")).select(F.col("lead.row").alias("__id"))
+
+    # the sketches go before texts move, by merging at any size, so that disk grows in proportion
+    kept = held.join(settled(spark, best).hint("merge"), F.col("__row") == F.col("__id"), "left_semi")
     return kept.withColumn("__row", F.struct(key.alias("k"), F.col("doc_id").alias("d"))).dropDuplicates(["__row"]).drop("__row")
 
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidespark.sources.storage import materialize
+from slidespark.sources.storage import materialize, release
 
 from . import textops as T
 
@@ -341,8 +341,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = parts[0].select("key", "first", "last")
     for p in parts[1:]:
         spans = spans.unionByName(p.select("key", "first", "last"))
-    spans = spans.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("__spans")).withColumnRenamed("key", "__key")
-    joined = docs.select(*names, F.col(text_col).alias("__text"), key.alias("__key")).join(spans, "__key", "left").drop("__key")
+    spans = materialize(spans.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("__spans")).withColumnRenamed("key", "__key"))
+    release(found, again, kinds, opened)
+    # by merging at any size, so that disk grows in proportion
+    joined = docs.select(*names, F.col(text_col).alias("__text"), key.alias("__key")).join(spans.hint("merge"), "__key", "left").drop("__key")
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.select(*names).dtypes)
     return joined.mapInArrow(_apply(length, names, as_text), f"{fields}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 

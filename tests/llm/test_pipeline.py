@@ -1,7 +1,9 @@
+import os
 import random
 
 import corpus_pipeline as P
 from slidespark.llm import decontam, mixing, order_minhash, suffix_dedup, toxicity
+from slidespark.sources import storage
 
 
 def test_stages_match_brute_force(spark, tmp_path):
@@ -86,3 +88,14 @@ def test_odd_rows_pass_every_stage(spark, tmp_path):
         sizes.append(df.count())
     assert sizes[:4] == [7, 5, 5, 5]
     assert {x.text for x in df.collect()} >= {long}
+
+
+def test_sketches_of_near_copies_are_deleted(spark, tmp_path):
+    at = storage.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(at))
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(40)) for _ in range(6)]
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate([*texts, texts[0], texts[1] + " end", ""])]
+    out = P.drop_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), str(tmp_path))
+    assert len(set(os.listdir(at)) - before) == 2  # the rows with their numbers, and the numbers of those that stay
+    assert sorted(x.doc_id for x in out.collect()) == [0, 1, 2, 3, 4, 5, 8]

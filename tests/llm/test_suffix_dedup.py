@@ -1,8 +1,10 @@
+import os
 import random
 
 import pytest
 
 from slidespark.llm import suffix_dedup as S
+from slidespark.sources import storage
 
 
 def corpus(seed: int) -> list[str | None]:
@@ -66,3 +68,13 @@ def test_shared_and_null_ids(spark):
     out = S.remove_repeats(df).collect()
     assert sorted(x.n_removed > 0 for x in out) == [False, True, True, True]
     assert [x.doc_id for x in out if not x.n_removed] == [None]
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_spans_are_all_that_is_left_on_disk(spark, keep_first):
+    at = storage.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(at))
+    texts = corpus(8)
+    out = S.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep_first=keep_first)
+    assert len(set(os.listdir(at)) - before) == 1
+    assert [bytes(r.kept) for r in sorted(out.collect())] == S.brute_force(texts, keep_first=keep_first)

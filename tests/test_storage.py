@@ -1,6 +1,9 @@
 """Intermediate tables are deleted once nothing reads them."""
 
 import os
+import time
+
+from pyspark.sql import functions as F
 
 from slidespark.operators.components import components
 from slidespark.sources import storage
@@ -36,3 +39,17 @@ def test_settled_keeps_the_result_only(spark):
     assert len(set(os.listdir(at)) - before) == 1 and out.count() == 13
     storage.release(out)
     assert set(os.listdir(at)) == before
+
+
+def test_materialize_leaves_no_shuffle_files(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("shuffle_")
+    conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = spark.conf.get(conf, None)
+    before = files()
+    out = storage.materialize(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 10
+    while files() > before and time.time() < until:
+        time.sleep(0.2)
+    assert files() <= before
+    assert out.count() == 7 and spark.conf.get(conf, None) == held
+    storage.release(out)
