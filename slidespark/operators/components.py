@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidespark.sources.storage import materialize, release
+from slidespark.sources.storage import grown, materialize, release
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -23,16 +23,16 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             return labels
         up = materialize(edges.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("p")))
         while True:  # pointers always fall, so this ends; the depth halves each time
-            far = up.join(up.select(F.col("v").alias("p"), F.col("p").alias("pp")), "p", "left")
+            far = up.join(grown(up.select(F.col("v").alias("p"), F.col("p").alias("pp"))), "p", "left")
             if far.where("pp is not null").isEmpty():
                 break
             up, old = materialize(far.select("v", F.coalesce("pp", "p").alias("p"))), up
             release(old)
         to = up.select(F.col("v").alias("root"), "p")
         a, b = (up.select(F.col("v").alias(x), F.col("p").alias(f"{x}p")) for x in "ab")
-        moved = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ap", "a").alias("x"), F.coalesce("bp", "b").alias("y")).where("x <> y")
+        moved = edges.join(grown(a), "a", "left").join(grown(b), "b", "left").select(F.coalesce("ap", "a").alias("x"), F.coalesce("bp", "b").alias("y")).where("x <> y")
         old = (labels, edges, up)
-        labels = materialize(labels.join(to, "root", "left").select("v", F.coalesce("p", "root").alias("root")))
+        labels = materialize(labels.join(grown(to), "root", "left").select("v", F.coalesce("p", "root").alias("root")))
         edges = materialize(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         release(*old)
     raise RuntimeError("components did not settle")

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from slidespark.functions import chance
 from slidespark.operators.components import components
-from slidespark.sources.storage import materialize, release
+from slidespark.sources.storage import grown, materialize, release
 
 
 def condense(labels: DataFrame) -> DataFrame:
     """Numbers the labels of each slide from 1 in ascending order; only distinct labels are ranked."""
     ids = labels.select("slide_id", "label").distinct().withColumn("new", F.dense_rank().over(Window.partitionBy("slide_id").orderBy("label")).cast("int"))
-    return labels.join(ids, ["slide_id", "label"]).select("slide_id", "y", "x", F.col("new").alias("label"))
+    return labels.join(grown(ids), ["slide_id", "label"]).select("slide_id", "y", "x", F.col("new").alias("label"))
 
 
 def delete(labels: DataFrame, ids: DataFrame) -> DataFrame:
@@ -25,13 +25,13 @@ def delete_border(labels: DataFrame, height: int, width: int) -> DataFrame:
     """Drops labels that touch the frame; a slide is renumbered only if one was dropped."""
     edge = labels.where((F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == height - 1) | (F.col("x") == width - 1)).select("slide_id", "label").distinct()
     hit = edge.select("slide_id").distinct()
-    kept = delete(labels, edge)
+    kept = delete(labels, grown(edge))
     return condense(kept.join(hit, "slide_id", "left_semi")).unionByName(kept.join(hit, "slide_id", "left_anti").select("slide_id", "y", "x", "label"))
 
 
 def area_open(labels: DataFrame, least: int) -> DataFrame:
     big = labels.groupBy("slide_id", "label").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("slide_id", "label")
-    return condense(labels.join(big, ["slide_id", "label"], "left_semi"))
+    return condense(labels.join(grown(big), ["slide_id", "label"], "left_semi"))
 
 
 def _shifted(labels: DataFrame, shifts) -> DataFrame:
@@ -45,13 +45,13 @@ def perimeter(labels: DataFrame, height: int, width: int, shifts=((0, 1), (0, -1
     """Pixels with a neighbour in the image of another label or of the background."""
     y, x = F.col("y"), F.col("x")
     inside = sum(((y - a).between(0, height - 1) & (x - b).between(0, width - 1)).cast("int") for a, b in shifts)
-    same = labels.join(_shifted(labels, shifts), ["slide_id", "y", "x"]).where("label = near").groupBy("slide_id", "y", "x").agg(F.count("*").alias("alike"))
-    return labels.join(same, ["slide_id", "y", "x"], "left").where(F.coalesce("alike", F.lit(0)) < inside).select("slide_id", "y", "x", "label")
+    same = labels.join(grown(_shifted(labels, shifts)), ["slide_id", "y", "x"]).where("label = near").groupBy("slide_id", "y", "x").agg(F.count("*").alias("alike"))
+    return labels.join(grown(same), ["slide_id", "y", "x"], "left").where(F.coalesce("alike", F.lit(0)) < inside).select("slide_id", "y", "x", "label")
 
 
 def adjacency(labels: DataFrame) -> DataFrame:
     """(slide_id, a, b), a < b: labels that touch, by right and lower neighbours only."""
-    t = labels.join(_shifted(labels, ((0, -1), (-1, 0))), ["slide_id", "y", "x"]).where("label <> near")
+    t = labels.join(grown(_shifted(labels, ((0, -1), (-1, 0)))), ["slide_id", "y", "x"]).where("label <> near")
     return t.select("slide_id", F.least("label", "near").alias("a"), F.greatest("label", "near").alias("b")).distinct()
 
 
@@ -69,7 +69,7 @@ def delete_margin(labels: DataFrame, height: int, width: int, overlap: dict[str,
     rim = (y < half.get("top", 0)) | (y >= height - half.get("bottom", 0)) | (x < half.get("left", 0)) | (x >= width - half.get("right", 0))
     gone = labels.where(rim).select("slide_id", "label").distinct()
     hit = gone.select("slide_id").distinct()
-    kept = delete(labels, gone)
+    kept = delete(labels, grown(gone))
     return condense(kept.join(hit, "slide_id", "left_semi")).unionByName(kept.join(hit, "slide_id", "left_anti").select("slide_id", "y", "x", "label"))
 
 
@@ -83,7 +83,7 @@ def ring(labels: DataFrame, height: int, width: int, reach: int) -> DataFrame:
     spread = perimeter(labels, height, width).select("slide_id", "y", "x", "label", offsets)
     at = spread.select("slide_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), F.struct((F.col("o.dy") * F.col("o.dy") + F.col("o.dx") * F.col("o.dx")).alias("d2"), F.col("label")).alias("near"))
     at = at.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
-    best = at.groupBy("slide_id", "y", "x").agg(F.min("near").alias("near")).join(labels, ["slide_id", "y", "x"], "left_anti")
+    best = at.groupBy("slide_id", "y", "x").agg(F.min("near").alias("near")).join(grown(labels), ["slide_id", "y", "x"], "left_anti")
     return best.select("slide_id", "y", "x", F.col("near.label").alias("label"))
 
 
@@ -109,10 +109,10 @@ def connected(mask: DataFrame, by: str = "slide_id", conn: int = 4, same: str |
     below = cells.select(*keys, (F.col("y") - 1).alias("y"), F.col("x").alias("x"), F.col("y").alias("y2"), F.col("s").alias("s2"))
     if reach:
         below = below.withColumn("d", F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1))))).withColumn("x", F.col("x") + F.col("d")).drop("d")
-    edges = cells.join(below, [*keys, "y", "x"]).select(node("y", "s").alias("a"), node("y2", "s2").alias("b")).distinct()
+    edges = cells.join(grown(below), [*keys, "y", "x"]).select(node("y", "s").alias("a"), node("y2", "s2").alias("b")).distinct()
     roots = components(edges)
-    named = spans.select(*keys, "y", "s", node("y", "s").alias("v")).join(roots, "v", "left").select(*keys, "y", "s", F.coalesce(F.col("root.p"), F.col("v.p")).alias("component"))
-    return runs.join(named, [*keys, "y", "s"]).select(*keys, "y", "x", "component")
+    named = spans.select(*keys, "y", "s", node("y", "s").alias("v")).join(grown(roots), "v", "left").select(*keys, "y", "s", F.coalesce(F.col("root.p"), F.col("v.p")).alias("component"))
+    return runs.join(grown(named), [*keys, "y", "s"]).select(*keys, "y", "x", "component")
 
 
 def split(labels: DataFrame, conn: int = 8) -> DataFrame:
@@ -124,7 +124,7 @@ def split(labels: DataFrame, conn: int = 8) -> DataFrame:
     top = condensed.groupBy("slide_id").agg(F.max("label").alias("top"))
     extra = kinds.where("k > 1").withColumn("n", F.row_number().over(Window.partitionBy("slide_id").orderBy("label", "component"))).join(top, "slide_id")
     new = extra.select("slide_id", "label", "component", (F.col("top") + F.col("n")).cast("int").alias("new"))
-    return parts.join(new, ["slide_id", "label", "component"], "left").select("slide_id", "y", "x", F.coalesce("new", "label").alias("label"))
+    return parts.join(grown(new), ["slide_id", "label", "component"], "left").select("slide_id", "y", "x", F.coalesce("new", "label").alias("label"))
 
 
 def shuffle(labels: DataFrame, seed: int = 0) -> DataFrame:
@@ -132,7 +132,7 @@ def shuffle(labels: DataFrame, seed: int = 0) -> DataFrame:
     ids = labels.select("slide_id", "label").distinct()
     a = ids.withColumn("k", F.row_number().over(Window.partitionBy("slide_id").orderBy("label")))
     b = ids.withColumn("k", F.row_number().over(Window.partitionBy("slide_id").orderBy(chance.mixed(F.col("label"), F.col("slide_id"), seed=seed), "label"))).withColumnRenamed("label", "new")
-    return labels.join(a.join(b, ["slide_id", "k"]), ["slide_id", "label"]).select("slide_id", "y", "x", F.col("new").alias("label"))
+    return labels.join(grown(a.join(grown(b), ["slide_id", "k"])), ["slide_id", "label"]).select("slide_id", "y", "x", F.col("new").alias("label"))
 
 
 def taxicab_depth(labels: DataFrame, most: int) -> DataFrame:
@@ -144,15 +144,15 @@ def taxicab_depth(labels: DataFrame, most: int) -> DataFrame:
     four = ((0, 1), (0, -1), (1, 0), (-1, 0))
     for k in range(1, most):
         inner = deep.where(F.col("depth") == k)
-        held = inner.join(_shifted(inner.select("slide_id", "y", "x", "label"), four), ["slide_id", "y", "x"]).where("label = near").groupBy("slide_id", "y", "x").agg(F.count("*").alias("alike")).where("alike = 4").drop("alike")
-        deep = materialize(deep.join(held.withColumn("up", F.lit(1)), ["slide_id", "y", "x"], "left").select("slide_id", "y", "x", "label", (F.col("depth") + F.coalesce("up", F.lit(0))).alias("depth")))
+        held = inner.join(grown(_shifted(inner.select("slide_id", "y", "x", "label"), four)), ["slide_id", "y", "x"]).where("label = near").groupBy("slide_id", "y", "x").agg(F.count("*").alias("alike")).where("alike = 4").drop("alike")
+        deep = materialize(deep.join(grown(held.withColumn("up", F.lit(1))), ["slide_id", "y", "x"], "left").select("slide_id", "y", "x", "label", (F.col("depth") + F.coalesce("up", F.lit(0))).alias("depth")))
     return deep
 
 
 def width_open(labels: DataFrame, width: int) -> DataFrame:
     """Drops labels that are nowhere ``width`` deep, and renumbers."""
     wide = taxicab_depth(labels, width).groupBy("slide_id", "label").agg(F.max("depth").alias("depth")).where(F.col("depth") >= width).select("slide_id", "label")
-    return condense(labels.join(wide, ["slide_id", "label"], "left_semi"))
+    return condense(labels.join(grown(wide), ["slide_id", "label"], "left_semi"))
 
 
 def compact(labels: DataFrame, compaction: int = 3) -> DataFrame:
@@ -165,9 +165,9 @@ def compact(labels: DataFrame, compaction: int = 3) -> DataFrame:
     for k in range(compaction - 1, 0, -1):
         around = _shifted(depth.select("slide_id", "y", "x", F.col("depth").alias("label")), four).groupBy("slide_id", "y", "x").agg(F.max("near").alias("near"))
         sink = (F.col("depth") == k) & (F.greatest("depth", F.coalesce("near", F.lit(0))) < k + 1)
-        depth, old = materialize(depth.join(around, ["slide_id", "y", "x"], "left").select("slide_id", "y", "x", (F.col("depth") - sink.cast("int")).alias("depth"))), depth
+        depth, old = materialize(depth.join(grown(around), ["slide_id", "y", "x"], "left").select("slide_id", "y", "x", (F.col("depth") - sink.cast("int")).alias("depth"))), depth
         release(old)
-    return labels.join(depth.where("depth > 0").select("slide_id", "y", "x"), ["slide_id", "y", "x"], "left_semi")
+    return labels.join(grown(depth.where("depth > 0").select("slide_id", "y", "x")), ["slide_id", "y", "x"], "left_semi")
 
 
 def colour(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -185,13 +185,13 @@ def colour(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         return pd.DataFrame({"slide_id": key[0], "label": list(found), "colour": list(found.values())})
 
     both = edges.select("slide_id", F.col("a").alias("label"), "b").unionByName(edges.select("slide_id", F.col("b").alias("label"), F.col("a").alias("b")))
-    every = nodes.select("slide_id", "label").distinct().join(both, ["slide_id", "label"], "left")
+    every = nodes.select("slide_id", "label").distinct().join(grown(both), ["slide_id", "label"], "left")
     return every.groupBy("slide_id").applyInPandas(greedy, "slide_id int, label int, colour int")
 
 
 def embed(pixels: DataFrame, rim: DataFrame, paint: tuple[int, int, int]) -> DataFrame:
     """Pixels with those of the rim in one colour."""
-    hit = pixels.join(rim.select("slide_id", "y", "x").distinct().withColumn("__hit", F.lit(True)), ["slide_id", "y", "x"], "left")
+    hit = pixels.join(grown(rim.select("slide_id", "y", "x").distinct().withColumn("__hit", F.lit(True))), ["slide_id", "y", "x"], "left")
     return hit.select("slide_id", "y", "x", *(F.when(F.col("__hit"), F.lit(v)).otherwise(F.col(c)).alias(c) for c, v in zip("rgb", paint, strict=True)))
 
 
@@ -231,7 +231,7 @@ def invariants(labels: DataFrame, value: str | None = None) -> DataFrame:
     w = F.lit(1.0) if value is None else F.col(value).cast("double")
     t = labels.select("slide_id", "label", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), w.alias("w"))
     centre = t.groupBy("slide_id", "label").agg(F.sum("w").alias("m"), (F.sum(F.col("w") * F.col("x")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("cx"), (F.sum(F.col("w") * F.col("y")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("cy"))
-    t = t.join(centre, ["slide_id", "label"]).withColumns({"u": F.col("x") - F.col("cx"), "v": F.col("y") - F.col("cy")})
+    t = t.join(grown(centre), ["slide_id", "label"]).withColumns({"u": F.col("x") - F.col("cx"), "v": F.col("y") - F.col("cy")})
     power = lambda c, k: [F.lit(1.0), F.col(c), F.col(c) * F.col(c), F.col(c) * F.col(c) * F.col(c)][k]
     orders = ((2, 0), (0, 2), (1, 1), (3, 0), (0, 3), (2, 1), (1, 2))
     t = t.groupBy("slide_id", "label").agg(F.first("m").alias("m"), *(F.sum(F.col("w") * power("u", p) * power("v", q)).alias(f"s{p}{q}") for p, q in orders))

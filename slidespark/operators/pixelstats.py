@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slidespark.functions import colour
+from slidespark.sources.storage import grown
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,7 @@ def positive_counts(pixels: DataFrame, by: str = "slide_id", p: PositiveParams =
 def intensity_features(px: DataFrame, by: str, value: str = "i") -> DataFrame:
     """First-order statistics by object: population moments, linear quantiles, ten bins over the object's own range."""
     med = px.groupBy(by).agg(F.median(value).alias("median"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-    t = px.join(med, by)
+    t = px.join(grown(med), by)
     bin_ = F.least(F.floor((F.col(value) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0)) * 10), F.lit(9))
     hist = t.groupBy(by, F.coalesce(bin_, F.lit(5)).alias("bin")).agg(F.count("*").alias("n"))
     p = F.col("n") / F.sum("n").over(Window.partitionBy(by))
@@ -62,7 +63,7 @@ def intensity_features(px: DataFrame, by: str, value: str = "i") -> DataFrame:
         (F.percentile(value, F.lit(0.75)) - F.percentile(value, F.lit(0.25))).alias("iqr"), F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"), F.skewness(value).alias("skewness"), F.kurtosis(value).alias("kurtosis"),
     )
     r = lambda c: F.round(F.col(c).cast("double"), 6).alias(c)
-    return stats.join(hist, by).select(by, "min", "max", r("mean"), r("median"), F.round(F.col("mean") - F.col("median"), 6).alias("mean_median_diff"), r("std"), r("iqr"), r("mad"), r("skewness"), r("kurtosis"), r("energy"), r("entropy"))
+    return stats.join(grown(hist), by).select(by, "min", "max", r("mean"), r("median"), F.round(F.col("mean") - F.col("median"), 6).alias("mean_median_diff"), r("std"), r("iqr"), r("mad"), r("skewness"), r("kurtosis"), r("energy"), r("entropy"))
 
 
 OFFSETS = ((0, 1), (1, 0), (1, 1), (1, -1))

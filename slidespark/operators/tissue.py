@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from slidespark.functions import colour
 from slidespark.operators import labels, pixelstats, spatial, stains, stencil
-from slidespark.sources.storage import materialize, release
+from slidespark.sources.storage import grown, materialize, release
 
 BINS = 256
 
@@ -58,14 +58,14 @@ def pieces(px: DataFrame, deconvolve_first: bool = False, steps: int = 1, sigma:
         release(old)
     parts = labels.connected(t.where("v > 0").select("slide_id", "y", "x")).withColumnRenamed("component", "label")
     big = parts.groupBy("slide_id", "label").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
-    return parts.join(big, ["slide_id", "label"], "left_semi").select("slide_id", "y", "x", "label")
+    return parts.join(grown(big), ["slide_id", "label"], "left_semi").select("slide_id", "y", "x", "label")
 
 
 def largest(parts: DataFrame) -> DataFrame:
     """The largest piece of each slide, the first of those alike."""
     sizes = parts.groupBy("slide_id", "label").agg(F.count("*").alias("area"))
     best = sizes.groupBy("slide_id").agg(F.min_by("label", F.struct(-F.col("area"), F.col("label"))).alias("label"))
-    return parts.join(best, ["slide_id", "label"], "left_semi")
+    return parts.join(grown(best), ["slide_id", "label"], "left_semi")
 
 
 def overview(px: DataFrame, side: int, most: int = 2048, **options) -> DataFrame:

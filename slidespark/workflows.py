@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slidespark.operators import labels, learning, pixelstats, stains, tiles, tissue
+from slidespark.sources.storage import grown, materialize
 
 log = logging.getLogger(__name__)
 
@@ -66,7 +67,7 @@ def apply(t: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
 def cellularity(pixels: DataFrame, components: int = 5, size: int = 8, seed: int = 7) -> DataFrame:
     """(slide_id, component, n, cellularity): superpixels of all slides, their colours as a Gaussian mixture, ranked by darkness."""
     parts = tiles.numbered(tiles.superpixels(pixels, size))
-    mean = pixels.join(parts, ["slide_id", "y", "x"]).groupBy("slide_id", "label").agg(*(F.avg(c).alias(c) for c in "rgb"), F.avg((F.col("r") + F.col("g") + F.col("b")) / 3).alias("intensity"))
+    mean = pixels.join(grown(parts), ["slide_id", "y", "x"]).groupBy("slide_id", "label").agg(*(F.avg(c).alias(c) for c in "rgb"), F.avg((F.col("r") + F.col("g") + F.col("b")) / 3).alias("intensity"))
     return learning.cellularity(learning.mixture(mean, ["r", "g", "b"], components, seed), "intensity")
 
 
@@ -82,10 +83,10 @@ def piece_cellularity(pixels: DataFrame, components: int = 5, size: int = 8, see
     """(slide_id, label, component, n, cellularity): superpixels within pieces of tissue, mixed by intensity features, ranked by darkness in each piece."""
     found = tissue.pieces(pixels, **options)
     parts = tiles.numbered(tiles.superpixels(pixels, size)).withColumnRenamed("label", "part")
-    inside = found.join(parts, ["slide_id", "y", "x"]).join(pixels, ["slide_id", "y", "x"]).select(F.struct("slide_id", "label", "part").alias("k"), *"rgb", ((F.col("r") + F.col("g") + F.col("b")) / 3).alias("i"))
+    inside = materialize(found.join(grown(parts), ["slide_id", "y", "x"]).join(grown(pixels), ["slide_id", "y", "x"]).select(F.struct("slide_id", "label", "part").alias("k"), *"rgb", ((F.col("r") + F.col("g") + F.col("b")) / 3).alias("i")))  # read five times
     mean = inside.groupBy("k").agg(*(F.avg(c).alias(c) for c in "rgb"))
     stats = pixelstats.intensity_features(inside, "k").select("k", F.col("mean").alias("intensity"), "std", "entropy", "iqr")
-    t = mean.join(stats, "k").select("k.slide_id", "k.label", *"rgb", "intensity", "std", "entropy", "iqr")
+    t = materialize(mean.join(grown(stats), "k").select("k.slide_id", "k.label", *"rgb", "intensity", "std", "entropy", "iqr"))
     mixed = learning.mixture(t, [*"rgb", "intensity", "std", "entropy", "iqr"], components, seed)
     ranked = learning.cellularity(mixed.withColumn("__k", F.struct("slide_id", "label", "component")), "intensity", "__k")
     return ranked.select("__k.slide_id", "__k.label", "__k.component", "n", "cellularity")
@@ -98,4 +99,4 @@ def piece_components(pixels: DataFrame, cascade=CASCADE, reference: tuple | None
     """
     image = stains.reinhard(pixels, *reference) if reference else pixels
     kind = F.coalesce(*(F.when(F.expr(test), F.lit(name)) for name, test in cascade), F.lit("rest"))
-    return tissue.pieces(pixels, **options).join(image, ["slide_id", "y", "x"]).select("slide_id", "label", "y", "x", kind.alias("part"))
+    return tissue.pieces(pixels, **options).join(grown(image), ["slide_id", "y", "x"]).select("slide_id", "label", "y", "x", kind.alias("part"))
