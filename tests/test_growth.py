@@ -3,10 +3,13 @@
 import re
 from pathlib import Path
 
+import duckdb
 import pytest
 
 from slidespark import registry
 
+from .differential import compare, connect
+
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="the shared tables are not here")
 
@@ -31,3 +34,12 @@ def test_pieces_are_not_broadcast(spark, name):
     """Only tables with a row for each slide are."""
     keys = [k for p in plans_of(spark, name) for k in re.findall(r"BroadcastHashJoin[^\n]*\nLeft keys \[\d+\]: \[([^\]]*)\]", p)]
     assert {re.sub(r"#\d+", "", k) for k in keys} <= {"slide_id"}
+
+
+def test_codes_of_full_slides(spark, tmp_path):
+    """A slide of more elements than codes: the first ones in drawing order have one, as in the SQL."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT range o_orderkey, range % 3 o_custkey, 1000.0 + range * 7 % 90001 o_totalprice, CASE range % 2 WHEN 0 THEN '1-URGENT' ELSE '5-LOW' END o_orderpriority FROM range(53000)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    con.execute(f"COPY (SELECT range c_custkey, CAST(range AS INT) c_nationkey FROM range(3)) TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    name = "object_mask_codes"
+    assert compare(registry.queries()[name](spark, str(tmp_path)), connect(str(tmp_path)), registry.oracle_sql()[name]) == ""
