@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 
 from slidespark import registry
+from slidespark.operators import labels
 from slidespark.sources import fixtures as fx
 
 from .differential import connect
@@ -42,3 +43,11 @@ def test_digits_of_bands_as_in_sql(spark):
     assert rel.columns[:2] == ["slide_id", "label"]
     pairs = list(zip(sorted(map(tuple, own), key=key), sorted(rel.fetchall(), key=key), strict=True))
     assert [(a[:2], c, x, y) for a, b in pairs for c, x, y in zip(rel.columns, a, b, strict=True) if x != y] == []
+
+
+def test_upright_labels_turn_one_way(spark):
+    """Where the covariance is exactly 0 the angle hangs on no sum's rounding error."""
+    t = fx.blocks(spark, "/root/testdata/sf0.1").where("(slide_id, label) IN ((1, 8), (88, 22), (97, 25), (98, 23))")
+    for parts in (1, 7):
+        got = {(r.slide_id, r.label): r.orientation for r in labels.moments(t.repartition(parts)).collect()}
+        assert got == {(1, 8): 1.5708, (88, 22): 1.5708, (97, 25): 1.5708, (98, 23): 1.5708}
