@@ -9,6 +9,7 @@ from slidespark.operators import annotations, annotations_json, spatial, tiles
 from slidespark.operators.components import components
 from slidespark.plans.base import Plans
 from slidespark.sources import fixtures as fx
+from slidespark.sources.storage import grown
 
 plans = Plans()
 add = plans.add
@@ -110,15 +111,15 @@ add("merge_pairs", lambda s, d: spatial.gaps(fx.elements(s, d), 3), fx.with_("el
 
 
 def _clusters(s, d):
-    roots = components(spatial.gaps(fx.elements(s, d), 3).select("a", "b"))
-    e = fx.elements(s, d).join(roots.select(F.col("v").alias("element_id"), "root"), "element_id", "left")
+    roots = components(spatial.near_forest(fx.elements(s, d), 3))
+    e = fx.elements(s, d).join(grown(roots.select(F.col("v").alias("element_id"), "root")), "element_id", "left")
     return e.select("slide_id", "grp", "element_id", F.coalesce("root", "element_id").alias("cluster"), "xmin", "ymin", "xmax", "ymax")
 
 
 _CLUSTER = fx.with_("elements").replace("WITH ", "WITH RECURSIVE ", 1) + f", p AS (SELECT a.element_id a, b.element_id b FROM elements a JOIN elements b ON {_GAP}), q AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), c(v, root) AS (SELECT element_id, element_id FROM elements UNION SELECT q.b, c.root FROM c JOIN q ON q.a = c.v), m AS (SELECT v, min(root) root FROM c GROUP BY 1) "
 add("merge_clusters", lambda s, d: _clusters(s, d).select("element_id", "cluster"), _CLUSTER + "SELECT v element_id, root AS \"cluster\" FROM m")
 add("merged_boxes", lambda s, d: _clusters(s, d).groupBy("cluster").agg(F.count("*").alias("n"), *(f(c).alias(c) for f, c in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax")))), _CLUSTER + "SELECT root AS \"cluster\", count(*) n, min(xmin) xmin, min(ymin) ymin, max(xmax) xmax, max(ymax) ymax FROM m JOIN elements ON v = element_id GROUP BY 1")
-_unions = lambda s, d: spatial.joined_runs(spatial.box_runs(_clusters(s, d), "cluster"), "cluster")
+_unions = lambda s, d: spatial.union_runs(_clusters(s, d), "cluster")
 add("merged_areas", lambda s, d: _unions(s, d).groupBy("cluster").agg(F.sum(F.col("x1") - F.col("x0") + 1).cast("long").alias("area")), _CLUSTER + ", w AS (SELECT root, y, xmin x0, xmax x1, max(xmax) OVER (PARTITION BY root, y ORDER BY xmin, xmax ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) reach FROM (SELECT root, xmin, xmax, unnest(range(ymin, ymax + 1)) y FROM m JOIN elements ON v = element_id)) SELECT root AS \"cluster\", CAST(sum(greatest(0, x1 - greatest(x0, coalesce(reach + 1, x0)) + 1)) AS BIGINT) area FROM w GROUP BY 1")
 add("merged_outlines", lambda s, d: tiles.run_outlines(_unions(s, d), "cluster"))
 _PAINT = fx.with_("elements", "gt_codes") + ", g AS (SELECT CAST(range AS INT) k FROM range(0, 300)), c AS (SELECT e.slide_id, y.k y, x.k x, gt_code, element_id, overlay_order, (ymax - ymin) * (xmax - xmin) a FROM elements e JOIN gt_codes USING (grp) JOIN g y ON y.k * 16 BETWEEN e.ymin AND e.ymax JOIN g x ON x.k * 16 BETWEEN e.xmin AND e.xmax) "

@@ -1,5 +1,6 @@
 """Plans that hold for large tables: what grows with the input is neither broadcast nor paired where that is not asked for."""
 
+import random
 import re
 from pathlib import Path
 
@@ -7,6 +8,8 @@ import duckdb
 import pytest
 
 from slidespark import registry
+from slidespark.operators import spatial
+from slidespark.operators.components import components
 
 from .differential import compare, connect
 
@@ -43,3 +46,29 @@ def test_codes_of_full_slides(spark, tmp_path):
     con.execute(f"COPY (SELECT range c_custkey, CAST(range AS INT) c_nationkey FROM range(3)) TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
     name = "object_mask_codes"
     assert compare(registry.queries()[name](spark, str(tmp_path)), connect(str(tmp_path)), registry.oracle_sql()[name]) == ""
+
+
+def test_clusters_need_no_pairs(spark):
+    """Links of crowded boxes grow with the boxes; components are those of all pairs nearer than the reach, boxes without a group alone."""
+    rng = random.Random(5)
+    rows = [(k % 2, None if k % 50 == 0 else "g", k, x, y, x + rng.randrange(30), y + rng.randrange(30)) for k in range(400) for x, y in [(rng.choice((0, 300, rng.randrange(900))), rng.randrange(60))]]
+    e = spark.createDataFrame(rows, "slide_id int, grp string, element_id long, xmin int, ymin int, xmax int, ymax int")
+    links = spatial.near_forest(e, 3)
+    assert links.count() <= 3 * len(rows) < spatial.gaps(e, 3).count()
+    root = {r[2]: r[2] for r in rows}
+    near = spatial.gaps(e, 3).collect()
+    while any(root[p.a] != root[p.b] for p in near):
+        for p in near:
+            root[p.a] = root[p.b] = min(root[p.a], root[p.b])
+    found = {r.v: r.root for r in components(links).collect()}
+    assert {k: found.get(k, k) for k in root} == root
+    clustered = e.join(spark.createDataFrame(list(root.items()), "element_id long, cluster long"), "element_id")
+    want = {}
+    for r in rows:
+        want.setdefault(root[r[2]], set()).update((y, x) for y in range(r[4], r[6] + 1) for x in range(r[3], r[5] + 1))
+    got = {}
+    for r in spatial.union_runs(clustered, "cluster").collect():
+        for x in range(r.x0, r.x1 + 1):
+            assert (r.y, x) not in got.setdefault(r.cluster, set())
+            got[r.cluster].add((r.y, x))
+    assert got == want
