@@ -38,12 +38,23 @@ def _near_cells(points: DataFrame, cell: int, asking: DataFrame) -> DataFrame:
     return a.join(b, ["label", "gx", "gy"], "left").select("label", "vec_id", F.nullif("other", "vec_id").alias("other"), d2.alias("d2"), F.col("edge").alias("edge"))
 
 
+def _first_cell(points: DataFrame, k: int, most: int) -> int:
+    """The largest side, a half of a half of ``most`` and so on, at which a point shares its cell with at most about ``4 k`` others on the mean; else 1."""
+    sides = [most >> i for i in range(most.bit_length())]
+    at = lambda c: F.floor(F.col(c) / F.col("side"))
+    t = points.select("label", "cx", "cy", F.explode(F.array(*(F.lit(n) for n in sides))).alias("side"))
+    crowd = t.groupBy("label", "side", at("cx").alias("gx"), at("cy").alias("gy")).agg(F.count("*").cast("double").alias("n")).groupBy("side").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("with"))
+    return max((r.side for r in crowd.collect() if r["with"] <= 4 * k), default=1)  # a row for each side
+
+
 def nearest(points: DataFrame, k: int, cell: int = 64) -> DataFrame:
     """(label, vec_id, place, other, d2): the k nearest others of every point, exactly; ties by id.
 
     Points look into the nine grid cells around them. Who has k others nearer than the rim of
     those is done; the rest asks again in cells of twice the side, until one cell holds the slide.
+    The first cells have at most the side ``cell``, and less where points are crowded, so that candidates grow with the points.
     """
+    cell = _first_cell(points, k, cell)
     extent = points.agg(F.max(F.greatest(F.abs("cx"), F.abs("cy"))).alias("m")).first().m
     asking, done = points, []
     w = Window.partitionBy("label", "vec_id").orderBy("d2", "other")
