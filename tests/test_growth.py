@@ -2,13 +2,16 @@
 
 import random
 import re
+import sys
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
 from slidespark import registry
-from slidespark.operators import spatial
+from slidespark.functions import raster, triangulation
+from slidespark.operators import graph, spatial
 from slidespark.operators.components import components
 
 from .differential import compare, connect
@@ -72,3 +75,59 @@ def test_clusters_need_no_pairs(spark):
             assert (r.y, x) not in got.setdefault(r.cluster, set())
             got[r.cluster].add((r.y, x))
     assert got == want
+
+
+def test_crowded_points_ask_few(spark):
+    """Points in a heap look into small cells first, and find the same neighbours."""
+    rng = random.Random(3)
+    rows = [(k, 0, rng.randrange(40), rng.randrange(40)) for k in range(600)] + [(600, 0, 900, 900)]
+    points = spark.createDataFrame(rows, "vec_id long, label int, cx int, cy int")
+    cell = graph._first_cell(points, 3, 64)
+    assert cell < 64 and graph._near_cells(points, cell, points).count() < 601 * 600 / 4
+    got = {}
+    for r in graph.nearest(points, 3).collect():
+        got.setdefault(r.vec_id, {})[r.place] = (r.d2, r.other)
+    for v, _, x, y in rows:
+        want = sorted(((x - p) ** 2 + (y - q) ** 2, o) for o, _, p, q in rows if o != v)[:3]
+        assert [got[v][i] for i in (1, 2, 3)] == want
+
+
+def test_painting_counts_numbers(spark):
+    """What shows at a cell is a maximum that a hash table holds."""
+    assert "SortAggregate" not in "".join(plans_of(spark, "painter_areas"))
+
+
+def test_sweep_of_points_is_not_square():
+    """Triangles behind the front are set aside: twice the points take far less than four times as long, and triangles are Delaunay's."""
+    rng = np.random.default_rng(2)
+    p = np.unique(rng.integers(0, 30, (200, 2)).astype(float), axis=0)
+    tri = triangulation.delaunay(p)
+    centre, r2 = triangulation._circles(p, tri)
+    assert (((p[None] - centre[:, None]) ** 2).sum(axis=2) >= r2[:, None] * (1 - 1e-9) - 1e-9).all()
+    held = []
+    seen = triangulation._circles
+    q = np.unique(rng.random((1500, 2)) * 1000, axis=0)
+    rows = lambda f: held.append(f.f_locals["tri"].shape[0]) if f.f_code.co_name == "delaunay" else None
+    try:
+        triangulation._circles = lambda a, b: (rows(sys._getframe(1)), seen(a, b))[1]
+        triangulation.delaunay(q)
+    finally:
+        triangulation._circles = seen
+    assert max(held) < 1500
+
+
+def test_oriented_blobs_convolve_once():
+    rng = np.random.default_rng(1)
+    im, sigmas = rng.random((9, 7)), [1.0, 2.0, 3.0]
+    want = np.zeros(im.shape)
+    for i, sx in enumerate(sigmas):
+        for sy in sigmas[: i + 1]:
+            for k in range(8 if sx != sy else 1):
+                want -= (1 + np.log(sx) ** 2) * (1 + np.log(sy) ** 2) * raster.convolve(im, raster.oriented_kernel(sx, sy, np.pi * k / 8))
+    calls, one = [], raster.convolve
+    try:
+        raster.convolve = lambda *a: calls.append(1) or one(*a)
+        got = raster.oriented_scales(im, sigmas)
+    finally:
+        raster.convolve = one
+    assert len(calls) == 1 and np.abs(got - want).max() < 1e-12
